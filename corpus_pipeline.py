@@ -5,21 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitforge.llm import exactdup, packing
+from fitforge.llm import exactdup, ngramjoin, packing, privacy, resampling
 from fitforge.llm.queries import VOCABULARY
 from fitforge.llm.scratch import cut
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resampling.keep_target_like(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exactdup.drop_exact_duplicates(docs)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngramjoin.drop_near_duplicates(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return privacy.replace_entities(docs).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
+    ("quality classifier", keep_good),
     ("exact dedup", remove_exact_copies),
+    ("n-gram Jaccard join", remove_near_copies),
+    ("PII", replace_personal_data),
     ("best-fit packing", pack),
 ]
 

@@ -20,7 +20,7 @@ from fitforge.llm.textkernel import IS_SPACE, Texts, shingle_hashes, span_hashes
 
 TREES = 100
 #: Rows that a tree is grown on; TREES * TREE_ROWS rows are sampled from all documents.
-TREE_ROWS = 256
+TREE_ROWS = 64
 SEED = 7
 #: Rate of good labelled rows that may fall under the cut.
 MOST_LOST = 0.002
@@ -32,7 +32,8 @@ _LEAST_WORDS = 50
 _WINDOW = 3
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_STATISTICS = ("chars_per_word", "symbols_per_word", "dup_line_rate", "repeat_rate", "upper_rate", "marks_per_word", "same_word_rate", "digit_rate")
+# What texts are made of; repetition is left to the base rules, which count it.
+_STATISTICS = ("chars_per_word", "symbols_per_word", "upper_rate", "marks_per_word")
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -44,8 +45,6 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(_SYMBOLS)] = True
 _IS_UPPER = np.zeros(256, bool)
 _IS_UPPER[65:91] = True
-_IS_DIGIT = np.zeros(256, bool)
-_IS_DIGIT[48:58] = True
 _IS_MARK = np.zeros(256, bool)
 _IS_MARK[[33, *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -72,7 +71,6 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((line, text))
     again = np.zeros(len(order), bool)
     again[1:] = (line[order][1:] == line[order][:-1]) & (text[order][1:] == text[order][:-1])
-    n_lines = np.bincount(text, minlength=len(texts))
     n_dup = np.bincount(text[order][again], minlength=len(texts))
 
     # words in windows of three that come twice or more in the text
@@ -90,19 +88,12 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         covered[first[order[twice]] + k] = True
     n_repeat = _per_text(covered, words.bounds)
 
-    same = np.zeros(len(word), bool)
-    same[1:] = word[1:] == word[:-1]
-    same[words.bounds[:-1][n_words > 0]] = False
     some, chars = np.maximum(n_words, 1), np.maximum(word_chars, 1)
     rates = (
         np.minimum(word_chars / some, 30),
         n_symbols / some,
-        n_dup / np.maximum(n_lines, 1),
-        n_repeat / some,
         _per_text(_IS_UPPER[data], bounds) / chars,
         _per_text(_IS_MARK[data], bounds) / some,
-        _per_text(same, words.bounds) / some,
-        _per_text(_IS_DIGIT[data], bounds) / chars,
     )
     return np.stack((n_words, word_chars, n_symbols, n_dup, n_repeat)), np.stack(rates)
 

@@ -1,0 +1,266 @@
+"""Surrogates for personal data: keyed, of the same type, distinct and consistent.
+
+Detected entities are replaced by others of their kind.  Within a type and format
+the replacement is a keyed permutation (a Feistel network over the letters and
+digits of the value), so that one entity has one surrogate everywhere and two
+entities never share one.  A check over the entities of all documents finds
+surrogates that are real entities or meet in spite of different formats, and
+gives those entities another turn of the permutation.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fitforge.llm.scratch import cut
+
+KEY = b"fitforge surrogate key"
+#: Entities with another turn are sent to all tasks up to this many, joined beyond.
+MOST_EXCEPTIONS = 10_000
+_TURNS = 8
+
+# Letters of a script and case that stand for each other.
+_CLASSES = [
+    "0123456789",
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "àáâãäåæçèéêëìíîïñòóôõöøùúûüý",
+    "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
+    "αβγδεζηθικλμνξοπρστυφχψω",
+    "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+]
+_HEX = ["0123456789abcdef", "0123456789ABCDEF"]
+# First names by gender, and forms of address that tell it.
+_FIRST_NAMES = {
+    "f": ["Anna", "Claire", "Elena", "Emma", "Ines", "Julia", "Laura", "Lucia", "Maria", "Marie", "Nora", "Olivia", "Paula", "Sofia", "Sophie", "Teresa"],
+    "m": ["Adam", "Carlos", "David", "Hugo", "Jan", "Jean", "John", "Jonas", "Karl", "Leon", "Louis", "Marco", "Martin", "Oscar", "Paul", "Thomas"],
+}
+_ADDRESS = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f"}
+
+_UPPER = "A-ZÀ-ÖØ-ÝА-ЯΑ-Ω"
+_LOWER = "a-zß-öø-ÿа-яα-ω"
+_NAME = f"[{_UPPER}][{_LOWER}]+"
+_PATTERNS = {
+    "email": r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}",
+    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/.]{12,})",
+    "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
+    "ip": r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])",
+    "name": rf"\b((?i:mr|mrs|ms|miss|herr|frau|monsieur|madame|mme|señor|señora)\.? )({_NAME}(?: {_NAME})?)",
+}
+_FINDERS = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
+_DIGIT = re.compile(r"[0-9]")
+
+
+def _digits(value: str) -> str:
+    return re.sub(r"\D", "", value)
+
+
+def find_entities(text: str) -> list[tuple[int, int, str]]:
+    """Start, end and type of the entities of a text, in order and apart from each other.
+
+    A match that overlaps an earlier type's is left out.  A phone number has 9 to 15
+    digits and a plus, a bracket or at least two separators.
+    """
+    kinds = ["name"] if not _DIGIT.search(text) else list(_FINDERS)
+    if "@" in text and "email" not in kinds:
+        kinds.insert(0, "email")
+    taken: list[tuple[int, int, str]] = []
+    for kind in _FINDERS:
+        if kind not in kinds:
+            continue
+        for m in _FINDERS[kind].finditer(text):
+            start, end = m.span(m.lastindex or 0)
+            if kind == "phone" and not (9 <= len(_digits(m[0])) <= 15 and ("+" in m[0] or "(" in m[0] or len(re.findall(r"[ .-]", m[0])) >= 2)):
+                continue
+            if all(end <= a or b <= start for a, b, _ in taken):
+                taken.append((start, end, f"name:{_gender(m[1])}" if kind == "name" else kind))
+    return sorted(taken)
+
+
+def _gender(address: str) -> str:
+    return _ADDRESS.get(address.strip(" .").lower(), "f")
+
+
+def canonical(kind: str, value: str) -> str:
+    """What makes two mentions one entity: case does not in e-mail addresses, nor do separators in numbers."""
+    if kind == "email":
+        return value.lower()
+    return re.sub(r"[ .-]", "", value) if kind in ("card", "iban", "phone", "ssn") else value
+
+
+def _prf(key: bytes, *parts: object) -> int:
+    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
+
+
+def permute(digits: list[int], bases: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation of the numbers with these digits in these bases."""
+    n = len(digits)
+    if n < 2:
+        return [(d + _prf(key, tweak, b)) % b for d, b in zip(digits, bases, strict=True)]
+    half, out = n // 2, list(digits)
+    for turn in range(_TURNS):
+        left, right = (range(half), range(half, n)) if turn % 2 else (range(half, n), range(half))
+        noise = _prf(key, tweak, turn, *(out[i] for i in right))
+        for i in left:
+            noise, step = divmod(noise, bases[i]) if noise > bases[i] else (_prf(key, tweak, turn, i, noise), 0)
+            out[i] = (out[i] + step) % bases[i]
+    return out
+
+
+def _permuted_text(value: str, key: bytes, tweak: str, classes: list[str] = _CLASSES) -> str:
+    """The value with its letters and digits permuted within script and case; the rest stays."""
+    places, digits, bases, letters = [], [], [], []
+    for i, c in enumerate(value):
+        for letters_of in classes:
+            at = letters_of.find(c)
+            if at >= 0:
+                places.append(i), digits.append(at), bases.append(len(letters_of)), letters.append(letters_of)
+                break
+    form = "".join(str(classes.index(x)) for x in letters)
+    out = list(value)
+    for i, d, x in zip(places, permute(digits, bases, key, f"{tweak}/{form}"), letters, strict=True):
+        out[i] = x[d]
+    return "".join(out)
+
+
+def _luhn(digits: str) -> int:
+    total = sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def surrogate(kind: str, value: str, key: bytes = KEY, turn: int = 0) -> str:
+    """The replacement of a canonical value: same type, script and format, valid where the value is."""
+    tweak = f"{kind}/{turn}"
+    if kind == "email":
+        local, domain = value.split("@", 1)
+        labels = domain.split(".")
+        return f"{_permuted_text(local + '@' + '.'.join(labels[:-1]), key, tweak)}.{labels[-1]}"
+    if kind == "card":  # the check digit stays right where it is
+        body, off = value[:-1], (int(value[-1]) - _luhn(value[:-1])) % 10
+        body = _permuted_text(body, key, tweak)
+        return body + str((_luhn(body) + off) % 10)
+    if kind == "ip":
+        return ".".join(map(str, permute([int(x) for x in value.split(".")], [256] * 4, key, tweak)))
+    if kind == "phone":  # the country code stays
+        head = re.match(r"\+\d", value)
+        head = head[0] if head else ""
+        return head + _permuted_text(value[len(head) :], key, tweak)
+    if kind in ("hex", "secret") and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+        return _permuted_text(value, key, tweak, [_HEX[0]] if value == value.lower() else [_HEX[1]])
+    if kind == "iban":
+        return value[:2] + _permuted_text(value[2:], key, tweak)
+    if kind.startswith("name"):
+        names = _FIRST_NAMES[kind[-1]]
+        first, _, last = value.partition(" ")
+        if first in names:
+            first = names[permute([names.index(first)], [len(names)], key, tweak)[0]]
+        else:
+            first = _permuted_text(first, key, tweak)
+        return f"{first} {_permuted_text(last, key, tweak)}" if last else first
+    return _permuted_text(value, key, tweak)
+
+
+def _as_written(kind: str, written: str, replacement: str) -> str:
+    """The replacement with the separators and the case of the mention."""
+    if kind == "email":
+        return replacement.upper() if written == written.upper() else replacement
+    if kind not in ("card", "iban", "phone", "ssn"):
+        return replacement
+    letters = iter(replacement)
+    return "".join(c if c in " .-" else next(letters) for c in written)
+
+
+def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {(kind, canonical(kind, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, kind in find_entities(t)}
+        rows = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
+
+
+def _assigned(entities: DataFrame, key: bytes, turn: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [surrogate(k, v, key, turn) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["kind", "value", "surrogate"])
+
+    return entities.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string").withColumn("turn", F.lit(turn))
+
+
+def assign_surrogates(docs: DataFrame, key: bytes = KEY, most_turns: int = 8) -> DataFrame:
+    """kind, value, surrogate and turn of every entity of the documents, checked for collisions.
+
+    An entity whose surrogate is a real entity, or that of another entity as well
+    (then all but the smallest value), takes the next turn of its permutation.
+    """
+    entities = cut(docs.select("text").mapInArrow(_mentions, "kind string, value string").distinct(), "entities")
+    real = entities.select(F.col("value").alias("surrogate")).distinct()
+    final = cut(_assigned(entities, key, 0), "assigned_0")
+    for turn in range(1, most_turns + 1):
+        least = final.groupBy("surrogate").agg(F.min(F.struct("value", "kind")).alias("owner"), F.count("*").alias("owners"))
+        meets = final.join(least.where("owners > 1"), "surrogate").where(F.struct("value", "kind") != F.col("owner")).select("kind", "value")
+        colliding = cut(final.join(real, "surrogate", "left_semi").select("kind", "value").unionByName(meets).distinct(), f"colliding_{turn}")
+        if not colliding.limit(1).count():
+            return final
+        stay = final.join(colliding, ["kind", "value"], "left_anti")
+        final = cut(stay.unionByName(_assigned(colliding, key, turn)), f"assigned_{turn}")
+    raise RuntimeError(f"surrogates still collide after {most_turns} turns")
+
+
+def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """``docs`` with surrogates in ``text``, and n_entities, the number of mentions replaced.
+
+    Null and empty texts stay; other columns (but one named n_entities) and repeated
+    rows stay as they are; an empty table gives no rows.
+    """
+    assigned = assign_surrogates(docs, key)
+    odd = assigned.where("turn > 0").select("kind", "value", "turn")
+    source = docs.drop("n_entities")
+    few = odd.limit(MOST_EXCEPTIONS + 1).collect()
+    columns = source.columns
+
+    def replaced(text: str | None, turns: dict) -> tuple[str | None, int]:
+        found = find_entities(text) if text else []
+        parts, at = [], 0
+        for a, b, kind in found:
+            value = canonical(kind, text[a:b])
+            parts += [text[at:a], _as_written(kind, text[a:b], surrogate(kind, value, key, turns.get((kind, value), 0)))]
+            at = b
+        return ("".join([*parts, text[at:]]) if found else text), len(found)
+
+    def rewritten(batch: pa.RecordBatch, turns: list[dict]) -> pa.RecordBatch:
+        rows = [replaced(t, x) for t, x in zip(batch.column("text").to_pylist(), turns, strict=True)]
+        new = {"text": pa.array([r[0] for r in rows], pa.string())}
+        return pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array([r[1] for r in rows], pa.int64())], names=[*columns, "n_entities"])
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in source.dtypes), "n_entities bigint"])
+    if len(few) <= MOST_EXCEPTIONS:
+        turns = {(r["kind"], r["value"]): r["turn"] for r in few}
+        return source.mapInArrow(lambda batches: (rewritten(b, [turns] * len(b)) for b in batches), schema)
+
+    def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k, canonical(k, t[x:y])) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for x, y, k in find_entities(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "value"])
+
+    own = source.select("doc_id", "text").mapInArrow(mentioned, "doc_id long, kind string, value string").distinct().join(odd, ["kind", "value"])
+    per_doc = own.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "value", "turn")).alias("_turns"))
+    joined = source.join(per_doc, "doc_id", "left").select(*columns, "_turns")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield rewritten(b, [{(x["kind"], x["value"]): x["turn"] for x in r or ()} for r in b.column("_turns").to_pylist()])
+
+    return joined.mapInArrow(run, schema)

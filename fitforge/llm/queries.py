@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitforge.llm import bpe, exactdup, isolation, ngramjoin, packing, resampling, sharding, suffixes
+from fitforge.llm import bpe, exactdup, isolation, ngramjoin, packing, privacy, resampling, sharding, suffixes, toolcalls
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -28,6 +28,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link_tool_calls(_table(spark, sf_dir, "conversations"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,11 +52,32 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.replace_entities(_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op3_bpe_round_trip, op5_exact_dedup, op6_ngram_jaccard_join, op7_byte_shards, op8_isolation_rules, op9_suffix_dedup)
+    f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op3_bpe_round_trip, op4_tool_call_linking, op5_exact_dedup, op6_ngram_jaccard_join, op7_byte_shards, op8_isolation_rules, op9_suffix_dedup, op10_surrogates)
 }
 
 SQL: dict[str, str] = {
+    "op4_tool_call_linking": """
+        WITH calls AS (
+            SELECT conv_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_calls
+            FROM conversations WHERE role = 'user' GROUP BY ALL),
+        results AS (
+            SELECT conv_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_results
+            FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id,
+               'turn-' || coalesce(c.turn, r.turn - 1) AS call_id,
+               c.turn::BIGINT AS call_turn, r.turn::BIGINT AS result_turn,
+               coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+               CASE WHEN c.turn IS NOT NULL THEN 0::BIGINT END AS level,
+               c.turn IS NOT NULL AS valid,
+               '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"text":' || to_json(c.text)::VARCHAR || '}' END
+               || ',"id":"turn-' || coalesce(c.turn, r.turn - 1) || '","name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"reply"' END
+               || ',"result":' || CASE WHEN r.turn IS NULL THEN 'null' ELSE to_json(r.text)::VARCHAR END || '}' AS exchange
+        FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND r.turn = c.turn + 1""",
     "op5_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, coalesce(text, '') AS text,
