@@ -195,23 +195,34 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(table):
             return
         doc, first = table.column("doc").to_numpy(), table.column("start").to_numpy()
-        texts = next(texts_of(table.column("bytes"), 1 << 62))
+        # of equal stretches only that of the smallest doc_id is sorted; the others go whole
+        equal = table.column("bytes").combine_chunks().dictionary_encode()
+        piece = equal.indices.to_numpy()
+        smallest = np.full(len(equal.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, piece, doc)
+        texts = next(texts_of(equal.dictionary, 1 << 62))
         windows = np.diff(texts.bounds) - LENGTH + 1
-        row = np.repeat(np.arange(len(doc)), windows)
+        of = np.repeat(np.arange(len(windows)), windows)
         ends = np.cumsum(windows)
         offset = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
-        least = smallest_holder(texts.data, texts.bounds[row] + offset, doc[row])
-        gone = least < doc[row]
+        gone = smallest_holder(texts.data, texts.bounds[of] + offset, smallest[of]) < smallest[of]
         edge = gone.copy()
-        edge[1:] = gone[1:] & (~gone[:-1] | (row[1:] != row[:-1]))
+        edge[1:] = gone[1:] & (~gone[:-1] | (of[1:] != of[:-1]))
         begin = np.flatnonzero(edge)
         edge = gone.copy()
-        edge[:-1] = gone[:-1] & (~gone[1:] | (row[1:] != row[:-1]))
+        edge[:-1] = gone[:-1] & (~gone[1:] | (of[1:] != of[:-1]))
         stop = np.flatnonzero(edge)
-        at = first[row[begin]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[row[begin]]), pa.array(at + offset[begin]), pa.array(at + offset[stop] + LENGTH)], names=["doc", "start", "stop"]
-        )
+        runs = np.bincount(of[begin], minlength=len(windows))
+        owner = np.flatnonzero(doc == smallest[piece])
+        copy = np.flatnonzero(doc != smallest[piece])
+        # the runs of its stretch for each row of a smallest doc_id
+        counts = runs[piece[owner]]
+        row = np.repeat(owner, counts)
+        run = np.repeat((np.cumsum(runs) - runs)[piece[owner]] - (np.cumsum(counts) - counts), counts) + np.arange(len(row))
+        rows = np.concatenate((row, copy))
+        start = first[rows] + np.concatenate((offset[begin][run], np.zeros(len(copy), np.int64)))
+        end = first[rows] + np.concatenate((offset[stop][run] + 1, windows[piece[copy]])) + LENGTH - 1
+        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start), pa.array(end)], names=["doc", "start", "stop"])
 
     for batch in batches:
         if not len(batch):
