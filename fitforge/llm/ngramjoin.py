@@ -170,7 +170,7 @@ def _frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _signatures(width: int, percent: int, frequent: np.ndarray, levels: np.ndarray):
-    """Rows (doc, n, digest, prefix_1, prefix_2, prefix_3, text)."""
+    """Rows (doc, n, digest, prefix_1, prefix_2, prefix_3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +192,7 @@ def _signatures(width: int, percent: int, frequent: np.ndarray, levels: np.ndarr
                         out[2 + k].append(found[np.lexsort((rank, level))[: long if k else short]].view(np.int64))
                 arrays = [batch.column(0).slice(at, len(texts)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())]
                 arrays += [pa.array(x, pa.list_(pa.int64())) for x in out[2:]]
-                yield pa.RecordBatch.from_arrays([*arrays, batch.column(1).slice(at, len(texts))], names=["doc", "n", "digest", "prefix_1", "prefix_2", "prefix_3", "text"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "digest", "prefix_1", "prefix_2", "prefix_3"])
                 at += len(texts)
 
     return run
@@ -234,10 +234,11 @@ def _side(rows: DataFrame, side: str, columns: tuple[str, ...]) -> DataFrame:
     return rows.select(*(F.col(c).alias(side if c == "doc" else c if c == "token" else f"{c}_{side}") for c in columns))
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    texts = signatures.select("doc", "text")
-    full = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """Of distinct pairs (a, b) those that the other orders let pass and whose full sets are similar enough."""
+    columns = ("doc", "n", "prefix_2", "prefix_3")
+    likely = pairs.join(_side(signatures, "a", columns), "a").join(_side(signatures, "b", columns), "b").where(_near(percent)).select("a", "b")
+    full = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return cut(full.mapInArrow(_verify(width, percent), "a long, b long"), name)
 
 
@@ -260,42 +261,32 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     candidates = per_doc.where((F.col("n") > 0) & (F.col("credit") >= needed)).select(F.col("doc").alias("doc_id"))
     texts = cut(source.join(candidates, "doc_id", "left_semi"), "candidates")
     signatures = cut(
-        texts.mapInArrow(
-            _signatures(width, percent, *_frequent_tokens(texts, width)),
-            "doc long, n long, digest binary, prefix_1 array<long>, prefix_2 array<long>, prefix_3 array<long>, text string",
-        ),
+        texts.mapInArrow(_signatures(width, percent, *_frequent_tokens(texts, width)), "doc long, n long, digest binary, prefix_1 array<long>, prefix_2 array<long>, prefix_3 array<long>"),
         "signatures",
     )
     same = cut(signatures.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "same")
-    # a set's own representative; repeated rows of it are one
-    own = signatures.join(same.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    members = cut(signatures.select("doc", "digest").join(same.where("copies > 1"), "digest").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct(), "members")
-    reps = cut(own, "representatives") if members.limit(1).count() else signatures.dropDuplicates(["doc"])
-
-    postings = reps.select("doc", "n", F.posexplode("prefix_1").alias("place", "token"))
+    members = signatures.select("doc", "digest").join(same.where("copies > 1"), "digest").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
+    postings = signatures.select("doc", "n", F.posexplode("prefix_1").alias("place", "token")).join(same.select(F.col("rep").alias("doc")), "doc", "left_semi")
     shared = postings.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
     groups = cut(postings.join(shared, "token"), "groups")
     # the pivot of a group: of the longest sets, which edits tend to shorten, the smallest doc_id
     pivots = groups.groupBy("token").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc")).alias("p"))
     pivots = groups.join(pivots.select("token", F.col("p.doc").alias("doc")), ["token", "doc"])
-    postings = ("token", "doc", "n", "place")
-    stars = _side(pivots, "a", postings).join(_side(groups, "b", postings), "token").where((F.col("a") != F.col("b")) & _reachable(percent)).select("a", "b").distinct()
-    columns = ("doc", "n", "prefix_2", "prefix_3")
-    likely = stars.join(_side(reps, "a", columns), "a").join(_side(reps, "b", columns), "b").where(_near(percent)).select("a", "b")
-    links = _verified(likely, reps, width, percent, "links_1")
+    columns = ("token", "doc", "n", "place")
+    stars = _side(pivots, "a", columns).join(_side(groups, "b", columns), "token").where((F.col("a") != F.col("b")) & _reachable(percent)).select("a", "b").distinct()
+    stars = cut(stars, "stars")
+    links = _verified(stars, signatures, texts, width, percent, "links_1")
 
     labels = connected_components(links)
-    named = groups.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "place", F.coalesce("component", "doc").alias("component"))
+    named = groups.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("component"))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("docs")).where("lo != hi and docs > 2").select("token")
-    rest = cut(named.join(mixed, "token").join(reps.select("doc", "n", "prefix_1", "prefix_2", "prefix_3"), "doc"), "rest")
+    rest = cut(named.join(mixed, "token"), "rest")
     if rest.limit(1).count():
-        columns = ("token", "doc", "place", "component", "n", "prefix_1", "prefix_2", "prefix_3")
-        one, other = _side(rest, "a", columns), _side(rest, "b", columns)
-        # each pair once: in the group of its first common token
-        once = F.element_at(F.array_intersect("prefix_1_a", "prefix_1_b"), 1) == one["token"]
-        pairs = one.join(other, (one["token"] == other["token"]) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _reachable(percent) & once & _near(percent)).select("a", "b")
+        columns = ("token", "doc", "n", "place", "component")
+        apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+        pairs = _side(rest, "a", columns).join(_side(rest, "b", columns), "token").where(apart & _reachable(percent)).select("a", "b").distinct()
         tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.unionByName(_verified(pairs.join(tested, ["a", "b"], "left_anti"), reps, width, percent, "links_2"))
+        links = links.unionByName(_verified(pairs.join(tested, ["a", "b"], "left_anti"), signatures, texts, width, percent, "links_2"))
     classes = connected_components(links.unionByName(members))
     named_docs = per_doc.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return docs.select("doc_id").join(named_docs, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
