@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,13 +28,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Have Spark drop a query's shuffle files as soon as it has ended."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the written table.
 
     Later stages then read files instead of repeating work, and a lost executor
-    costs a reread at most.
+    costs a reread at most.  The shuffle files behind the table are of no more use
+    and go once it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/fitforge-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _without_old_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
