@@ -23,6 +23,8 @@ BUCKETS = 1 << 16
 #: Occurrences that each bucket is given under both models, so that rare n-grams say little.
 PRIOR = 20.0
 SEED = 20_240_101
+#: Labelled good documents that the target model counts, at most: those with the smallest hashes of doc_id.
+TARGET_ROWS = 50_000
 #: Bins by which the k-th largest value, or the best one to cut at, is found.
 BINS = 4096
 
@@ -90,10 +92,23 @@ def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(known, "doc_id", "left")
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The log ratio of target to raw probability of each bucket, counted over all documents."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    marked = docs.select("text", "doc_id").join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+def target_ids(labels: DataFrame, rows: int = TARGET_ROWS, seed: int = SEED) -> DataFrame:
+    """doc_id of ``rows`` documents labelled as good, or of all if they are fewer."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("_place", F.xxhash64("doc_id", F.lit(seed)))
+    # so many hashes go on to the sort, whatever the number of labels
+    share = min(1.0, 1.2 * rows / max(1, good.count()))
+    near = good.where(F.pmod("_place", F.lit(1_000_000)) <= int(share * 1_000_000))
+    return near.orderBy(F.pmod("_place", F.lit(1_000_000)), "doc_id").limit(rows).select("doc_id")
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS) -> np.ndarray:
+    """The log ratio of target to raw probability of each bucket.
+
+    The raw model counts all documents, the target model at most ``target_rows`` good
+    ones; these ids are so few that they are broadcast and no text is shuffled.
+    """
+    good = target_ids(labels, target_rows).withColumn("good", F.lit(True))
+    marked = docs.select("text", "doc_id").join(F.broadcast(good), "doc_id", "left")
     rows = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_counts(buckets), "bucket long, target long, raw long")
     # as many rows as there are buckets, however large the corpus
     sums = rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
@@ -103,20 +118,25 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.
     return np.log((target + PRIOR) / (expected + PRIOR))
 
 
+def _weights(doc_id: pa.Array, text: pa.Array, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The log weight of each row, and the noisy one."""
+    weight = np.zeros(len(text))
+    for texts in texts_of(text):
+        grams, counts = ngram_buckets(texts, len(ratio))
+        whose = np.repeat(np.arange(len(texts)), counts)
+        weight[texts.first : texts.first + len(texts)] = np.bincount(whose, ratio[grams], minlength=len(texts))
+    key = doc_id.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+    uniform = ((mix(key + _U64(seed)) >> _U64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return weight, weight - np.log(-np.log(uniform))
+
+
 def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight and noisy_weight (with Gumbel noise by a hash of doc_id) of each row."""
-    buckets = len(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weight = np.zeros(len(batch))
-            for texts in texts_of(batch.column(1)):
-                grams, counts = ngram_buckets(texts, buckets)
-                whose = np.repeat(np.arange(len(texts)), counts)
-                weight[texts.first : texts.first + len(texts)] = np.bincount(whose, ratio[grams], minlength=len(texts))
-            key = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-            uniform = ((mix(key + _U64(seed)) >> _U64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(weight - np.log(-np.log(uniform)))], names=["doc_id", "log_weight", "noisy_weight"])
+            weight, noisy = _weights(batch.column(0), batch.column(1), ratio, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(noisy)], names=["doc_id", "log_weight", "noisy_weight"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, noisy_weight double")
 
@@ -168,6 +188,13 @@ def kth_largest(weights: DataFrame, k: int) -> float:
             return few[-1][0] if few else -np.inf
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, k: int | None, buckets: int, seed: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The weights of all rows, the ratio behind them, and the noisy weight from which on rows stay."""
+    ratio = fit_ratio(docs, labels, buckets)
+    weights = cut(log_weights(docs, ratio, seed), "weights")
+    return weights, ratio, calibrated_floor(weights, labels) if k is None else kth_largest(weights, k)
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, log_weight, noisy_weight, kept.
 
@@ -177,13 +204,21 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets:
     kept or not together, so that ties at the k-th place all stay; labels of
     unknown documents do not count; an empty table gives no rows.
     """
-    ratio = fit_ratio(docs, labels, buckets)
-    weights = cut(log_weights(docs, ratio, seed), "weights")
-    floor = calibrated_floor(weights, labels) if k is None else kth_largest(weights, k)
+    weights, _, floor = _fitted(docs, labels, k, buckets, seed)
     return weights.withColumn("kept", F.col("noisy_weight") >= F.lit(floor))
 
 
-def keep_target_like(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`resample` keeps, with all their columns."""
-    kept = resample(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep_target_like(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that :func:`resample` keeps, with all their columns.
+
+    Rows are weighed once more where they are read, which costs less than to shuffle
+    their texts; rows without doc_id are judged by their texts as well.
+    """
+    _, ratio, floor = _fitted(docs, labels, k, buckets, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, noisy = _weights(batch.column("doc_id"), batch.column("text"), ratio, seed)
+            yield batch.filter(pa.array(noisy >= floor))
+
+    return docs.mapInArrow(run, docs.schema)

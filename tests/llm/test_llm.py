@@ -210,3 +210,18 @@ def test_pipeline(spark):
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     kept = {r["doc_id"] for r in found.collect()}
     assert 0 < len(kept) < spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_kept_rows_are_those_that_resampling_keeps(spark, docs, labels):
+    wanted = sorted(r["doc_id"] for r in resampling.resample(docs, labels).where("kept").collect())
+    found = resampling.keep_target_like(docs, labels)
+    assert sorted(r["doc_id"] for r in found.collect()) == wanted and found.columns == docs.columns
+    assert resampling.target_ids(labels, 5).count() == 5
+
+
+def test_cut_leaves_the_setting_as_it_was(spark):
+    from fitforge.llm import scratch
+
+    before = spark.conf.get(scratch._CLEANUP, None)
+    assert scratch.cut(spark.range(5).distinct(), "five").count() == 5
+    assert spark.conf.get(scratch._CLEANUP, None) == before
