@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from fitforge.functions import text
-from fitforge.operators import scoring, snapshots, vectors
+from fitforge.operators import layout, maintenance, scoring, snapshots, vectors
 from fitforge.sources import boards
 from fitforge.streaming import limits
 
@@ -57,3 +57,38 @@ def test_hourly_counts_over_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, limits.hourly_counts(events, "user_id", "ts").collect()))
+
+
+def test_upsert_never_revives(spark):
+    stored = spark.createDataFrame([(1, "a", False), (2, "b", True)], "k int, name string, active boolean")
+    incoming = spark.createDataFrame([(1, "A"), (3, "c")], "k int, name string")
+    found = maintenance.upsert_names(stored, incoming, "k", "name", "active").collect()
+    assert sorted(map(tuple, found)) == [(1, "A", False), (2, "b", True), (3, "c", True)]
+
+
+def test_active_rows(spark):
+    rows = spark.createDataFrame([(1, 10, True), (1, 11, False), (2, 20, True), (2, 21, False)], "g int, k int, active boolean")
+    targets = spark.createDataFrame([(1, 11), (2, 99)], "g int, k int")
+    found = {r["k"]: r["active"] for r in maintenance.activate(rows, targets, "g", "k", "active").collect()}
+    assert found == {10: False, 11: True, 20: True, 21: False}  # the other group's target is not its own
+    left = maintenance.delete_and_promote(rows, F.col("k") == 10, "g", "active", [F.desc("k")])
+    assert {r["k"]: r["active"] for r in left.collect()} == {11: True, 20: True, 21: False}
+
+
+def test_inserts_and_deletes(spark):
+    stored = spark.createDataFrame([(1, 1, 0)], "u int, j int, at int")
+    incoming = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 2, 3)], "u int, j int, at int")
+    found = {r["at"]: r["inserted"] for r in maintenance.insert_unique(stored, incoming, ["u", "j"], ["at"]).collect()}
+    assert found == {1: False, 2: True, 3: False}
+    left, answers = maintenance.delete_own(stored, spark.createDataFrame([(1, 1), (2, 1)], "u int, j int"), "u", "j")
+    assert left.count() == 0 and {r["u"]: r["deleted"] for r in answers.collect()} == {1: True, 2: False}
+
+
+def test_layout(spark):
+    spans = spark.createDataFrame([(1, 0, 2), (1, 2, 3), (1, 5, 5), (1, 9, 8)], "g int, a int, b int")
+    found = {r["x"]: r["covered"] for r in layout.coverage_histogram(spans, "g", "a", "b").collect()}
+    assert found == {0: 1, 1: 1, 2: 2, 3: 1, 5: 1}  # an interval that ends before it starts covers nothing
+    pages = spark.createDataFrame([("d", 1, "Page 1\nx"), ("d", 2, " page 2\ny"), ("d", 3, None)], "d string, p int, t string")
+    assert [tuple(r) for r in layout.repeated_lines(pages, "d", "p", "t").collect()] == [("d", "page #", 2)]
+    sizes = spark.createDataFrame([(1, 10.0, 3), (1, 12.0, 2), (1, 12.0, 1)], "g int, size double, n int")
+    assert tuple(layout.weighted_mode(sizes, "g", "size", F.col("n")).first()) == (1, 10.0, 3)

@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 
+from fitforge.plans import upkeep  # noqa: F401 - registers its queries
 from fitforge.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
