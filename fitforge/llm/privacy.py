@@ -5,7 +5,9 @@ the replacement is a keyed permutation (a Feistel network over the letters and
 digits of the value), so that one entity has one surrogate everywhere and two
 entities never share one.  A check over the entities of all documents finds
 surrogates that are real entities or meet in spite of different formats, and
-gives those entities another turn of the permutation.
+gives those entities another turn of the permutation, until none is left.  Later
+turns reach further, so that small forms are not used up: names leave the list of
+first names, and names, e-mail addresses and secrets grow by keyed characters.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from fitforge.llm.scratch import cut
 KEY = b"fitforge surrogate key"
 #: Entities with another turn are sent to all tasks up to this many, joined beyond.
 MOST_EXCEPTIONS = 10_000
+#: Turns within the list of first names, and turns before a surrogate grows.
+LIST_TURNS, PLAIN_TURNS = 2, 4
 _TURNS = 8
 
 # Letters of a script and case that stand for each other.
@@ -120,16 +127,40 @@ def permute(digits: list[int], bases: list[int], key: bytes, tweak: str) -> list
     return out
 
 
-def _permuted_text(value: str, key: bytes, tweak: str, classes: list[str] = _CLASSES) -> str:
-    """The value with its letters and digits permuted within script and case; the rest stays."""
+@cache
+def _class_of(c: str) -> str | None:
+    """The characters that may stand for one: a fixed class, its script's digits, or its kind within its block of 128."""
+    for letters in _CLASSES:
+        if c in letters:
+            return letters
+    if not c.isalnum():
+        return None
+    digit, first = unicodedata.decimal(c, None), ord(c) & ~0x7F
+    if digit is not None:
+        return "".join(chr(ord(c) - digit + i) for i in range(10))
+    block = [x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == unicodedata.category(c)]
+    known = "".join(_CLASSES)
+    block = [x for x in block if x not in known and x in (x.upper().lower(), x.lower().upper())]  # case can change and come back
+    return "".join(block) if c in block and len(block) > 1 else None
+
+
+def _keyed_text(length: int, letters: str, key: bytes, *parts: object) -> str:
+    return "".join(letters[_prf(key, *parts, i) % len(letters)] for i in range(length))
+
+
+def _permuted_text(value: str, key: bytes, tweak: str, letters_of: str | None = None) -> str:
+    """The value with its letters and digits permuted within script and case; the rest stays.
+
+    A value without any is replaced whole by keyed letters and digits.
+    """
     places, digits, bases, letters = [], [], [], []
     for i, c in enumerate(value):
-        for letters_of in classes:
-            at = letters_of.find(c)
-            if at >= 0:
-                places.append(i), digits.append(at), bases.append(len(letters_of)), letters.append(letters_of)
-                break
-    form = "".join(str(classes.index(x)) for x in letters)
+        found = letters_of or _class_of(c)
+        if found:
+            places.append(i), digits.append(found.index(c)), bases.append(len(found)), letters.append(found)
+    if value and not places:
+        return _keyed_text(len(value), "".join(_CLASSES[:3]), key, tweak, value)
+    form = "".join(x[0] for x in letters)
     out = list(value)
     for i, d, x in zip(places, permute(digits, bases, key, f"{tweak}/{form}"), letters, strict=True):
         out[i] = x[d]
@@ -142,35 +173,43 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(kind: str, value: str, key: bytes = KEY, turn: int = 0) -> str:
-    """The replacement of a canonical value: same type, script and format, valid where the value is."""
-    tweak = f"{kind}/{turn}"
+    """The replacement of a canonical value: same type, script and format, valid where the value is.
+
+    From PLAIN_TURNS on, forms of any length grow by one keyed character more with
+    each turn, and a phone number's country code no longer stays.
+    """
+    tweak, grown = f"{kind}/{turn}", max(0, turn - PLAIN_TURNS + 1)
     if kind == "email":
         local, domain = value.split("@", 1)
         labels = domain.split(".")
-        return f"{_permuted_text(local + '@' + '.'.join(labels[:-1]), key, tweak)}.{labels[-1]}"
+        rest = local + "@" + ".".join(labels[:-1])
+        made = _permuted_text(rest, key, tweak) if any(map(_class_of, rest)) else f"{_permuted_text(local, key, tweak)}@{domain.rpartition('.')[0]}"
+        return f"{_keyed_text(grown, _CLASSES[1], key, tweak, value)}{made}.{labels[-1]}"
     if kind == "card":  # the check digit stays right where it is
         body, off = value[:-1], (int(value[-1]) - _luhn(value[:-1])) % 10
         body = _permuted_text(body, key, tweak)
-        return body + str((_luhn(body) + off) % 10)
+        return body + _class_of(value[-1])[(_luhn(body) + off) % 10]
     if kind == "ip":
-        return ".".join(map(str, permute([int(x) for x in value.split(".")], [256] * 4, key, tweak)))
+        digits = _class_of(value[0])
+        return ".".join("".join(digits[int(d)] for d in str(x)) for x in permute([int(x) for x in value.split(".")], [256] * 4, key, tweak))
     if kind == "phone":  # the country code stays
-        head = re.match(r"\+\d", value)
+        head = re.match(r"\+\d", value) if not grown else None
         head = head[0] if head else ""
         return head + _permuted_text(value[len(head) :], key, tweak)
     if kind in ("hex", "secret") and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
-        return _permuted_text(value, key, tweak, [_HEX[0]] if value == value.lower() else [_HEX[1]])
+        letters = _HEX[0] if value == value.lower() else _HEX[1]
+        return _permuted_text(value, key, tweak, letters) + _keyed_text(grown, letters, key, tweak, value)
     if kind == "iban":
         return value[:2] + _permuted_text(value[2:], key, tweak)
     if kind.startswith("name"):
         names = _FIRST_NAMES[kind[-1]]
         first, _, last = value.partition(" ")
-        if first in names:
+        if first in names and turn < LIST_TURNS:
             first = names[permute([names.index(first)], [len(names)], key, tweak)[0]]
         else:
-            first = _permuted_text(first, key, tweak)
+            first = _permuted_text(first, key, tweak) + _keyed_text(grown, _CLASSES[1], key, tweak, value)
         return f"{first} {_permuted_text(last, key, tweak)}" if last else first
-    return _permuted_text(value, key, tweak)
+    return _permuted_text(value, key, tweak) + _keyed_text(grown if kind == "secret" else 0, "".join(_CLASSES[:3]), key, tweak, value)
 
 
 def _as_written(kind: str, written: str, replacement: str) -> str:
@@ -199,16 +238,18 @@ def _assigned(entities: DataFrame, key: bytes, turn: int) -> DataFrame:
     return entities.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string").withColumn("turn", F.lit(turn))
 
 
-def assign_surrogates(docs: DataFrame, key: bytes = KEY, most_turns: int = 8) -> DataFrame:
+def assign_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, value, surrogate and turn of every entity of the documents, checked for collisions.
 
     An entity whose surrogate is a real entity, or that of another entity as well
-    (then all but the smallest value), takes the next turn of its permutation.
+    (then all but the smallest value), takes the next turn of its permutation, until
+    there is none.  Forms of fixed width (cards, ssn, ip, iban, phones) have millions
+    of values at least; all others grow.
     """
     entities = cut(docs.select("text").mapInArrow(_mentions, "kind string, value string").distinct(), "entities")
     real = entities.select(F.col("value").alias("surrogate")).distinct()
     final = cut(_assigned(entities, key, 0), "assigned_0")
-    for turn in range(1, most_turns + 1):
+    for turn in count(1):
         least = final.groupBy("surrogate").agg(F.min(F.struct("value", "kind")).alias("owner"), F.count("*").alias("owners"))
         meets = final.join(least.where("owners > 1"), "surrogate").where(F.struct("value", "kind") != F.col("owner")).select("kind", "value")
         colliding = cut(final.join(real, "surrogate", "left_semi").select("kind", "value").unionByName(meets).distinct(), f"colliding_{turn}")
@@ -216,7 +257,6 @@ def assign_surrogates(docs: DataFrame, key: bytes = KEY, most_turns: int = 8) ->
             return final
         stay = final.join(colliding, ["kind", "value"], "left_anti")
         final = cut(stay.unionByName(_assigned(colliding, key, turn)), f"assigned_{turn}")
-    raise RuntimeError(f"surrogates still collide after {most_turns} turns")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -187,6 +187,15 @@ def test_surrogates(spark):
     assert len(made) == 40 * 256
 
 
+def test_surrogates_of_forms_that_are_used_up(spark):
+    texts = ["Password: ____________ 1", "1 用户@例子.公司", "1 Tel +٣٣ ٦١٢ ٣٤٥ ٦٧٨", *(f"Password: ____________{i}" for i in range(10)), *(f"Mr. {n}." for n in privacy._FIRST_NAMES["m"])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = privacy.assign_surrogates(docs).collect()
+    assert len(made) == len(texts) == len({r["surrogate"] for r in made}) and not {r["surrogate"] for r in made} & {r["value"] for r in made}
+    found = {r["doc_id"]: r["text"] for r in privacy.replace_entities(docs).collect()}
+    assert all(found[i] != t for i, t in enumerate(texts)) and re.fullmatch(r"1 Tel \+٣[٠-٩] [٠-٩]{3} [٠-٩]{3} [٠-٩]{3}", found[2])
+
+
 def test_tool_calls(spark):
     schemas = {"add": {"required": ["a"], "properties": {"a": "integer", "b": "integer"}}}
     calls = '{"tool_calls": [{"id": "2", "name": "add", "arguments": {"b": 1, "a": 2}, "after": ["1"]}, {"id": "1", "name": "add", "arguments": {"a": "x"}}, {"id": "3", "name": "add", "arguments": {"a": 1}, "after": ["3"]}]}'
