@@ -68,7 +68,9 @@ _PATTERNS = {
     "name": rf"\b((?i:mr|mrs|ms|miss|herr|frau|monsieur|madame|mme|señor|señora)\.? )({_NAME}(?: {_NAME})?)",
 }
 _FINDERS = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT = re.compile(r"\d")
+# Types that may match in a text without any digit, as \d has them.
+_DIGITLESS = ["email", "secret", "hex", "name"]
 
 
 def _digits(value: str) -> str:
@@ -81,12 +83,10 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     A match that overlaps an earlier type's is left out.  A phone number has 9 to 15
     digits and a plus, a bracket or at least two separators.
     """
-    kinds = ["name"] if not _DIGIT.search(text) else list(_FINDERS)
-    if "@" in text and "email" not in kinds:
-        kinds.insert(0, "email")
+    kinds = list(_FINDERS) if _DIGIT.search(text) else _DIGITLESS
     taken: list[tuple[int, int, str]] = []
-    for kind in _FINDERS:
-        if kind not in kinds:
+    for kind in kinds:
+        if kind == "email" and "@" not in text:
             continue
         for m in _FINDERS[kind].finditer(text):
             start, end = m.span(m.lastindex or 0)

@@ -187,6 +187,11 @@ def test_surrogates(spark):
     assert len(made) == 40 * 256
 
 
+def test_entities_of_texts_without_ascii_digits():
+    for text, kind in (("api_key=AbCdEfGhIjKlMnOp", "secret"), ("a password: correct-horse-battery", "secret"), ("abcdefab" * 4, "hex"), ("Tel +٣٣ ٦١٢ ٣٤٥ ٦٧٨", "phone"), ("٤٥٣٩٥٧٨٧٦٣٦٢١٤٨٦", "card")):
+        assert [x[2] for x in privacy.find_entities(text)] == [kind] and [x[2] for x in privacy.find_entities(text + " and 1")] == [kind]
+
+
 def test_surrogates_of_forms_that_are_used_up(spark):
     texts = ["Password: ____________ 1", "1 用户@例子.公司", "1 Tel +٣٣ ٦١٢ ٣٤٥ ٦٧٨", *(f"Password: ____________{i}" for i in range(10)), *(f"Mr. {n}." for n in privacy._FIRST_NAMES["m"])]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
