@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -53,19 +54,37 @@ _FIRST_NAMES = {
 }
 _ADDRESS = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f"}
 
-_UPPER = "A-ZÀ-ÖØ-ÝА-ЯΑ-Ω"
-_LOWER = "a-zß-öø-ÿа-яα-ω"
-_NAME = f"[{_UPPER}][{_LOWER}]+"
+
+def _ranges(kinds: tuple[str, ...]) -> str:
+    """The inside of a pattern's set: all characters of these Unicode categories."""
+    points = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in kinds]
+    firsts = [p for p, before in zip(points, [-2, *points], strict=False) if p != before + 1]
+    lasts = [p for p, after in zip(points, [*points[1:], -2], strict=True) if p != after - 1]
+    return "".join(re.escape(chr(a)) + "-" + re.escape(chr(b)) for a, b in zip(firsts, lasts, strict=True))
+
+
+# Words of names: letters of any script with their marks, begun by one that is no small
+# letter; hyphens and apostrophes within.  An initial keeps its dot.  Fixed values:
+# particles within names, and capitalised words that number something, not a name.
+_BEGIN = f"[{_ranges(('Lu', 'Lt', 'Lo'))}]"
+_LETTERS = "(?:[^\\W\\d_][\u0300-\u036f]*)"
+_WORD = f"(?:{_BEGIN}\\.(?= )|(?:[dlDL]['’])?(?={_BEGIN}){_LETTERS}++(?:['’‐-]{_LETTERS}++)*+)"
+_PARTICLES = "(?: (?:de|da|di|do|du|dos|del|della|der|den|la|le|las|los|van|von|zu|zum|zur|ten|ter|af|av|bin|bint|ibn|al|el))"
+_NUMBERED = "(?:Version|Chapter|Section|Page|Room|Table|Figure|Part|Number|No|Kapitel|Abschnitt|Seite|Raum|Tabelle|Teil|Nummer|Nr|Chapitre|Salle|Tableau|Capítulo|Sección|Página|Tabla)"
+_NAME = f"{_WORD}(?:{_PARTICLES}{{0,3}} (?!{_NUMBERED}\\.? ?\\d){_WORD})*"
+_QUOTES = "\"'`“”‘’«»"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_\-+/.]{12,})",
+    "secret": r"(?i:(?<![^\W_])(?:token|secret|password|passwd|passphrase|pwd|api[ _-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*)"
+    + rf"(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})'|[{_QUOTES}]?([^\s{_QUOTES}]{{3,}}[^\s{_QUOTES}.,;:!?)\]}}]))",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     "ip": r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])",
-    "name": rf"\b((?i:mr|mrs|ms|miss|herr|frau|monsieur|madame|mme|señor|señora)\.? )({_NAME}(?: {_NAME})?)",
+    "phone": r"(?<![\w+])(?:\+(?:\)?[ ./-]?\(?\d){8,15}(?!\w)"
+    + r"|(?:\(\d{1,5}\)[ .-]?\d{2,}(?:[ .-]\d{2,})*|0\d{1,5}[ /-]\d{3,}(?:[ .-]\d{2,})*|\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-]))",
+    "name": rf"\b((?i:mr|mrs|ms|miss|herr|frau|monsieur|madame|mme|señor|señora)\.? )({_NAME})",
 }
 _FINDERS = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
 _DIGIT = re.compile(r"\d")
@@ -80,8 +99,8 @@ def _digits(value: str) -> str:
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and type of the entities of a text, in order and apart from each other.
 
-    A match that overlaps an earlier type's is left out.  A phone number has 9 to 15
-    digits and a plus, a bracket or at least two separators.
+    A match that overlaps an earlier type's is left out.  A phone number has a plus
+    and 8 to 15 digits, or 9 to 15 and a bracket, a leading 0 or at least two separators.
     """
     kinds = list(_FINDERS) if _DIGIT.search(text) else _DIGITLESS
     taken: list[tuple[int, int, str]] = []
@@ -90,7 +109,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in _FINDERS[kind].finditer(text):
             start, end = m.span(m.lastindex or 0)
-            if kind == "phone" and not (9 <= len(_digits(m[0])) <= 15 and ("+" in m[0] or "(" in m[0] or len(re.findall(r"[ .-]", m[0])) >= 2)):
+            if kind == "phone" and m[0][0] != "+" and not (9 <= len(_digits(m[0])) <= 15 and (m[0][0] in "(0" or len(re.findall(r"[ .-]", m[0])) >= 2)):
                 continue
             if all(end <= a or b <= start for a, b, _ in taken):
                 taken.append((start, end, f"name:{_gender(m[1])}" if kind == "name" else kind))
@@ -105,7 +124,9 @@ def canonical(kind: str, value: str) -> str:
     """What makes two mentions one entity: case does not in e-mail addresses, nor do separators in numbers."""
     if kind == "email":
         return value.lower()
-    return re.sub(r"[ .-]", "", value) if kind in ("card", "iban", "phone", "ssn") else value
+    if kind == "phone":
+        return "+" * value.startswith("+") + _digits(value)
+    return re.sub(r"[ .-]", "", value) if kind in ("card", "iban", "ssn") else value
 
 
 def _prf(key: bytes, *parts: object) -> int:
@@ -216,7 +237,10 @@ def _as_written(kind: str, written: str, replacement: str) -> str:
     """The replacement with the separators and the case of the mention."""
     if kind == "email":
         return replacement.upper() if written == written.upper() else replacement
-    if kind not in ("card", "iban", "phone", "ssn"):
+    if kind == "phone":
+        digits = iter(_digits(replacement))
+        return "".join(next(digits) if c.isdecimal() else c for c in written)
+    if kind not in ("card", "iban", "ssn"):
         return replacement
     letters = iter(replacement)
     return "".join(c if c in " .-" else next(letters) for c in written)

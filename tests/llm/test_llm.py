@@ -192,6 +192,22 @@ def test_entities_of_texts_without_ascii_digits():
         assert [x[2] for x in privacy.find_entities(text)] == [kind] and [x[2] for x in privacy.find_entities(text + " and 1")] == [kind]
 
 
+def test_whole_entities_are_found():
+    whole = {
+        "phone": ["+14155550123", "+49 151 12345678", "+33 1 23 45 67 89", "+49 (0)151 12345678", "(030) 12345678", "0151 12345678", "+1 (017) 555-7713", "01 23 45 67 89"],
+        "name:m": ["McDonald", "John Michael Smith", "Jean-Pierre Martin", "Dvořák", "O'Brien", "d'Artagnan", "J. R. Smith", "Juan de la Cruz", "李明", "Dvor\u030c\u00e1k"],
+        "secret": ["hunter2", "correct-horse-battery", "pa$$w0rd!x", "a;b,c"],
+    }
+    before = {"phone": "call 1: ", "name:m": "so Mr. ", "secret": "the password: "}
+    for kind, values in whole.items():
+        for value in values:
+            for after in (", then", ".", " went on", ""):
+                text = before[kind] + value + after
+                assert [(text[a:b], k) for a, b, k in privacy.find_entities(text)] == [(value, kind)], text
+    assert [x for x in privacy.find_entities('password="two words, here" x')] == [(10, 25, "secret")]
+    assert privacy.canonical("phone", "+1 (017) 555-7713") == privacy.canonical("phone", "+10175557713")
+
+
 def test_surrogates_of_forms_that_are_used_up(spark):
     texts = ["Password: ____________ 1", "1 用户@例子.公司", "1 Tel +٣٣ ٦١٢ ٣٤٥ ٦٧٨", *(f"Password: ____________{i}" for i in range(10)), *(f"Mr. {n}." for n in privacy._FIRST_NAMES["m"])]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
