@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from fitforge.llm.textkernel import Texts, span_hashes, texts_of
 LENGTH = 50
 GRAM = 20
 
-#: Bytes that are sorted together; names of that many suffixes fit in 21 bits.
+#: Bytes that are sorted together; an anchor with more has its windows dealt by hash into parts of that many.
 SORTED_BYTES = 2_000_000
 
 
@@ -150,7 +151,8 @@ def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) ->
     n = len(data)
     t = np.concatenate((data, np.zeros(3 * LENGTH, np.uint8))).astype(np.uint64)
     sampled = np.flatnonzero(np.arange(n + 2 * LENGTH) % 3)
-    shift = np.uint64(21)
+    # three names of 21 bits fit in one number; names of more suffixes are paired one after the other
+    narrow, shift = len(sampled) < 1 << 21, np.uint64(21 if len(sampled) < 1 << 21 else 32)
 
     def spread(names: np.ndarray) -> np.ndarray:
         out = np.zeros(n + 3 * LENGTH, np.uint64)
@@ -160,16 +162,17 @@ def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) ->
     # names of sampled triples, of triples of names (9 and 27 bytes), and of 48 bytes
     name = spread(_names(t[sampled] << np.uint64(16) | t[sampled + 1] << np.uint64(8) | t[sampled + 2]))
     for step in (3, 9):
-        name = spread(_names((name[sampled] << shift | name[np.minimum(sampled + step, n + 2 * LENGTH)]) << shift | name[np.minimum(sampled + 2 * step, n + 2 * LENGTH)]))
+        two = name[sampled] << shift | name[np.minimum(sampled + step, n + 2 * LENGTH)]
+        name = spread(_names((two if narrow else _names(two)) << shift | name[np.minimum(sampled + 2 * step, n + 2 * LENGTH)]))
     name = spread(_names(name[sampled] << shift | name[np.minimum(sampled + 21, n + 2 * LENGTH)]))
 
-    byte, wide = np.uint64(8), np.uint64(16)
+    byte, wide, whole = np.uint64(8), np.uint64(16), np.uint64(40)
     out = holder.copy()
     residue = starts % 3
     # two classes of positions meet where a neighbour of both is sampled
     for pair, key_of in (
-        ((0, 1), lambda p: (t[p] << np.uint64(24) | name[p + 1]) << byte | t[p + LENGTH - 1]),
-        ((0, 2), lambda p: (t[p] << byte | t[p + 1]) << np.uint64(24) | name[p + 2]),
+        ((0, 1), lambda p: (t[p] << whole | name[p + 1]) << byte | t[p + LENGTH - 1]),
+        ((0, 2), lambda p: (t[p] << byte | t[p + 1]) << whole | name[p + 2]),
         ((1, 2), lambda p: name[p] << wide | t[p + LENGTH - 2] << byte | t[p + LENGTH - 1]),
     ):
         rows = np.flatnonzero((residue == pair[0]) | (residue == pair[1]))
@@ -185,10 +188,28 @@ def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) ->
     return out
 
 
+def _smallest_in_parts(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) -> np.ndarray:
+    """As :func:`smallest_holder`, for any number of suffixes: equal windows meet in a part by their hash."""
+    parts = -(-len(starts) // SORTED_BYTES)
+    part = span_hashes(data, starts, starts + LENGTH) % np.uint64(parts)
+    out = holder.copy()
+    for k in range(parts):
+        rows = np.flatnonzero(part == k)
+        windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[rows]]
+        same = np.unique(np.ascontiguousarray(windows).view(f"V{LENGTH}").ravel(), return_inverse=True)[1]
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, holder[rows])
+        out[rows] = least[same]
+    return out
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From stretches sorted by key: rows (doc, start, stop) of windows that a smaller doc_id holds too."""
+    """From stretches sorted by key, bytes and doc: rows (doc, start, stop) of windows that a smaller doc_id holds too.
+
+    Of equal stretches the smallest doc_id's are held until their key is settled; the others go at once."""
     held: list[pa.RecordBatch] = []
     size, last = 0, None
+    run: tuple | None = None  # key, bytes and smallest doc of the last stretch
 
     def settle(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -205,7 +226,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(windows)), windows)
         ends = np.cumsum(windows)
         offset = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
-        gone = smallest_holder(texts.data, texts.bounds[of] + offset, smallest[of]) < smallest[of]
+        least = smallest_holder if len(of) <= SORTED_BYTES else _smallest_in_parts
+        gone = least(texts.data, texts.bounds[of] + offset, smallest[of]) < smallest[of]
         edge = gone.copy()
         edge[1:] = gone[1:] & (~gone[:-1] | (of[1:] != of[:-1]))
         begin = np.flatnonzero(edge)
@@ -229,7 +251,22 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         for a in range(0, len(batch), 2_000):
             part = batch.slice(a, 2_000)
-            key = part.column(0).to_numpy()
+            key, doc, pieces = part.column("key").to_numpy(), part.column("doc").to_numpy(), part.column("bytes")
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | ~pc.equal(pieces.slice(1), pieces.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = run is None or run[0] != key[0] or run[1] != pieces[0].as_py()
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            smallest = np.where(first < 0, run[2] if run else 0, doc[first])
+            run = (key[-1], pieces[len(key) - 1].as_py(), smallest[-1])
+            copy = doc != smallest
+            if copy.any():
+                copies = part.filter(pa.array(copy))
+                start = copies.column("start").to_numpy()
+                yield pa.RecordBatch.from_arrays([copies.column("doc"), pa.array(start), pa.array(start + pc.binary_length(copies.column("bytes")).to_numpy())], names=["doc", "start", "stop"])
+                part = part.filter(pa.array(~copy))
+                if not len(part):
+                    continue
+            key = part.column("key").to_numpy()
             if size > SORTED_BYTES // 2:  # settle at the first change of key
                 change = 0 if key[0] != last else int(np.searchsorted(key, last, "right"))
                 if change < len(key):
@@ -276,7 +313,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = dealt.mapInArrow(_shared_anchors, "doc long, key long")
     wanted = cut(shared.groupBy("doc").agg(F.collect_list("key").alias("keys")), "anchors")
     stretches = source.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(_stretches, "key long, doc long, start long, bytes binary")
-    return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "doc long, start long, stop long")
+    return stretches.repartition("key").sortWithinPartitions("key", "bytes", "doc").mapInArrow(_repeated, "doc long, start long, stop long")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

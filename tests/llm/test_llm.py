@@ -163,6 +163,36 @@ def test_suffixes(docs, rows):
     assert {tuple(x) for x in suffixes.without_repeats(docs).collect()} == wanted
 
 
+def test_suffixes_beyond_the_names_of_21_bits():
+    n = 3_300_000
+    data = np.random.default_rng(5).integers(0, 256, n, dtype=np.uint8)
+    data[-200:] = data[:200]  # 151 windows of two holders
+    starts = np.arange(n - suffixes.LENGTH + 1)
+    holder = np.where(starts < n // 2, 1, 2)
+    for least in (suffixes.smallest_holder, suffixes._smallest_in_parts):
+        found = least(data, starts, holder)
+        assert np.flatnonzero(found < holder).tolist() == list(range(n - 200, n - suffixes.LENGTH + 1))
+
+
+def test_suffixes_of_one_anchor_with_many_contexts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "SORTED_BYTES", 500)
+    r = random.Random(9)
+    contexts = [bytes(r.choice(b"ab") for _ in range(4)) + b"x" * 48 + bytes(r.choice(b"ab") for _ in range(4)) for _ in range(300)]
+    rows = sorted((7, c, doc) for doc, c in enumerate(contexts) for _ in range(1 + doc % 2))
+    sizes, real = [], suffixes.smallest_holder
+    monkeypatch.setattr(suffixes, "smallest_holder", lambda d, s, h: sizes.append(len(s)) or real(d, s, h))
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[2] for x in part]), pa.array([0] * len(part)), pa.array([x[1] for x in part], pa.binary())], names=["key", "doc", "start", "bytes"]) for part in (rows[:170], rows[170:])]
+    gone = {(x["doc"], p) for b in suffixes._repeated(iter(batches)) for x in b.to_pylist() for p in range(x["start"], x["stop"] - suffixes.LENGTH + 1)}
+    least: dict[bytes, int] = {}
+    for doc, c in enumerate(contexts):
+        for p in range(7):
+            least.setdefault(c[p : p + 50], doc)
+    assert gone == {(doc, p) for doc, c in enumerate(contexts) for p in range(7) if least[c[p : p + 50]] < doc}
+    assert all(s <= 500 for s in sizes)
+
+
 def test_resampling_on_held_out_labels(spark):
     data = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
