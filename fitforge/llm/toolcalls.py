@@ -10,7 +10,9 @@ JSON: sorted keys, no blanks, characters as they are.
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,8 @@ from fitforge.llm.scratch import cut
 #: Schemas by tool: required names, and the JSON type of each argument.  ``reply``
 #: stands for the plain exchange of a user's turn and the turn that answers it.
 SCHEMAS: dict[str, dict] = {"reply": {"required": ["text"], "properties": {"text": "string"}}}
-MOST_LEVELS = 64
+#: Needs of a conversation that one task settles by itself.
+TASK_NEEDS = 500_000
 
 _TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 _PARSED = "conv_id long, is_call boolean, call_id string, turn long, name string, arguments string, after array<string>, content string"
@@ -88,24 +91,63 @@ def argument_errors(name: str | None, arguments: str | None, schemas: dict[str,
     return out
 
 
+def _task_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From needs sorted by conversation: rows (conv_id, call_id, level) of those that become ready."""
+
+    def settle(conv_id: int, pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+        open_needs = Counter(call for call, _ in pairs)
+        behind = defaultdict(list)
+        for call, before in pairs:
+            behind[before].append(call)
+        ready = [b for b in behind if b not in open_needs]
+        level = dict.fromkeys(ready, 0)
+        for b in ready:  # grows while it is read
+            for call in behind[b]:
+                level[call] = max(level.get(call, 0), level[b] + 1)
+                open_needs[call] -= 1
+                if not open_needs[call]:
+                    ready.append(call)
+        made = [x for x in ready if x in open_needs]
+        return pa.RecordBatch.from_arrays([pa.array([conv_id] * len(made), pa.int64()), pa.array(made, pa.string()), pa.array([level[x] for x in made], pa.int32())], names=["conv_id", "call_id", "level"])
+
+    last, held = None, []
+    for batch in batches:
+        for conv_id, call, before in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "call_id", "before")), strict=True):
+            if held and conv_id != last:
+                yield settle(last, held)
+                held = []
+            last = conv_id
+            held.append((call, before))
+    if held:
+        yield settle(last, held)
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id and level of calls that need others; calls on a cycle, or behind one, are left out."""
+    """conv_id, call_id and level of calls that need others; calls on a cycle, or behind one, are left out.
+
+    A conversation of up to TASK_NEEDS needs is settled by one task; larger ones
+    level by level, until no call becomes ready.
+    """
     needs = calls.where(F.size("after") > 0).select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
     known = calls.select("conv_id", F.col("call_id").alias("before"))
     needs = cut(needs.join(known, ["conv_id", "before"]), "needs")
     waiting = needs.select("conv_id", "call_id").distinct()
     level = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    for turn in range(MOST_LEVELS):
-        if not waiting.limit(1).count():
-            break
+    large = cut(needs.groupBy("conv_id").count().where(F.col("count") > TASK_NEEDS).select("conv_id"), "large")
+    small = needs.join(large, "conv_id", "left_anti").select("conv_id", "call_id", "before")
+    dealt = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_task_levels, "conv_id long, call_id string, level int")
+    level = level.unionByName(cut(dealt, "task_levels"))
+    if not large.limit(1).count():
+        return level
+    waiting = cut(waiting.join(large, "conv_id", "left_semi"), "waiting")
+    for turn in count():
         done = level.select("conv_id", F.col("call_id").alias("before"), "level")
         state = needs.join(waiting, ["conv_id", "call_id"]).join(done, ["conv_id", "before"], "left").groupBy("conv_id", "call_id")
         ready = cut(state.agg(F.max("level").alias("level"), F.count("*").alias("n"), F.count("level").alias("known")).where("n = known").select("conv_id", "call_id", (F.col("level") + 1).alias("level")), f"ready_{turn}")
         if not ready.limit(1).count():
-            break
-        level = level.unionByName(ready)
+            return level
+        level = cut(level.unionByName(ready), f"level_{turn}")
         waiting = cut(waiting.join(ready, ["conv_id", "call_id"], "left_anti"), f"waiting_{turn}")
-    return level
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -256,6 +257,24 @@ def test_tool_calls(spark):
     assert found["2"]["exchange"] == '{"arguments":{"a":2,"b":1},"id":"2","name":"add","result":{"y":"é","z":1}}'
 
 
+def test_tool_calls_in_a_long_chain(spark, monkeypatch):
+    def chain(n, conv_id):
+        calls = [{"id": str(i), "name": "reply", "arguments": {"text": ""}, "after": [str(i - 1), str(max(0, i - 7))] if i else []} for i in range(n)]
+        cycle = [{"id": "x", "name": "reply", "after": ["y"]}, {"id": "y", "name": "reply", "after": ["x", "0"]}, {"id": "z", "name": "reply", "after": ["y"]}]
+        return conv_id, 0, "assistant", json.dumps({"tool_calls": cycle + calls[::-1]})
+
+    def levels(*rows):
+        found = toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+        return {(r["conv_id"], r["call_id"]): r["level"] for r in found.collect()}
+
+    def wanted(n, conv_id):
+        return {(conv_id, str(i)): i for i in range(n)} | {(conv_id, x): None for x in "xyz"}
+
+    assert levels(chain(300, 1), chain(70, 2)) == wanted(300, 1) | wanted(70, 2)
+    monkeypatch.setattr(toolcalls, "TASK_NEEDS", 20)
+    assert levels(chain(14, 1), chain(5, 2)) == wanted(14, 1) | wanted(5, 2)
+
+
 def test_empty_tables(spark, docs, labels):
     empty = docs.limit(0)
     for f in (lambda d: packing.pack_documents(d, PATH), lambda d: bpe.round_trip_digests(d, PATH), exactdup.exact_duplicates, ngramjoin.similar_components, sharding.byte_shards,
