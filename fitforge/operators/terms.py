@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +18,24 @@ def term_report(docs: DataFrame, group: str, pattern: str, least_groups: int, to
 
 
 def phrase_mentions(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """``key``, phrase and mentions of one- and two-word phrases of a dictionary in texts.
+    """``key``, phrase and mentions of the phrases of a dictionary, of any number of words, in texts.
 
-    Words are runs of letters a-z.  Two-word phrases win over the words in them.
+    Words are runs of letters a-z.  A phrase wins over the shorter ones within it.
     """
     words = docs.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    at = words.select(key, F.posexplode("w").alias("i", "one"), "w").withColumn("two", F.concat_ws(" ", "one", F.try_element_at("w", F.col("i") + 2))).drop("w")
     # looked up by hash; the dictionary is small next to the texts, and Spark broadcasts it where its size allows
     known = phrases.select("phrase").distinct()
-    pairs = at.join(known.withColumnRenamed("phrase", "two"), "two").select(key, "i", F.col("two").alias("phrase"))
-    covered = pairs.select(key, F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("i")).distinct()
-    singles = at.join(known.withColumnRenamed("phrase", "one"), "one").join(covered, [key, "i"], "left_anti").select(key, "i", F.col("one").alias("phrase"))
-    return pairs.unionByName(singles).groupBy(key, "phrase").agg(F.count("*").alias("mentions"))
+    lengths = sorted((r[0] for r in known.select(F.size(F.split("phrase", " "))).distinct().collect()), reverse=True)
+    found: list[tuple[int, DataFrame]] = []
+    for n in lengths:
+        at = words.select(key, F.posexplode("w").alias("i", "one"), "w").where(F.col("i") + n <= F.size("w"))
+        here = at.select(key, "i", F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("phrase")).join(known, "phrase").select(key, "i", "phrase")
+        for longer, places in found:
+            within = places.select(key, F.explode(F.sequence("i", F.col("i") + (longer - n))).alias("i")).distinct()
+            here = here.join(within, [key, "i"], "left_anti")
+        found.append((n, here))
+    every = reduce(DataFrame.unionByName, (x for _, x in found)) if found else words.select(key, F.lit(0).alias("i"), F.lit("").alias("phrase")).limit(0)
+    return every.groupBy(key, "phrase").agg(F.count("*").alias("mentions"))
 
 
 def tfidf_cosine(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of one profile that others are matched against, at most; so they can be broadcast.
@@ -24,16 +24,33 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str, *filters: Co
     """The k rows most similar to the one row of ``query`` (its ``embedding``), best first.
 
     Filters come before the limit, so that they never leave it short.  Rows without
-    embedding are no candidates; equal similarities go by key.
+    embedding are no candidates; equal similarities go by key.  More than one row of
+    ``query`` is an error: see :func:`nearest_of_each`.
     """
     rows = vectors.where(F.col("embedding").isNotNull())
     for f in filters:
         rows = rows.where(f)
-    one = query.select(F.col("embedding").alias("_query")).limit(1)
+    found = query.agg(F.collect_list(F.struct("embedding")).alias("_found")).where(F.size("_found") > 0)
+    one = found.select(F.when(F.size("_found") > 1, F.raise_error(F.lit("nearest takes one query row"))).otherwise(F.get("_found", F.lit(0))["embedding"]).alias("_query"))
     scored = rows.join(F.broadcast(one), F.lit(True)).withColumn("similarity", cosine("embedding", "_query")).drop("_query")
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *filters: Column) -> DataFrame:
+    """For every row of ``queries`` the k rows of ``vectors`` most similar to it.
+
+    Columns of ``queries`` come with ``query_`` before their names, so that filters,
+    which come before the limit, can compare both sides.  Otherwise as :func:`nearest`.
+    """
+    asked = queries.select(*(F.col(c).alias(f"query_{c}") for c in queries.columns))
+    pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(asked)
+    for f in filters:
+        pairs = pairs.where(f)
+    scored = pairs.withColumn("similarity", cosine("embedding", "query_embedding")).drop("embedding", "query_embedding")
+    best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
+    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
 def best_match(rows: DataFrame, bullets: DataFrame, keys: list[str], order: str, most: int = MOST_BULLETS) -> DataFrame:
     """``keys`` and ``best``, the largest similarity of each row to the first ``most`` bullets by ``order``."""
     few = bullets.orderBy(order).limit(most).select(F.col("embedding").alias("_bullet"))

@@ -54,6 +54,13 @@ def top1_nearest_vectors(t):
     return vectors.nearest(rows, query, 100, "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+@_query(f"SELECT b.vec_id AS query_vec_id, a.vec_id, a.label, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.label <> b.label QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) <= 100")
+def top1_nearest_vectors_of_each(t):
+    v = t("embeddings")
+    found = vectors.nearest_of_each(v, v.where("vec_id % 20 = 0"), 100, "vec_id", F.col("label") != F.col("query_label"))
+    return found.select("query_vec_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 @_query(f"""
     WITH b AS (SELECT * FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT {vectors.MOST_BULLETS})
     SELECT a.vec_id, round(max({_COS}), 6) AS best FROM embeddings a, b WHERE a.label <> 0 GROUP BY a.vec_id""")

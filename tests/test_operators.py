@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fitforge.functions import text
-from fitforge.operators import layout, maintenance, scoring, snapshots, vectors
+from fitforge.operators import layout, maintenance, scoring, snapshots, terms, vectors
 from fitforge.sources import boards
 from fitforge.streaming import limits
 
@@ -92,3 +93,17 @@ def test_layout(spark):
     assert [tuple(r) for r in layout.repeated_lines(pages, "d", "p", "t").collect()] == [("d", "page #", 2)]
     sizes = spark.createDataFrame([(1, 10.0, 3), (1, 12.0, 2), (1, 12.0, 1)], "g int, size double, n int")
     assert tuple(layout.weighted_mode(sizes, "g", "size", F.col("n")).first()) == (1, 10.0, 3)
+
+
+def test_nearest_of_each_query_and_no_query_dropped(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, [1.0, 0.1]), (3, 1, [0.0, 1.0]), (4, 0, [0.1, 1.0])], "vec_id long, label int, embedding array<double>")
+    found = vectors.nearest_of_each(v, v.where("label = 0"), 1, "vec_id", F.col("label") != F.col("query_label")).collect()
+    assert sorted((r["query_vec_id"], r["vec_id"]) for r in found) == [(1, 2), (4, 3)]
+    with pytest.raises(Exception, match="one query row"):
+        vectors.nearest(v, v.where("label = 0"), 1, "vec_id").collect()
+
+
+def test_phrases_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "red green blue, green blue; red")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("red green blue",), ("green blue",), ("red",), ("blue",)], "phrase string")
+    assert {r["phrase"]: r["mentions"] for r in terms.phrase_mentions(docs, phrases, "doc_id").collect()} == {"red green blue": 1, "green blue": 1, "red": 1}
