@@ -8,7 +8,7 @@ content are carried, never its members.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitforge.llm.scratch import cut
@@ -76,6 +76,14 @@ def _result(joined: DataFrame, sha256: Column) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
-    kept = exact_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
+
+    Of a group without any doc_id one row stays, by the same order.
+    """
+    found, sha256 = exact_duplicates(docs, **options), _sha256(normalised(F.col("text")))
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256")).distinct()
+    named = docs.join(kept, (docs["doc_id"] == kept["_kept_id"]) & (sha256 == kept["_kept_sha256"]), "left_semi")
+    nameless = found.where("keep_id is null").select(F.col("text_sha256").alias("_sha256")).distinct()
+    best = Window.partitionBy("_sha256").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text")
+    rows = docs.where("doc_id is null").withColumn("_sha256", sha256).join(nameless, "_sha256", "left_semi")
+    return named.unionByName(rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*docs.columns))

@@ -317,11 +317,12 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, k, canonical(k, t[x:y])) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for x, y, k in find_entities(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["_text", "kind", "value"])
 
-    own = source.select("doc_id", "text").mapInArrow(mentioned, "doc_id long, kind string, value string").distinct().join(odd, ["kind", "value"])
-    per_doc = own.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "value", "turn")).alias("_turns"))
-    joined = source.join(per_doc, "doc_id", "left").select(*columns, "_turns")
+    # joined by the text's hash: doc_id may be null or repeated, and texts that share a hash only share what is looked up
+    own = source.select(F.xxhash64("text"), "text").mapInArrow(mentioned, "_text long, kind string, value string").distinct().join(odd, ["kind", "value"])
+    per_text = own.groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "turn")).alias("_turns"))
+    joined = source.withColumn("_text", F.xxhash64("text")).join(per_text, "_text", "left").select(*columns, "_turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

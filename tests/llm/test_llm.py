@@ -111,6 +111,19 @@ def test_exact_duplicates(docs, rows, weak):
     assert sorted(map(tuple, exactdup.exact_duplicates(docs, **options).collect())) == sorted(wanted)
 
 
+def test_kept_copies_without_or_with_repeated_doc_id(spark):
+    rows = [(None, "alone"), (None, "a l o n e"), (None, "with id"), (1, "with id"), (2, "copy"), (3, "copy"), (3, "other")]
+    found = exactdup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(None, "a l o n e"), (1, "with id"), (2, "copy"), (3, "other")], key=repr)
+
+
+def test_exceptions_reach_rows_without_doc_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "Password: ____________1 "), *((i, f"Password: ____________{i} ") for i in (2, 3, 4, 5, 6, 7, 8, 9, 0))], "doc_id long, text string")
+    few = {tuple(r) for r in privacy.replace_entities(docs).collect()}
+    monkeypatch.setattr(privacy, "MOST_EXCEPTIONS", 0)
+    assert {tuple(r) for r in privacy.replace_entities(docs).collect()} == few
+
+
 def test_similarity_join(docs, rows):
     sets = {}
     for r in rows:
