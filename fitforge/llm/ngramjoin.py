@@ -9,31 +9,41 @@ orders the others by a hash of its own.
    prefix, as many tokens must occur in other documents too.  Tokens are combined
    by the tasks that read them, so a token in a third of all documents crosses
    the network once a task.
-2. Documents with equal sets become one representative.
+2. Documents with equal sets, told by SHA-256 over the digests of their words, become
+   one representative.
 3. Within the documents that share a prefix token of the first order, all are
    compared with one of them, the pivot, never all with each other.  Where a group
-   still has several components after that, the pairs between them follow.
+   still has several components after that, it is split by the prefix tokens of the
+   second order, and again by those of the third; each part has a pivot of its own,
+   and only then do the pairs between the components of a part follow.
 4. Pairs must meet the size filter and share prefix tokens under the other orders;
-   then their full sets are compared.
+   then their full sets are compared, word by word.  The text of the one that many are
+   compared with is sent once for every PAIRS_PER_TASK of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitforge.llm.components import connected_components
 from fitforge.llm.scratch import cut
-from fitforge.llm.textkernel import LOWER, Texts, mix, shingle_hashes, span_hashes, texts_of, words_of
+from fitforge.llm.textkernel import LOWER, SLICE_BYTES, Texts, Words, mix, run_numbers, shingle_hashes, texts_of, value_digests, value_hashes, word_numbers, words_of
 
 WIDTH = 5
 PERCENT = 75
 #: Share of a document's set, in percent, that must be found elsewhere in the long prefix of step 1.
 SLACK_PERCENT = 15
+#: Documents that are compared with one text where it is sent once.
+PAIRS_PER_TASK = 2_000
+#: Documents of a group of several components up to which their pairs follow at once; larger groups are split first.
+PAIRED_DOCS = 100
 #: Tokens whose frequency the orders know: the most frequent ones.  Any list gives
 #: the same result; a good one keeps groups small.
 FREQUENT_TOKENS = 100_000
@@ -42,18 +52,37 @@ _ORDERS = (0x51ED2701, 0xA3C59AC3, 0x1B873593)  # seeds
 _MANY = -1  # in place of a document: several documents of a task
 
 
+def _words(texts: Texts) -> tuple[Words, np.ndarray, pa.Array]:
+    """The words of each text, A-Z in lower case, their numbers and the distinct ones."""
+    words = words_of(texts)
+    return words, *word_numbers(LOWER[texts.data], words)
+
+
 def shingle_sets(texts: Texts, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z in lower case."""
-    data = LOWER[texts.data]
-    words = words_of(texts)
-    hashes = span_hashes(data, words.starts, words.ends)
-    shingles, counts = shingle_hashes(hashes, words.per_text, width)
+    words, number, values = _words(texts)
+    shingles, counts = shingle_hashes(value_hashes(values)[number], words.per_text, width)
     at = 0
     for n in counts.tolist():
         yield np.unique(shingles[at : at + n])
         at += n
 
 
+def shingle_digests(texts: Texts, width: int = WIDTH) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Of each text the sorted distinct shingle hashes, and SHA-256 over the words of these shingles."""
+    words, number, values = _words(texts)
+    shingles, counts = shingle_hashes(value_hashes(values)[number], words.per_text, width)
+    digests = np.concatenate((value_digests(values), np.zeros((1, 2), np.uint64)))
+    number = np.append(number, np.full(width, len(values)))
+    at = 0
+    for n, first, n_words in zip(counts.tolist(), words.bounds[:-1].tolist(), words.per_text.tolist(), strict=True):
+        found, place = np.unique(shingles[at : at + n], return_index=True)
+        run = (first + place)[:, None] + np.arange(width)
+        run[run >= first + n_words] = len(number) - 1  # a text of fewer words
+        yield found, sha256(digests[number[run]].tobytes()).digest()
+        at += n
+
+
 def _at_least(n, percent: int):
     return -(-percent * n // 100)
 
@@ -177,11 +206,10 @@ def _signatures(width: int, percent: int, frequent: np.ndarray, levels: np.ndarr
             at = 0
             for texts in texts_of(batch.column(1)):
                 out: list[list] = [[], [], [], [], []]
-                for found in shingle_sets(texts, width):
+                for found, digest in shingle_digests(texts, width):
                     n = len(found)
                     out[0].append(n)
-                    digest = (mix(found).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found + np.uint64(1))), np.uint64(n))
-                    out[1].append(np.array(digest, np.uint64).tobytes())
+                    out[1].append(digest)
                     level = np.zeros(n, np.int8)
                     if len(frequent):
                         place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
@@ -198,19 +226,47 @@ def _signatures(width: int, percent: int, frequent: np.ndarray, levels: np.ndarr
     return run
 
 
+def similar_pairs(texts: Texts, a: np.ndarray, b: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of texts are similar enough, by their words themselves."""
+    words, number, _ = _words(texts)
+    shingle, counts = run_numbers(number, words.per_text, width)
+    kinds = len(number) + 1
+    held = np.unique(np.repeat(np.arange(len(texts)), counts) * kinds + shingle)
+    n = np.bincount(held // kinds, minlength=len(texts)) if len(held) else np.zeros(len(texts), np.int64)
+    first = np.cumsum(n) - n
+    pair = np.repeat(np.arange(len(b)), n[b])
+    place = np.repeat(first[b] - (np.cumsum(n[b]) - n[b]), n[b]) + np.arange(len(pair))
+    wanted = a[pair] * kinds + held[place] % kinds
+    there = held[np.minimum(np.searchsorted(held, wanted), max(0, len(held) - 1))] == wanted if len(held) else np.zeros(0, bool)
+    both = np.bincount(pair[there], minlength=len(b))
+    return (both > 0) & (100 * both >= percent * (n[a] + n[b] - both))
+
+
 def _verify(width: int, percent: int):
-    """From rows (a, b, text_a, text_b): those whose full sets are similar enough."""
+    """From rows (a, part, b, text) sorted so: pairs that are similar enough.
+
+    Of each (a, part) the row without b comes first and has a's own text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, pivot_text = None, None
         for batch in batches:
-            for part in range(0, len(batch), 500):
-                rows = batch.slice(part, 500)
-                sets = [[s for texts in texts_of(rows.column(i)) for s in shingle_sets(texts, width)] for i in (2, 3)]
-                linked = np.zeros(len(rows), bool)
-                for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield rows.select(["a", "b"]).filter(pa.array(linked))
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy()
+            at = 0
+            while at < len(batch):
+                end = at + max(1, min(500, int(np.searchsorted(np.cumsum(sizes[at : at + 500]), SLICE_BYTES, "right"))))
+                rows = batch.slice(at, end - at)
+                at = end
+                own = rows.column("b").is_null().to_numpy(zero_copy_only=False)
+                column = rows.column("text").cast(pa.large_string())
+                if pivot is not None:  # the text that the first rows belong to
+                    column = pa.concat_arrays([pa.array([pivot_text], pa.large_string()), column])
+                    own = np.append(True, own)
+                whose = np.maximum.accumulate(np.where(own, np.arange(len(own)), -1))
+                pairs = np.flatnonzero(~own)
+                if len(pairs):
+                    linked = pairs[similar_pairs(next(texts_of(column, 1 << 62)), whose[pairs], pairs, width, percent)] - (pivot is not None)
+                    yield rows.select(["a", "b"]).take(pa.array(linked))
+                pivot, pivot_text = True, column[int(whose[-1])].as_py()
 
     return run
 
@@ -230,16 +286,57 @@ def _near(percent: int):
     return alike & (F.size(F.array_intersect("prefix_2_a", "prefix_2_b")) >= slack) & (F.size(F.array_intersect("prefix_3_a", "prefix_3_b")) >= slack)
 
 
-def _side(rows: DataFrame, side: str, columns: tuple[str, ...]) -> DataFrame:
-    return rows.select(*(F.col(c).alias(side if c == "doc" else c if c == "token" else f"{c}_{side}") for c in columns))
+def _side(rows: DataFrame, side: str, columns: tuple[str, ...], keys: tuple | list = ()) -> DataFrame:
+    return rows.select(*keys, *(F.col(c).alias(side if c == "doc" else f"{c}_{side}") for c in columns))
 
 
 def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """Of distinct pairs (a, b) those that the other orders let pass and whose full sets are similar enough."""
+    """Of distinct pairs (a, b) those that the other orders let pass and whose full sets are similar enough.
+
+    The a of many pairs is dealt into parts, each of which gets a's text once."""
     columns = ("doc", "n", "prefix_2", "prefix_3")
     likely = pairs.join(_side(signatures, "a", columns), "a").join(_side(signatures, "b", columns), "b").where(_near(percent)).select("a", "b")
-    full = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(full.mapInArrow(_verify(width, percent), "a long, b long"), name)
+    parts = likely.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_TASK)).alias("parts"))
+    dealt = cut(likely.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"), f"dealt_{name}")
+    others = dealt.join(texts.toDF("b", "text"), "b").select("a", "part", "b", "text")
+    own = dealt.select("a", "part").distinct().join(texts.toDF("a", "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    together = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return cut(together.mapInArrow(_verify(width, percent), "a long, b long"), name)
+
+
+def _still_mixed(groups: DataFrame, links: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows of those groups (by ``keys``) whose documents are not all of one component of ``links``, with their number."""
+    labels = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("_component"))
+    named = groups.drop("component", "docs").join(labels, "doc", "left").withColumn("component", F.coalesce("_component", "doc")).drop("_component")
+    mixed = named.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("docs")).where("lo != hi and docs > 2").select(*keys, "docs")
+    return cut(named.join(mixed, keys), name)
+
+
+def _stars(groups: DataFrame, keys: list[str], apart: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of the pivot of each group and its other documents.
+
+    The pivot is, of the longest sets, which edits tend to shorten, the smallest doc_id."""
+    pivots = groups.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "doc")).alias("p"))
+    pivots = groups.join(pivots.select(*keys, F.col("p.doc").alias("doc")), [*keys, "doc"])
+    return _pairs(pivots, groups, keys, F.col("a") != F.col("b"), apart, percent)
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str], test: Column, apart: bool, percent: int) -> DataFrame:
+    columns = ("doc", "n", "place", "component") if apart else ("doc", "n", "place")
+    met = _side(left, "a", columns, keys).join(_side(right, "b", columns, keys), keys).where(test & _reachable(percent))
+    return (met.where("component_a != component_b") if apart else met).select("a", "b").distinct()
+
+
+def _split_by(groups: DataFrame, signatures: DataFrame, order: int, keys: list[str], percent: int) -> DataFrame:
+    """The groups, split by the tokens of the short prefix under another order; parts of one component are left out.
+
+    Similar sets share such a token under every order, so the parts hold all pairs."""
+    short = F.slice(f"prefix_{order}", 1, F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0) - 1e-9).cast("int") + 1)
+    tokens = signatures.select("doc", F.explode(short).alias(f"token_{order}")).distinct()
+    wider = groups.join(tokens, "doc")
+    keys = [*keys, f"token_{order}"]
+    several = wider.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(*keys)
+    return wider.join(several, keys)
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -269,24 +366,26 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     postings = signatures.select("doc", "n", F.posexplode("prefix_1").alias("place", "token")).join(same.select(F.col("rep").alias("doc")), "doc", "left_semi")
     shared = postings.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
     groups = cut(postings.join(shared, "token"), "groups")
-    # the pivot of a group: of the longest sets, which edits tend to shorten, the smallest doc_id
-    pivots = groups.groupBy("token").agg(F.min(F.struct((-F.col("n")).alias("n"), "doc")).alias("p"))
-    pivots = groups.join(pivots.select("token", F.col("p.doc").alias("doc")), ["token", "doc"])
-    columns = ("token", "doc", "n", "place")
-    stars = _side(pivots, "a", columns).join(_side(groups, "b", columns), "token").where((F.col("a") != F.col("b")) & _reachable(percent)).select("a", "b").distinct()
-    stars = cut(stars, "stars")
-    links = _verified(stars, signatures, texts, width, percent, "links_1")
-
-    labels = connected_components(links)
-    named = groups.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("docs")).where("lo != hi and docs > 2").select("token")
-    rest = cut(named.join(mixed, "token"), "rest")
-    if rest.limit(1).count():
-        columns = ("token", "doc", "n", "place", "component")
-        apart = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
-        pairs = _side(rest, "a", columns).join(_side(rest, "b", columns), "token").where(apart & _reachable(percent)).select("a", "b").distinct()
-        tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = links.unionByName(_verified(pairs.join(tested, ["a", "b"], "left_anti"), signatures, texts, width, percent, "links_2"))
+    stars = cut(_stars(groups, ["token"], False, percent), "stars")
+    links = _verified(stars, signatures, texts, width, percent, "links_0")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    keys, rest = ["token"], groups
+    for order in (2, 3, None):
+        rest = _still_mixed(rest, links, keys, f"rest_{order}")
+        few = rest.where(F.col("docs") <= (PAIRED_DOCS if order else F.col("docs")))
+        new, many = _pairs(few, few, keys, F.col("a") < F.col("b"), True, percent), rest.where(F.col("docs") > PAIRED_DOCS)
+        split = order is not None and many.limit(1).count() > 0
+        if split:
+            rest = cut(_split_by(many, signatures, order, keys, percent), f"parts_{order}")
+            keys = [*keys, f"token_{order}"]
+            new = new.unionByName(_stars(rest, keys, True, percent))
+        elif not rest.limit(1).count():
+            break
+        new = cut(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), f"new_{order}")
+        tested = tested.unionByName(new)
+        links = links.unionByName(_verified(new, signatures, texts, width, percent, f"links_{order}"))
+        if not split:
+            break
     classes = connected_components(links.unionByName(members))
     named_docs = per_doc.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return docs.select("doc_id").join(named_docs, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -53,4 +53,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/fitforge-{uuid.uuid4().hex}/{name}"
     with _without_old_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._fitforge_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`cut` wrote.
+
+    Only for tables that no later plan reads: what was made from them must have been
+    written itself.  The tables behind an operator's result stay until the shared
+    folder is cleared.
+    """
+    for table in tables:
+        path = getattr(table, "_fitforge_path", None)
+        if path:
+            there = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(there, True)

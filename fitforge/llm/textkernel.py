@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that the kernels look at together.  A longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -113,7 +115,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, alike wherever the span stands."""
+    """A 64-bit hash of the bytes of each span, alike wherever the span stands.
+
+    A polynomial modulo 2 ** 64: some different spans of 1,024 bytes and more share it
+    whatever its base, so it only deals out work; where a result depends on equality,
+    contents are compared (:func:`equal_spans`, :func:`value_digests`)."""
     room = max(SLICE_BYTES, 1 << int(len(data)).bit_length())
     up, down = _powers(room)
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -121,19 +127,61 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def equal_spans(packed: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For spans that lie end to end: which are equal, as numbers, and the value of each number.
+
+    Contents are compared, not hashes."""
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(packed))])
+    encoded = column.dictionary_encode()
+    return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+
+
+def word_numbers(data: np.ndarray, words: Words) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word among the distinct ones of the slice, and these."""
+    return equal_spans(data[~IS_SPACE[data]], words.ends - words.starts)
+
+
+def value_hashes(values: pa.Array) -> np.ndarray:
+    """64-bit hashes, no polynomials: different values share one by chance only."""
+    return np.array([xxh3_64_intdigest(v) for v in values.to_pylist()], np.uint64)
+
+
+def value_digests(values: pa.Array) -> np.ndarray:
+    """BLAKE2 digests of 16 bytes, as rows of two numbers."""
+    made = b"".join([blake2b(v, digest_size=16).digest() for v in values.to_pylist()])
+    return np.frombuffer(made, "<u8").reshape(-1, 2)
+
+
+def run_numbers(numbers: np.ndarray, per_text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all runs of ``width`` words from the numbers of the words, equal where all words are.
+
+    As in :func:`shingle_hashes` a text with fewer words is one run; returns also how many each text has."""
+    first, length, counts = _runs(per_text, width)
+    out = length.copy()
+    for k in range(width):
+        nth = np.where(length > k, numbers[np.minimum(first + k, max(0, len(numbers) - 1))] + 1, 0) if len(first) else out
+        # two numbers below the count of words and runs fit in one
+        out = np.unique(out * (len(numbers) + 2) + nth, return_inverse=True)[1]
+    return out, counts
+
+
+def _runs(per_text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and length of each run, and how many runs each text has."""
+    bounds = np.concatenate(([0], np.cumsum(per_text)))
+    counts = np.where(per_text >= width, per_text - width + 1, (per_text > 0).astype(np.int64))
+    first = np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
+    return first, np.repeat(np.minimum(per_text, width), counts), counts
+
+
 def shingle_hashes(word_hashes: np.ndarray, per_text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words; a text with fewer words (but some) is one run.
 
     Returns the hashes, in order of texts, and how many each text has.
     """
-    bounds = np.concatenate(([0], np.cumsum(per_text)))
-    counts = np.where(per_text >= width, per_text - width + 1, (per_text > 0).astype(np.int64))
-    total = int(counts.sum())
-    first = np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
-    length = np.repeat(np.minimum(per_text, width), counts)
+    first, length, counts = _runs(per_text, width)
     out = length.astype(np.uint64)
     for k in range(width):
-        there = length > k
-        nth = np.where(there, word_hashes[np.minimum(first + k, max(0, len(word_hashes) - 1))], _U64(0)) if total else out
+        nth = np.where(length > k, word_hashes[np.minimum(first + k, max(0, len(word_hashes) - 1))], _U64(0)) if len(first) else out
         out = mix(out * _U64(_PRIME) + nth + _U64(k + 1))
     return out, counts
