@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitforge.llm.scratch import cut
-from fitforge.llm.textkernel import IS_SPACE, Texts, shingle_hashes, span_hashes, texts_of, words_of
+from fitforge.llm.textkernel import IS_SPACE, Texts, equal_spans, run_numbers, texts_of, word_numbers, words_of
 
 TREES = 100
 #: Rows that a tree is grown on; TREES * TREE_ROWS rows are sampled from all documents.
@@ -56,26 +56,26 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     n_words = words.per_text
     word_chars = _per_text(~IS_SPACE[data] & ((data & 0xC0) != 0x80), bounds)
     n_symbols = _per_text(_IS_SYMBOL[data], bounds)
-    word = span_hashes(data, words.starts, words.ends)
 
-    # lines with a word, equal to an earlier one of the text
-    breaks = np.flatnonzero(data == 10)
-    line_starts = np.unique(np.concatenate((bounds[:-1], breaks + 1))) if len(data) else np.zeros(0, np.int64)
+    # lines with a word, equal to an earlier one of the text; the lines lie end to end once the breaks are out
+    is_break = data == 10
+    line_starts = np.unique(np.concatenate((bounds[:-1], np.flatnonzero(is_break) + 1)))
     line_starts = line_starts[line_starts < len(data)]
-    line_ends = np.concatenate((line_starts[1:], [len(data)])) if len(line_starts) else line_starts
-    line_ends = line_ends - ((line_ends > line_starts) & (data[np.maximum(line_ends, 1) - 1] == 10)) if len(line_starts) else line_ends
+    line_ends = np.append(line_starts[1:], len(data)) if len(line_starts) else line_starts
+    breaks = np.concatenate(([0], np.cumsum(is_break)))
+    line = equal_spans(data[~is_break], line_ends - line_starts - (breaks[line_ends] - breaks[line_starts]))[0]
     busy = np.searchsorted(words.starts, line_ends) > np.searchsorted(words.starts, line_starts)
-    line_starts, line_ends = line_starts[busy], line_ends[busy]
-    text = np.searchsorted(bounds, line_starts, "right") - 1
-    line = span_hashes(data, line_starts, line_ends)
+    text, line = np.searchsorted(bounds, line_starts[busy], "right") - 1, line[busy]
     order = np.lexsort((line, text))
     again = np.zeros(len(order), bool)
     again[1:] = (line[order][1:] == line[order][:-1]) & (text[order][1:] == text[order][:-1])
     n_dup = np.bincount(text[order][again], minlength=len(texts))
 
     # words in windows of three that come twice or more in the text
+    number, _ = word_numbers(data, words)
+    window, counts = run_numbers(number, n_words, _WINDOW)
     long = n_words >= _WINDOW
-    window, counts = shingle_hashes(word, np.where(long, n_words, 0), _WINDOW) if long.all() else _windows(word, n_words, long)
+    window, counts = window[np.repeat(long, counts)], np.where(long, counts, 0)
     text = np.repeat(np.arange(len(texts)), counts)
     first = np.repeat(words.bounds[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(len(text))
     order = np.lexsort((window, text))
@@ -83,7 +83,7 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     twice = np.zeros(len(order), bool)
     twice[1:] |= equal
     twice[:-1] |= equal
-    covered = np.zeros(len(word), bool)
+    covered = np.zeros(len(number), bool)
     for k in range(_WINDOW):
         covered[first[order[twice]] + k] = True
     n_repeat = _per_text(covered, words.bounds)
@@ -98,11 +98,6 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.stack((n_words, word_chars, n_symbols, n_dup, n_repeat)), np.stack(rates)
 
 
-def _windows(word: np.ndarray, n_words: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    window, counts = shingle_hashes(word, n_words, _WINDOW)
-    return window[np.repeat(long, counts)], np.where(long, counts, 0)
-
-
 def _statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for texts in texts_of(batch.column(1)):
