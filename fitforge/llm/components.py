@@ -36,12 +36,12 @@ def connected_components(links: DataFrame) -> DataFrame:
                 )
             ).alias("t")
         ).select("t.*")
-        hooked = cut(told.groupBy("node").agg(F.min("up").alias("up")), f"hooked_{turn}")
+        hooked = told.groupBy("node").agg(F.min("up").alias("up"))
         above = hooked.select(F.col("node").alias("up"), F.col("up").alias("above"))
         halved = hooked.join(above, "up").select("node", F.least("up", "above").alias("up"))
         was = up.withColumnRenamed("up", "was")
         new = cut(halved.join(was, "node").select("node", "up", (F.col("up") != F.col("was")).alias("moved")), f"up_{turn}")
-        discard(state, hooked)
+        discard(state)
         state = new
         if not state.where("moved").limit(1).count():
             discard(both)

@@ -382,8 +382,9 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         elif not rest.limit(1).count():
             break
         new = cut(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), f"new_{order}")
-        tested = tested.unionByName(new)
-        links = links.unionByName(_verified(new, signatures, texts, width, percent, f"links_{order}"))
+        if new.limit(1).count():
+            tested = tested.unionByName(new)
+            links = links.unionByName(_verified(new, signatures, texts, width, percent, f"links_{order}"))
         if not split:
             break
     classes = connected_components(links.unionByName(members))
