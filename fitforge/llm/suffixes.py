@@ -4,10 +4,13 @@ A suffix array over all bytes of a corpus would be many times its size, so only
 what can repeat is sorted.  Each 50-byte window has an anchor, the smallest hash
 of a 20-byte string inside it; equal windows have equal anchors.  Anchors that
 occur in one document only cannot repeat.  The stretches of text around the others
-go to a task by anchor, and there all their suffixes are sorted by a difference
+go to a task by anchor (each content once a slice; its other documents are settled
+where they are read), and there all their suffixes are sorted by a difference
 cover of period 3: triples at two of three positions get names, names of names
 reach 48 bytes, the remaining suffixes are merged in by the names of their
-neighbours, and adjacent 50-byte prefixes are compared.
+neighbours, and adjacent 50-byte prefixes are compared.  An anchor of very many
+stretches, such as a phrase that stands in a third of all documents, would fill a
+task: its windows go by their own hash, one by one.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitforge.llm.scratch import cut
-from fitforge.llm.textkernel import Texts, span_hashes, texts_of
+from fitforge.llm.scratch import cut, discard
+from fitforge.llm.textkernel import Texts, equal_spans, mix, span_hashes, texts_of
 
 LENGTH = 50
 GRAM = 20
 
+#: Stretches of one anchor that a task sorts; the windows of an anchor with more are dealt one by one.
+MOST_STRETCHES = 20_000
+#: Windows of such anchors that a task makes at once.
+WINDOWS_AT_ONCE = 200_000
 #: Bytes that are sorted together; an anchor with more has its windows dealt by hash into parts of that many.
 SORTED_BYTES = 2_000_000
 
@@ -62,7 +69,7 @@ def _anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc, known): anchors of documents; known to be shared where two of a batch have them.
+    """Rows (key, doc, known, n): anchors of documents and how many stretches have them; known to be shared where two of a batch have them.
 
     Of a shared one, a single row without document stands for all of them elsewhere."""
     for batch in batches:
@@ -76,19 +83,27 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_key[1:] = key[1:] != key[:-1]
             new = new_key.copy()
             new[1:] |= doc[1:] != doc[:-1]
+            stretches = np.diff(np.append(np.flatnonzero(new), len(key)))
             key, doc, new_key = key[new].view(np.int64), doc[new], new_key[new]
             group = np.cumsum(new_key) - 1
             shared = np.bincount(group, minlength=0)[group] > 1 if len(group) else np.zeros(0, bool)
             stand_in = shared & new_key
+            alike = np.bincount(group, stretches).astype(np.int64)[group[stand_in]] if len(group) else stretches
             keys = np.concatenate((key, key[stand_in]))
             ids = pa.array(np.concatenate((doc, doc[stand_in])), mask=np.concatenate((np.zeros(len(doc), bool), np.ones(int(stand_in.sum()), bool))))
             known = np.concatenate((shared, np.zeros(int(stand_in.sum()), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), ids, pa.array(known)], names=["key", "doc", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), ids, pa.array(known), pa.array(np.concatenate((stretches, alike)), pa.int64())], names=["key", "doc", "known", "n"])
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: (doc, key) of anchors with several rows, and of known ones."""
-    last_key, waiting = None, None  # the last key so far and its only row, while it has no other
+    """From rows sorted by key: (doc, key) of anchors with several rows, and of known ones.
+
+    A row without document follows for an anchor of more than MOST_STRETCHES."""
+    last_key, waiting, n_last = None, None, 0  # the last key so far, its only row while it has no other, and its stretches
+
+    def hot(keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["doc", "key"])
+
     for batch in batches:
         known = batch.column(2).to_numpy(zero_copy_only=False)
         done = batch.filter(pa.array(known))
@@ -98,6 +113,14 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not len(rest):
             continue
         key = rest.column(0).to_numpy()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        total = np.add.reduceat(rest.column(3).to_numpy(), first)
+        if last_key is not None and key[0] == last_key:
+            total[0] += n_last
+        elif n_last > MOST_STRETCHES:
+            yield hot(np.array([last_key]))
+        yield hot(key[first[:-1]][total[:-1] > MOST_STRETCHES])
+        n_last = int(total[-1])
         more = np.zeros(len(key), bool)
         more[1:] = key[1:] == key[:-1]
         more[:-1] |= key[1:] == key[:-1]
@@ -111,31 +134,61 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield found.select(["doc", "key"])
         waiting = None if more[-1] else rest.slice(len(rest) - 1)
         last_key = key[-1]
+    if n_last > MOST_STRETCHES:
+        yield hot(np.array([last_key]))
+
+
+_STRETCH = ("key", "doc", "start", "stop", "bytes")
+
+
+def _once(key: np.ndarray, doc: np.ndarray, start: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    """Rows of stretches, of which each content goes on with its smallest document only.
+
+    The others have a smaller one for sure: they get a stop, and neither key nor bytes."""
+    content, values = equal_spans(packed, lengths)
+    smallest = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, content, doc)
+    settled = doc != smallest[content]
+    pieces = values.take(pa.array(content, mask=settled)).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key, mask=settled), pa.array(doc), pa.array(start), pa.array(start + lengths, mask=~settled), pieces], names=_STRETCH)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (doc, text, keys): rows (key, doc, start, bytes) of the stretches with these anchors."""
+    """From rows (doc, text, keys, hot): rows of the stretches with these anchors; single windows where an anchor is hot."""
+
+    def pairs_of(column: pa.ListArray, names: np.ndarray) -> np.ndarray:
+        """Pairs (text, key) as one number each, by the place of the key among ``names``."""
+        wanted = column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()]
+        return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()) * (len(names) + 1) + np.searchsorted(names, wanted)
+
     for batch in batches:
         docs = batch.column(0).to_numpy()
-        keys = batch.column(2)
         for texts in texts_of(batch.column(1)):
             text, start, windows, key = _anchors(texts)
-            part = keys.slice(texts.first, len(texts))
-            wanted = part.values.to_numpy()[part.offsets[0].as_py() : part.offsets[-1].as_py()]
-            whose = np.repeat(np.arange(len(texts)), part.value_lengths().to_numpy())
-            # pairs (text, key) as one number each, by the place of the key among all wanted ones
-            names = np.unique(wanted)
-            place = np.minimum(np.searchsorted(names, key.view(np.int64)), max(0, len(names) - 1))
-            hit = (names[place] == key.view(np.int64)) if len(names) else np.zeros(len(key), bool)
-            pairs = whose * (len(names) + 1) + np.searchsorted(names, wanted)
-            hit &= np.isin(text * (len(names) + 1) + place, pairs)
-            raw = texts.data.tobytes()
-            pick = np.flatnonzero(hit)
-            pieces = [raw[a : a + w + LENGTH - 1] for a, w in zip(start[pick].tolist(), windows[pick].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[pick].view(np.int64)), pa.array(docs[texts.first + text[pick]]), pa.array(start[pick] - texts.bounds[text[pick]]), pa.array(pieces, pa.binary())],
-                names=["key", "doc", "start", "bytes"],
-            )
+            key = key.view(np.int64)
+            wanted, hot = (batch.column(i).slice(texts.first, len(texts)) for i in (2, 3))
+            names = np.unique(wanted.values.to_numpy()[wanted.offsets[0].as_py() : wanted.offsets[-1].as_py()])
+            if not len(names):
+                continue
+            place = np.minimum(np.searchsorted(names, key), len(names) - 1)
+            pair = text * (len(names) + 1) + place
+            hit = (names[place] == key) & np.isin(pair, pairs_of(wanted, names))
+            single = hit & np.isin(pair, pairs_of(hot, names))
+            pick = np.flatnonzero(hit & ~single)
+            doc, within = docs[texts.first + text], texts.bounds[text]
+            if len(pick):
+                length = windows[pick] + LENGTH - 1
+                inside = np.repeat(start[pick] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+                yield _once(key[pick], doc[pick], start[pick] - within[pick], texts.data[inside], length)
+            pick = np.flatnonzero(single)
+            n = windows[pick]
+            at = np.repeat(start[pick] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            whose = np.repeat(pick, n)
+            for a in range(0, len(at), WINDOWS_AT_ONCE):
+                p, w = at[a : a + WINDOWS_AT_ONCE], whose[a : a + WINDOWS_AT_ONCE]
+                bytes_of = np.lib.stride_tricks.sliding_window_view(texts.data, LENGTH)[p].ravel()
+                own = mix(span_hashes(texts.data, p, p + LENGTH)).view(np.int64)
+                yield _once(own, doc[w], p - within[w], bytes_of, np.full(len(p), LENGTH))
 
 
 def _names(key: np.ndarray) -> np.ndarray:
@@ -247,6 +300,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start), pa.array(end)], names=["doc", "start", "stop"])
 
     for batch in batches:
+        if "stop" in batch.schema.names:
+            settled = batch.column("key").is_null()
+            yield batch.select(["doc", "start", "stop"]).filter(settled)
+            batch = batch.filter(pc.invert(settled))
         if not len(batch):
             continue
         for a in range(0, len(batch), 2_000):
@@ -308,12 +365,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Stretches of one document may touch or overlap.
     """
     source = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null")
-    rows = source.mapInArrow(_anchor_rows, "key long, doc long, known boolean")
+    rows = source.mapInArrow(_anchor_rows, "key long, doc long, known boolean, n long")
     dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    shared = dealt.mapInArrow(_shared_anchors, "doc long, key long")
-    wanted = cut(shared.groupBy("doc").agg(F.collect_list("key").alias("keys")), "anchors")
-    stretches = source.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(_stretches, "key long, doc long, start long, bytes binary")
-    return stretches.repartition("key").sortWithinPartitions("key", "bytes", "doc").mapInArrow(_repeated, "doc long, start long, stop long")
+    shared = cut(dealt.mapInArrow(_shared_anchors, "doc long, key long"), "shared")
+    hot = cut(shared.where("doc is null").select("key").distinct(), "hot")
+    found = shared.where("doc is not null")
+    if hot.limit(1).count():
+        found = found.join(hot.withColumn("hot", F.col("key")), "key", "left")
+    else:
+        found = found.withColumn("hot", F.lit(None).cast("long"))
+    wanted = cut(found.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot")), "anchors")
+    discard(shared, hot)
+    stretches = source.join(wanted, "doc").select("doc", "text", "keys", "hot").mapInArrow(_stretches, "key long, doc long, start long, stop long, bytes binary")
+    dealt = stretches.repartition(F.coalesce("key", F.xxhash64("doc", "start"))).sortWithinPartitions("key", "bytes", "doc")
+    spans = cut(dealt.mapInArrow(_repeated, "doc long, start long, stop long"), "spans")
+    discard(wanted)
+    return spans
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -325,6 +392,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows of a doc_id do not count against each other; a row with null doc_id stays
     whole and counts against none.  An empty table gives no rows.
     """
-    spans = cut(repeated_spans(docs), "spans").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
