@@ -62,9 +62,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_tool_call_linking": """
-        WITH calls AS (
+        WITH called AS (
             SELECT conv_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_calls
             FROM conversations WHERE role = 'user' GROUP BY ALL),
+        runs AS (
+            SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS run
+            FROM (SELECT *, CASE WHEN turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) <= 2 THEN 0 ELSE 1 END AS starts FROM called)),
+        calls AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM runs),
         results AS (
             SELECT conv_id, turn, min(coalesce(text, '')) AS text, count(*) AS n_results
             FROM conversations WHERE role = 'assistant' GROUP BY ALL)
@@ -72,8 +76,8 @@ SQL: dict[str, str] = {
                'turn-' || coalesce(c.turn, r.turn - 1) AS call_id,
                c.turn::BIGINT AS call_turn, r.turn::BIGINT AS result_turn,
                coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-               CASE WHEN c.turn IS NOT NULL THEN 0::BIGINT END AS level,
-               c.turn IS NOT NULL AS valid,
+               c.level::BIGINT AS level,
+               c.turn IS NOT NULL AND length(c.text) BETWEEN 1 AND 300 AS valid,
                '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '{"text":' || to_json(c.text)::VARCHAR || '}' END
                || ',"id":"turn-' || coalesce(c.turn, r.turn - 1) || '","name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"reply"' END
                || ',"result":' || CASE WHEN r.turn IS NULL THEN 'null' ELSE to_json(r.text)::VARCHAR END || '}' AS exchange

@@ -10,6 +10,7 @@ JSON: sorted keys, no blanks, characters as they are.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -20,14 +21,42 @@ from pyspark.sql import functions as F
 
 from fitforge.llm.scratch import cut
 
-#: Schemas by tool: required names, and the JSON type of each argument.  ``reply``
+#: Schemas by tool: required names, and of each argument the JSON type or a dict of
+#: ``type``, ``minLength``, ``maxLength``, ``minimum``, ``maximum`` and ``enum``.  ``reply``
 #: stands for the plain exchange of a user's turn and the turn that answers it.
-SCHEMAS: dict[str, dict] = {"reply": {"required": ["text"], "properties": {"text": "string"}}}
+SCHEMAS: dict[str, dict] = {"reply": {"required": ["text"], "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 300}}}}
 #: Needs of a conversation that one task settles by itself.
 TASK_NEEDS = 500_000
 
 _TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
-_PARSED = "conv_id long, is_call boolean, call_id string, turn long, name string, arguments string, after array<string>, content string"
+_PARSED = "conv_id long, is_call boolean, call_id string, turn long, place long, name string, arguments string, after array<string>, content string"
+_LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _loaded(text: str | None):
+    """The JSON object of a text and whether it is one; NaN, numbers out of range and too deep nesting are no JSON."""
+    if not text or text.lstrip()[:1] != "{":
+        return None
+    try:
+        found = json.loads(text)
+        _canonical(found)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _canonical(value) -> str:
+    """Strict JSON: sorted keys, no blanks, characters as they are (but half surrogates, which UTF-8 lacks, escaped)."""
+    made = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE_SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", made)
+
+
+def _identifier(value) -> str | None:
+    """Strings and numbers as text, other values as JSON; null is no identifier."""
+    if value is None:
+        return None
+    made = value if isinstance(value, str) else _canonical(value)
+    return _LONE_SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", made)
 
 
 def _parsed(conv_id, turn, role: str | None, text: str | None) -> Iterator[tuple]:
@@ -35,36 +64,30 @@ def _parsed(conv_id, turn, role: str | None, text: str | None) -> Iterator[tuple
 
     An assistant's JSON object with ``tool_calls`` makes calls, a tool's with
     ``tool_call_id`` is a result.  A user's other texts call ``reply`` by the name
-    of their turn, an assistant's answer the turn before."""
-    found = None
-    if text and text.lstrip()[:1] == "{":
-        try:
-            found = json.loads(text)
-        except ValueError:
-            found = None
+    of their turn, after the replies to the two turns before if these are a user's;
+    an assistant's answer is the result of the turn before."""
+    found = _loaded(text)
     if role == "assistant" and found and isinstance(found.get("tool_calls"), list):
-        for c in found["tool_calls"]:
+        for place, c in enumerate(found["tool_calls"]):
             if isinstance(c, dict):
-                after = [str(x) for x in c.get("after") or []]
-                yield conv_id, True, str(c.get("id")), turn, str(c.get("name")), _canonical(c.get("arguments")), after, None
+                after = c.get("after") if isinstance(c.get("after"), list) else []
+                after = [x for x in map(_identifier, after) if x is not None]
+                yield conv_id, True, _identifier(c.get("id")), turn, place, _identifier(c.get("name")), _canonical(c.get("arguments")), after, None
     elif role == "tool":
-        known = isinstance(found, dict) and "tool_call_id" in found
-        yield conv_id, False, str(found["tool_call_id"]) if known else None, turn, None, None, None, _canonical(found.get("content")) if known else _canonical(text)
+        known = found is not None and "tool_call_id" in found
+        yield conv_id, False, _identifier(found["tool_call_id"]) if known else None, turn, 0, None, None, None, _canonical(found.get("content") if known else text)
     elif role == "user":
-        yield conv_id, True, f"turn-{turn}", turn, "reply", _canonical({"text": text or ""}), [], None
+        before = [f"turn-{turn - 1}", f"turn-{turn - 2}"] if turn is not None else []
+        yield conv_id, True, f"turn-{turn}" if turn is not None else None, turn, 0, "reply", _canonical({"text": text or ""}), before, None
     elif role == "assistant":
-        yield conv_id, False, f"turn-{turn - 1}" if turn is not None else None, turn, None, None, None, _canonical(text or "")
-
-
-def _canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        yield conv_id, False, f"turn-{turn - 1}" if turn is not None else None, turn, 0, None, None, None, _canonical(text or "")
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Calls and results of messages (conv_id, turn, role, text); system turns and other roles have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
         names = [x.split()[0] for x in _PARSED.split(", ")]
         for b in batches:
             rows = [r for m in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for r in _parsed(*m)]
@@ -83,11 +106,21 @@ def argument_errors(name: str | None, arguments: str | None, schemas: dict[str,
         return ["arguments are no object"]
     out = [f"{x} is missing" for x in schema.get("required", []) if x not in value]
     for k in sorted(value):
-        kind = schema.get("properties", {}).get(k)
-        if kind is None:
+        rule = schema.get("properties", {}).get(k)
+        if rule is None:
             out.append(f"{k} is not known")
-        elif not isinstance(value[k], _TYPES[kind]) or (isinstance(value[k], bool) and kind in ("number", "integer")):
+            continue
+        rule = rule if isinstance(rule, dict) else {"type": rule}
+        v, kind = value[k], rule.get("type")
+        is_number = isinstance(v, (int, float)) and not isinstance(v, bool)
+        if kind and (not isinstance(v, _TYPES[kind]) or (isinstance(v, bool) and kind in ("number", "integer"))):
             out.append(f"{k} is no {kind}")
+        if isinstance(v, str) and not rule.get("minLength", 0) <= len(v) <= rule.get("maxLength", len(v)):
+            out.append(f"{k} is too short or too long")
+        if is_number and not rule.get("minimum", v) <= v <= rule.get("maximum", v):
+            out.append(f"{k} is out of range")
+        if "enum" in rule and v not in rule["enum"]:
+            out.append(f"{k} is none of the values")
     return out
 
 
@@ -128,6 +161,7 @@ def _levels(calls: DataFrame) -> DataFrame:
     A conversation of up to TASK_NEEDS needs is settled by one task; larger ones
     level by level, until no call becomes ready.
     """
+    calls = calls.where("conv_id is not null and call_id is not null")
     needs = calls.where(F.size("after") > 0).select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("before"))
     known = calls.select("conv_id", F.col("call_id").alias("before"))
     needs = cut(needs.join(known, ["conv_id", "before"]), "needs")
@@ -154,20 +188,25 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None)
     """One row per call, and per result without a call.
 
     Columns: conv_id, call_id, call_turn, result_turn, n_calls and n_results (rows
-    with this identifier; the earliest, of these the smallest text, counts), level
-    (null on a cycle and without a call), valid, and ``exchange``, canonical JSON.
-    Results without an identifier link with nothing.  Null texts count as empty, an
-    empty table gives no rows.
+    with this identifier; the earliest, of these the first of its message, then the
+    smallest text, counts), level (null on a cycle and without a call), valid, and
+    ``exchange``, canonical JSON.  Calls and results without an identifier or without
+    conv_id link with nothing; each is a row of its own, at level 0 if it is a call.
+    Texts that are no strict JSON object are plain texts, whatever their length; null
+    texts count as empty; other columns are left out; an empty table gives no rows.
     """
     known = SCHEMAS if schemas is None else schemas
     parsed = cut(parse_messages(messages), "parsed")
     key = ["conv_id", "call_id"]
-    first = F.min(F.struct("turn", "name", "arguments", "after"))
-    calls = parsed.where("is_call").groupBy(*key).agg(first.alias("c"), F.count("*").alias("n_calls"))
-    calls = calls.select(*key, F.col("c.turn").alias("call_turn"), "c.name", "c.arguments", "c.after", "n_calls")
-    results = parsed.where("not is_call").groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    # what has no identifier is told apart by its place
+    lone = F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), F.concat_ws(" ", "turn", "place")).alias("lone")
+    first = F.min(F.struct("turn", "place", "name", "arguments", "after"))
+    calls = parsed.where("is_call").groupBy(*key, lone).agg(first.alias("c"), F.count("*").alias("n_calls"))
+    calls = calls.select(*key, "lone", F.col("c.turn").alias("call_turn"), "c.name", "c.arguments", "c.after", "n_calls")
+    results = parsed.where("not is_call").groupBy(*key, lone).agg(F.min(F.struct("turn", "place", "content")).alias("r"), F.count("*").alias("n_results"))
     results = results.select(*key, F.col("r.turn").alias("result_turn"), "r.content", "n_results")
     linked = calls.join(results, key, "full_outer").join(_levels(calls), key, "left")
+    linked = linked.withColumn("level", F.when(F.col("lone").isNotNull(), F.lit(0)).otherwise(F.col("level")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
