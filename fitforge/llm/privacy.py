@@ -8,6 +8,11 @@ surrogates that are real entities or meet in spite of different formats, and
 gives those entities another turn of the permutation, until none is left.  Later
 turns reach further, so that small forms are not used up: names leave the list of
 first names, and names, e-mail addresses and secrets grow by keyed characters.
+
+A name is found by the form of address before it; its words are entities of their own
+(given names by gender, family names), and every other mention of one of them in the
+same document is replaced as well.  The key is the caller's: who has it can undo the
+permutations, so it belongs with the originals, not with the result.
 """
 
 from __future__ import annotations
@@ -25,11 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitforge.llm.scratch import cut
+from fitforge.llm.scratch import cut, discard
 
-KEY = b"fitforge surrogate key"
-#: Entities with another turn are sent to all tasks up to this many, joined beyond.
-MOST_EXCEPTIONS = 10_000
 #: Turns within the list of first names, and turns before a surrogate grows.
 LIST_TURNS, PLAIN_TURNS = 2, 4
 _TURNS = 8
@@ -47,12 +49,19 @@ _CLASSES = [
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
 _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
-# First names by gender, and forms of address that tell it.
+# First names by gender (u: borne by both), family names, and forms of address with the gender that they tell.
 _FIRST_NAMES = {
-    "f": ["Anna", "Claire", "Elena", "Emma", "Ines", "Julia", "Laura", "Lucia", "Maria", "Marie", "Nora", "Olivia", "Paula", "Sofia", "Sophie", "Teresa"],
-    "m": ["Adam", "Carlos", "David", "Hugo", "Jan", "Jean", "John", "Jonas", "Karl", "Leon", "Louis", "Marco", "Martin", "Oscar", "Paul", "Thomas"],
+    "f": ["Anna", "Claire", "Elena", "Emma", "Ines", "Julia", "Laura", "Lucia", "Maria", "Marie", "Nora", "Olivia", "Paula", "Sofia", "Sophie", "Teresa"]
+    + ["Alice", "Beatrice", "Carmen", "Clara", "Diana", "Eva", "Hannah", "Helen", "Ingrid", "Irene", "Johanna", "Katharina", "Linda", "Lisa", "Martha", "Monika", "Petra", "Rosa", "Sarah", "Silvia", "Susan", "Ursula"],
+    "m": ["Adam", "Carlos", "David", "Hugo", "Jan", "Jean", "John", "Jonas", "Karl", "Leon", "Louis", "Marco", "Martin", "Oscar", "Paul", "Thomas"]
+    + ["Albert", "Anton", "Arthur", "Daniel", "Eric", "Felix", "Frank", "Georg", "Henry", "James", "Jorge", "Lucas", "Max", "Michael", "Miguel", "Oliver", "Pablo", "Peter", "Philip", "Richard", "Robert", "Simon", "Stefan", "Victor"],
+    "u": ["Alex", "Camille", "Charlie", "Chris", "Claude", "Dominique", "Jordan", "Kim", "Lou", "Morgan", "Robin", "Sam", "Sascha", "Taylor"],
 }
-_ADDRESS = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f"}
+_FAMILY_NAMES = ["Adler", "Allen", "Bauer", "Becker", "Bernard", "Blanc", "Brandt", "Carter", "Castro", "Clark", "Cooper", "Costa", "Dubois", "Ellis", "Faure", "Fischer", "Fuentes", "Garnier", "Gomez", "Hansen", "Harris", "Hoffmann", "Iglesias", "Jansen", "Keller", "Kramer", "Lambert", "Lange", "Leroy", "Lopez", "Marchand", "Meyer", "Molina", "Moreau", "Morris", "Navarro", "Neumann", "Ortega", "Parker", "Perrin", "Ramos", "Richter", "Romero", "Roth", "Santos", "Schubert", "Turner", "Vidal", "Walker", "Winter"]
+_ADDRESS = {"mr": "m", "mister": "m", "sir": "m", "lord": "m", "herr": "m", "herrn": "m", "monsieur": "m", "señor": "m", "don": "m"}
+_ADDRESS |= {"mrs": "f", "ms": "f", "miss": "f", "lady": "f", "madam": "f", "frau": "f", "fräulein": "f", "madame": "f", "mme": "f", "mademoiselle": "f", "mlle": "f", "señora": "f", "señorita": "f", "doña": "f"}
+_ADDRESS |= {"dr": "u", "doctor": "u", "prof": "u", "professor": "u", "professeur": "u", "docteur": "u", "profesor": "m", "profesora": "f", "doctora": "f"}
+_VOWELS = ("aeiou", "AEIOU")
 
 
 def _ranges(kinds: tuple[str, ...]) -> str:
@@ -84,9 +93,11 @@ _PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+(?:\)?[ ./-]?\(?\d){8,15}(?!\w)"
     + r"|(?:\(\d{1,5}\)[ .-]?\d{2,}(?:[ .-]\d{2,})*|0\d{1,5}[ /-]\d{3,}(?:[ .-]\d{2,})*|\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-]))",
-    "name": rf"\b((?i:mr|mrs|ms|miss|herr|frau|monsieur|madame|mme|señor|señora)\.? )({_NAME})",
+    "name": rf"\b((?:(?i:{'|'.join(_ADDRESS)})\.? )+)({_NAME})",
 }
+_NAME_WORD = re.compile(rf"(?<![^\W\d_]){_WORD}")
 _FINDERS = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
+_NAME_KINDS = {"family", *(f"{k}:{g}" for k in ("name", "given") for g in "fmu")}
 _DIGIT = re.compile(r"\d")
 # Types that may match in a text without any digit, as \d has them.
 _DIGITLESS = ["email", "secret", "hex", "name"]
@@ -101,9 +112,19 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
 
     A match that overlaps an earlier type's is left out.  A phone number has a plus
     and 8 to 15 digits, or 9 to 15 and a bracket, a leading 0 or at least two separators.
+    A name behind a form of address is one entity (``name:`` and the gender); elsewhere
+    the words of such names are entities each (``given:`` and the gender, or ``family``).
     """
     kinds = list(_FINDERS) if _DIGIT.search(text) else _DIGITLESS
-    taken: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
+
+    def take(start: int, end: int, kind: str) -> None:
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
+            found.append((start, end, kind))
+
+    words: dict[str, str] = {}
     for kind in kinds:
         if kind == "email" and "@" not in text:
             continue
@@ -111,13 +132,45 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             start, end = m.span(m.lastindex or 0)
             if kind == "phone" and m[0][0] != "+" and not (9 <= len(_digits(m[0])) <= 15 and (m[0][0] in "(0" or len(re.findall(r"[ .-]", m[0])) >= 2)):
                 continue
-            if all(end <= a or b <= start for a, b, _ in taken):
-                taken.append((start, end, f"name:{_gender(m[1])}" if kind == "name" else kind))
-    return sorted(taken)
-
-
-def _gender(address: str) -> str:
-    return _ADDRESS.get(address.strip(" .").lower(), "f")
+            if kind == "name":
+                gender = f"name:{_gender(m[1])}"
+                for part, value in name_parts(gender, text[start:end]):
+                    if part and len(value) > 2:
+                        words.setdefault(value, part)
+                take(start, end, gender)
+            else:
+                take(start, end, kind)
+    if words:
+        for m in _NAME_WORD.finditer(text):
+            if m[0] in words:
+                take(*m.span(), words[m[0]])
+    return sorted(found)
+
+
+def _gender(addresses: str) -> str:
+    told = [_ADDRESS[a.strip(".").lower()] for a in addresses.split()]
+    return next((g for g in told if g != "u"), "u")
+
+
+def name_parts(kind: str, name: str) -> list[tuple[str, str]]:
+    """The words of a name with their types, and what stands between them without one.
+
+    The last word is the family name, unless it is the only one and a known first name.
+    A first name that only one gender bears tells it where the form of address does not.
+    """
+    pieces = re.split("( )", name)
+    last = max(i for i, x in enumerate(pieces) if x.strip())
+    listed = {n: g for g in ("u", "m", "f") for n in _FIRST_NAMES[g]}
+    out = []
+    for i, x in enumerate(pieces):
+        if not x.strip() or (i < last and x.islower()):  # blanks and particles
+            out.append(("", x))
+        elif i == last and (i > 0 or x not in listed):
+            out.append(("family", x))
+        else:
+            gender = kind[-1] if kind[-1] != "u" else listed.get(x, "u")
+            out.append((f"given:{gender}", x))
+    return out
 
 
 def canonical(kind: str, value: str) -> str:
@@ -169,19 +222,28 @@ def _keyed_text(length: int, letters: str, key: bytes, *parts: object) -> str:
     return "".join(letters[_prf(key, *parts, i) % len(letters)] for i in range(length))
 
 
-def _permuted_text(value: str, key: bytes, tweak: str, letters_of: str | None = None) -> str:
+@cache
+def _sounds_of(c: str) -> str | None:
+    """As :func:`_class_of`, with vowels and other letters apart, so that names can be spoken."""
+    for vowels, letters in zip(_VOWELS, _CLASSES[1:3], strict=True):
+        if c in letters:
+            return vowels if c in vowels else "".join(x for x in letters if x not in vowels)
+    return _class_of(c)
+
+
+def _permuted_text(value: str, key: bytes, tweak: str, letters_of: str | None = None, class_of=_class_of) -> str:
     """The value with its letters and digits permuted within script and case; the rest stays.
 
     A value without any is replaced whole by keyed letters and digits.
     """
     places, digits, bases, letters = [], [], [], []
     for i, c in enumerate(value):
-        found = letters_of or _class_of(c)
+        found = letters_of or class_of(c)
         if found:
             places.append(i), digits.append(found.index(c)), bases.append(len(found)), letters.append(found)
     if value and not places:
         return _keyed_text(len(value), "".join(_CLASSES[:3]), key, tweak, value)
-    form = "".join(x[0] for x in letters)
+    form = "".join(x[0] + x[1] for x in letters) if class_of is _sounds_of else "".join(x[0] for x in letters)
     out = list(value)
     for i, d, x in zip(places, permute(digits, bases, key, f"{tweak}/{form}"), letters, strict=True):
         out[i] = x[d]
@@ -193,7 +255,7 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def surrogate(kind: str, value: str, key: bytes = KEY, turn: int = 0) -> str:
+def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
     """The replacement of a canonical value: same type, script and format, valid where the value is.
 
     From PLAIN_TURNS on, forms of any length grow by one keyed character more with
@@ -222,14 +284,14 @@ def surrogate(kind: str, value: str, key: bytes = KEY, turn: int = 0) -> str:
         return _permuted_text(value, key, tweak, letters) + _keyed_text(grown, letters, key, tweak, value)
     if kind == "iban":
         return value[:2] + _permuted_text(value[2:], key, tweak)
-    if kind.startswith("name"):
-        names = _FIRST_NAMES[kind[-1]]
-        first, _, last = value.partition(" ")
-        if first in names and turn < LIST_TURNS:
-            first = names[permute([names.index(first)], [len(names)], key, tweak)[0]]
-        else:
-            first = _permuted_text(first, key, tweak) + _keyed_text(grown, _CLASSES[1], key, tweak, value)
-        return f"{first} {_permuted_text(last, key, tweak)}" if last else first
+    if kind == "family" or kind.startswith("given"):
+        names = _FAMILY_NAMES if kind == "family" else _FIRST_NAMES[kind[-1]]
+        if turn < LIST_TURNS and value.isalpha() and len(value) > 1 and unicodedata.name(value[0], "").startswith("LATIN"):
+            if value in names:
+                return names[permute([names.index(value)], [len(names)], key, tweak)[0]]
+            made = names[_prf(key, tweak, value) % len(names)]
+            return made.upper() if value.isupper() else made
+        return _permuted_text(value, key, tweak, class_of=_sounds_of) + _keyed_text(grown, _class_of(value[-1].lower()) or _CLASSES[1], key, tweak, value)
     return _permuted_text(value, key, tweak) + _keyed_text(grown if kind == "secret" else 0, "".join(_CLASSES[:3]), key, tweak, value)
 
 
@@ -246,11 +308,27 @@ def _as_written(kind: str, written: str, replacement: str) -> str:
     return "".join(c if c in " .-" else next(letters) for c in written)
 
 
+def entities_of(text: str, start: int, end: int, kind: str) -> list[tuple[str, str]]:
+    """What of a found entity has a surrogate: its type and canonical value, or those of the words of a name."""
+    if kind.startswith("name"):
+        return [(k, v) for k, v in name_parts(kind, text[start:end]) if k]
+    return [(kind, canonical(kind, text[start:end]))]
+
+
 def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = {(kind, canonical(kind, t[a:b])) for t in batch.column(0).to_pylist() if t for a, b, kind in find_entities(t)}
+        found = {(h, *e) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for x in find_entities(t) for e in entities_of(t, *x)}
         rows = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
+        kinds = (pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_text", "kind", "value"])
+
+
+def find_mentions(docs: DataFrame) -> DataFrame:
+    """_text (hash of the text), kind and value of the entities of each text, written as a table.
+
+    Texts stand for rows: doc_id may be null or repeated, and texts that share a hash
+    only share what is looked up for them."""
+    return cut(docs.select(F.xxhash64("text"), "text").mapInArrow(_mentions, "_text long, kind string, value string"), "mentions")
 
 
 def _assigned(entities: DataFrame, key: bytes, turn: int) -> DataFrame:
@@ -259,18 +337,21 @@ def _assigned(entities: DataFrame, key: bytes, turn: int) -> DataFrame:
             made = [surrogate(k, v, key, turn) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["kind", "value", "surrogate"])
 
-    return entities.select("kind", "value").mapInArrow(run, "kind string, value string, surrogate string").withColumn("turn", F.lit(turn))
+    # a number of its own keeps the work in as many tasks, however few bytes they have
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = entities.select("kind", "value").repartition(parts, "kind", "value")
+    return dealt.mapInArrow(run, "kind string, value string, surrogate string").withColumn("turn", F.lit(turn))
 
 
-def assign_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, value, surrogate and turn of every entity of the documents, checked for collisions.
+def checked_surrogates(mentions: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, surrogate and turn of every entity of the mentions, checked for collisions.
 
     An entity whose surrogate is a real entity, or that of another entity as well
     (then all but the smallest value), takes the next turn of its permutation, until
     there is none.  Forms of fixed width (cards, ssn, ip, iban, phones) have millions
     of values at least; all others grow.
     """
-    entities = cut(docs.select("text").mapInArrow(_mentions, "kind string, value string").distinct(), "entities")
+    entities = cut(mentions.select("kind", "value").distinct(), "entities")
     real = entities.select(F.col("value").alias("surrogate")).distinct()
     final = cut(_assigned(entities, key, 0), "assigned_0")
     for turn in count(1):
@@ -278,54 +359,61 @@ def assign_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         meets = final.join(least.where("owners > 1"), "surrogate").where(F.struct("value", "kind") != F.col("owner")).select("kind", "value")
         colliding = cut(final.join(real, "surrogate", "left_semi").select("kind", "value").unionByName(meets).distinct(), f"colliding_{turn}")
         if not colliding.limit(1).count():
+            discard(entities, colliding)
             return final
         stay = final.join(colliding, ["kind", "value"], "left_anti")
-        final = cut(stay.unionByName(_assigned(colliding, key, turn)), f"assigned_{turn}")
+        new = cut(stay.unionByName(_assigned(colliding, key, turn)), f"assigned_{turn}")
+        discard(final, colliding)
+        final = new
+    raise AssertionError("count() does not end")
+
+
+def assign_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, surrogate and turn of every entity of the documents: see :func:`checked_surrogates`."""
+    return checked_surrogates(find_mentions(docs), key)
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text``, and n_entities, the number of mentions replaced.
 
-    Null and empty texts stay; other columns (but one named n_entities) and repeated
+    Null and empty texts stay, and a null doc_id makes no difference; texts of any
+    length are searched whole; other columns (but one named n_entities) and repeated
     rows stay as they are; an empty table gives no rows.
     """
-    assigned = assign_surrogates(docs, key)
-    odd = assigned.where("turn > 0").select("kind", "value", "turn")
+    mentions = find_mentions(docs)
+    odd = checked_surrogates(mentions, key).where("turn > 0").select("kind", "value", "turn")
+    # written, so that its size is known where it is joined
+    per_text = cut(mentions.join(odd, ["kind", "value"]).distinct().groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "turn")).alias("_turns")), "turns")
+    discard(mentions)
     source = docs.drop("n_entities")
-    few = odd.limit(MOST_EXCEPTIONS + 1).collect()
     columns = source.columns
 
     def replaced(text: str | None, turns: dict) -> tuple[str | None, int]:
         found = find_entities(text) if text else []
-        parts, at = [], 0
-        for a, b, kind in found:
-            value = canonical(kind, text[a:b])
-            parts += [text[at:a], _as_written(kind, text[a:b], surrogate(kind, value, key, turns.get((kind, value), 0)))]
+        parts, at, n = [], 0, 0
+
+        def made(kind: str, value: str) -> str:
+            return surrogate(kind, value, key, turns.get((kind, value), 0))
+
+        for i, (a, b, kind) in enumerate(found):
+            mention = text[a:b]
+            if kind.startswith("name"):
+                new = "".join(made(k, v) if k else v for k, v in name_parts(kind, mention))
+            else:
+                new = _as_written(kind, mention, made(kind, canonical(kind, mention)))
+            # words of a name side by side are one mention
+            n += not (i and kind in _NAME_KINDS and found[i - 1][2] in _NAME_KINDS and text[at:a] == " ")
+            parts += [text[at:a], new]
             at = b
-        return ("".join([*parts, text[at:]]) if found else text), len(found)
-
-    def rewritten(batch: pa.RecordBatch, turns: list[dict]) -> pa.RecordBatch:
-        rows = [replaced(t, x) for t, x in zip(batch.column("text").to_pylist(), turns, strict=True)]
-        new = {"text": pa.array([r[0] for r in rows], pa.string())}
-        return pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in columns), pa.array([r[1] for r in rows], pa.int64())], names=[*columns, "n_entities"])
-
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in source.dtypes), "n_entities bigint"])
-    if len(few) <= MOST_EXCEPTIONS:
-        turns = {(r["kind"], r["value"]): r["turn"] for r in few}
-        return source.mapInArrow(lambda batches: (rewritten(b, [turns] * len(b)) for b in batches), schema)
-
-    def mentioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, k, canonical(k, t[x:y])) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for x, y, k in find_entities(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["_text", "kind", "value"])
-
-    # joined by the text's hash: doc_id may be null or repeated, and texts that share a hash only share what is looked up
-    own = source.select(F.xxhash64("text"), "text").mapInArrow(mentioned, "_text long, kind string, value string").distinct().join(odd, ["kind", "value"])
-    per_text = own.groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "turn")).alias("_turns"))
-    joined = source.withColumn("_text", F.xxhash64("text")).join(per_text, "_text", "left").select(*columns, "_turns")
+        return ("".join([*parts, text[at:]]) if found else text), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield rewritten(b, [{(x["kind"], x["value"]): x["turn"] for x in r or ()} for r in b.column("_turns").to_pylist()])
+            turns = [{(x["kind"], x["value"]): x["turn"] for x in r or ()} for r in b.column("_turns").to_pylist()]
+            rows = [replaced(t, x) for t, x in zip(b.column("text").to_pylist(), turns, strict=True)]
+            new = {"text": pa.array([r[0] for r in rows], pa.string())}
+            yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in columns), pa.array([r[1] for r in rows], pa.int64())], names=[*columns, "n_entities"])
 
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in source.dtypes), "n_entities bigint"])
+    joined = source.withColumn("_text_hash", F.xxhash64("text")).join(per_text, F.col("_text_hash") == F.col("_text"), "left").select(*columns, "_turns")
     return joined.mapInArrow(run, schema)

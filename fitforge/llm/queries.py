@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of ``spark.fitforge.surrogateKey``; without it one that everybody knows, for synthetic tables only."""
+    return spark.conf.get("spark.fitforge.surrogateKey", "key of the synthetic tables").encode()
+
+
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +58,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.replace_entities(_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return privacy.replace_entities(_table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "n_entities", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
