@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fitforge.llm import exactdup, ngramjoin, packing, privacy, resampling
-from fitforge.llm.queries import VOCABULARY
+from fitforge.llm.queries import VOCABULARY, surrogate_key
 from fitforge.llm.scratch import cut
 
 
@@ -23,7 +23,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return privacy.replace_entities(docs).select(*docs.columns)
+    return privacy.replace_entities(docs, surrogate_key(spark)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
