@@ -3,7 +3,9 @@
 Copies are combined three times, each time comparing full content: by the tasks
 that read them (the map side of the aggregation), by salted digest groups, and
 at last the winners of the salts by digest.  Only counts and the best row of a
-content are carried, never its members.
+content are carried, never its members.  Rows then look up their winner: those of
+very large groups in a broadcast table, which can hold HOT_GROUPS rows at most, all
+others in a join by digest.
 """
 
 from __future__ import annotations
@@ -16,6 +18,11 @@ from fitforge.llm.scratch import cut
 #: Parts that a digest group is dealt over before its winners meet.
 SALTS = 16
 
+#: A group with more than one in so many of all rows is hot; so there are fewer hot groups than this.
+HOT_GROUPS = 10_000
+#: Rows up to which a group is not hot in a small table.
+LEAST_HOT = 1_000
+
 # The characters [\x20\x09-\x0D] that do not count.
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -64,13 +71,30 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest=_sha256) -> Dat
         shared = winners.groupBy("digest").count().where("count > 1").limit(1).count()
         if shared:  # two contents with one SHA-256: never seen, but then only content tells them apart
             return exact_duplicates(docs, salts, digest=lambda c: F.concat(_sha256(c), F.xxhash64(c).cast("string")))
-        members = rows.select("doc_id", "digest")
-        joined = members.join(winners.drop("content"), "digest")
+        joined = _looked_up(rows.select("doc_id", "digest"), winners.drop("content"), ["digest"])
         return _result(joined, F.col("digest"))
-    joined = rows.select("doc_id", "digest", "content").join(winners, ["digest", "content"])
+    joined = _looked_up(rows.select("doc_id", "digest", "content"), winners, ["digest", "content"])
     return _result(joined, _sha256(F.col("content")))
 
 
+def _looked_up(members: DataFrame, winners: DataFrame, key: list[str]) -> DataFrame:
+    """``members`` with keep_id and group_size of their groups, no group in one task."""
+    least = F.floor(F.col("all_rows") / HOT_GROUPS)
+    whole = winners.agg(F.sum("group_size").alias("all_rows"))
+    # fewer than HOT_GROUPS groups can have more than one in HOT_GROUPS of all rows
+    sized = winners.join(F.broadcast(whole), F.lit(True)).withColumn("is_hot", F.col("group_size") > F.greatest(least, F.lit(LEAST_HOT)))
+    hot = sized.where("is_hot").select(*key, F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    rest = sized.where("not is_hot").select(*(F.col(k).alias(f"_{k}") for k in key), "keep_id", "group_size")
+    marked = members.join(F.broadcast(hot), key, "left").withColumn("_row", F.monotonically_increasing_id())
+    # rows that have found theirs are spread over all tasks by a key that meets nothing
+    dealt = F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(F.concat(F.lit("row "), F.col("_row").cast("string")))
+    meets = dealt == F.col("_digest")
+    for k in key[1:]:
+        meets = meets & (F.col(k) == F.col(f"_{k}"))
+    joined = marked.join(rest, meets, "left")
+    return joined.select("doc_id", *key, F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_id")).alias("keep_id"), F.coalesce("hot_size", "group_size").alias("group_size"))
+
+
 def _result(joined: DataFrame, sha256: Column) -> DataFrame:
     return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), sha256.alias("text_sha256"))
 
