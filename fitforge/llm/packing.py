@@ -2,9 +2,11 @@
 
 Documents are cut into pieces of at most one sequence.  Each partition packs its
 pieces by best-fit decreasing and certifies the number of its bins by a lower
-bound from dual feasible functions.  Partitions whose bins have room left
-exchange the documents of those bins and pack them again, in fewer partitions,
-until the whole meets the bound of all pieces or a round brings nothing.
+bound from dual feasible functions.  A partition that meets its bound is left alone; those
+with a gap exchange the documents of their bins with room and run best-fit decreasing
+again, until no gap is left or a round closes none.  At last the emptiest bin of each
+partition may go: as the bound of a partition is rounded up, these bins can hold less
+together than there are of them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,10 @@ from fitforge.llm.scratch import cut
 SEQUENCE_TOKENS = 2048
 #: Pieces that one task packs; the number of partitions follows from it.
 PIECES_PER_PARTITION = 20_000
-#: Rounds of exchange after the first packing.
-EXCHANGES = 3
 
 _END = np.uint32(0)  # the id behind each document
 _DUAL_STEPS = 64
+_LAST_TURN = 2_000
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
@@ -128,11 +130,45 @@ def _packed(items: DataFrame, capacity: int, partitions: int, turn: int) -> Data
     return dealt.groupBy("pack_group").applyInArrow(pack, ", ".join(f"{name} {kind}" for name, kind in fields))
 
 
+_PARTITION = ["turn", "pack_group"]
+_GAPPED, _CERTIFIED = "group_bins > group_bound", "group_bins = group_bound"
+
+
 def _bins(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("turn", "pack_group").agg(F.max("group_bins").alias("bins"), F.max("group_bound").alias("bound"))
+    """The partitions: their bins, bound and pieces."""
+    return packed.groupBy(*_PARTITION).agg(F.max("group_bins").alias("group_bins"), F.max("group_bound").alias("group_bound"), F.sum("length").alias("tokens"))
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, pieces_per_partition: int = PIECES_PER_PARTITION, exchanges: int = EXCHANGES) -> DataFrame:
+def _exchanged(packed: DataFrame, capacity: int, pieces_per_partition: int, columns: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """Exchange between partitions with a gap until none closes: the packings that stay, and the last one."""
+    done: list[DataFrame] = []
+    for turn in count(1):
+        partitions = _bins(packed)
+        gapped = partitions.where(_GAPPED).select(*_PARTITION)
+        n_gapped = gapped.count()
+        if not n_gapped:
+            return done, packed
+        reopened = packed.where(_GAPPED)
+        if n_gapped == 1:  # a partner to exchange with: the certified partition with most room
+            room = F.col("group_bins") * capacity - F.col("tokens")
+            partner = partitions.where(_CERTIFIED).orderBy(room.desc(), *_PARTITION).first()
+            if partner is None:
+                return done, packed
+            is_partner = (F.col("turn") == partner["turn"]) & (F.col("pack_group") == partner["pack_group"])
+            reopened, untouched = packed.where(F.expr(_GAPPED) | is_partner), packed.where(F.expr(_CERTIFIED) & ~is_partner)
+        else:
+            untouched = packed.where(_CERTIFIED)
+        loose = reopened.where(F.col("bin_fill") < capacity)
+        before = loose.agg(F.count("*").alias("n"), F.countDistinct(*_PARTITION, "bin").alias("bins")).first()
+        new = cut(_packed(loose.select(*columns), capacity, max(1, -(-before["n"] // pieces_per_partition)), turn), f"packed_{turn}")
+        if (_bins(new).agg(F.sum("group_bins")).first()[0] or 0) >= before["bins"]:
+            return done, packed
+        done += [untouched, reopened.where(F.col("bin_fill") == capacity)]
+        packed = new
+    raise AssertionError("count() does not end")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, pieces_per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """Give each piece a ``sequence_id`` and an ``offset``; ``pieces`` is read several times.
 
     Pieces must have a length from 1 to ``capacity``; other columns stay.  Those that
@@ -142,49 +178,41 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, pieces_per_p
     """
     whole = pieces.where(F.col("length") == capacity)
     rest = pieces.where(F.col("length") < capacity)
-    histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
     counts = np.zeros(capacity + 1, np.int64)
-    for size, n in histogram.items():
-        counts[size] = n
-    least = bin_lower_bound(counts, capacity)
-    done: list[DataFrame] = []
-    waiting, n_waiting, before = rest, int(counts.sum()), None
-    settled = 0  # bins that stay as they are
-    for turn in range(exchanges + 1):
-        partitions = max(1, -(-n_waiting // pieces_per_partition))
-        packed = cut(_packed(waiting, capacity, partitions, turn), f"packed_{turn}")
-        now = int(_bins(packed).agg(F.sum("bins")).first()[0] or 0)
-        if before is not None and now >= before[1]:
-            packed, now = before
-            done.append(packed)
-            break
-        if settled + now <= least or turn == exchanges:
-            done.append(packed)
-            break
-        # Full bins stay.  The others are exchanged: between partitions with a gap to
-        # their bound, and for the room that the last bins of certified ones have left.
-        full = F.col("bin_fill") == capacity
-        loose = packed.where(~full)
-        room = loose.agg(F.count("*").alias("n"), F.countDistinct("turn", "pack_group", "bin").alias("bins")).first()
-        if partitions == 1 or not room["n"]:
-            done.append(packed)
-            break
-        done.append(packed.where(full))
-        settled += now - room["bins"]
-        before = (loose, room["bins"])
-        waiting, n_waiting = loose.select(*pieces.columns), room["n"]
+    for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row for each length
+        counts[r["length"]] = r["n"]
+    partitions = max(1, -(-int(counts.sum()) // pieces_per_partition))
+    first = cut(_packed(rest, capacity, partitions, 0), "packed_0")
+    done, last = _exchanged(first, capacity, pieces_per_partition, pieces.columns)
+    packed = reduce(DataFrame.unionByName, [*done, last])
+    packed = _without_emptiest(packed, capacity, pieces_per_partition, bin_lower_bound(counts, capacity), pieces.columns)
     # turn, group and bin in one number; sequences of their own are numbered below zero
-    number = F.shiftleft(F.col("turn").cast("long"), 58) + F.shiftleft(F.col("pack_group"), 24) + F.col("bin")
-    out = [p.select(*pieces.columns, "offset", (F.col("group_bins") == F.col("group_bound")).alias("certified"), number.alias("sequence_id")) for p in done]
-    alone = whole.select(*pieces.columns, F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"), (-1 - F.monotonically_increasing_id()).alias("sequence_id"))
-    return reduce(DataFrame.unionByName, [*out, alone])
+    number = F.shiftleft(F.col("turn").cast("long"), 52) + F.shiftleft(F.col("pack_group"), 24) + F.col("bin")
+    held = packed.select(*pieces.columns, number.alias("sequence_id"), "offset", F.expr(_CERTIFIED).alias("certified"))
+    return held.unionByName(whole.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified")))
+
+
+def _without_emptiest(packed: DataFrame, capacity: int, pieces_per_partition: int, least: int, columns: list[str]) -> DataFrame:
+    """The packing with the emptiest bins of the partitions packed together, where that takes fewer bins."""
+    bins = packed.groupBy(*_PARTITION, "bin").agg(F.first("bin_fill").alias("fill"), F.count("*").alias("n"))
+    emptiest = bins.groupBy(*_PARTITION).agg(F.min(F.struct("fill", "bin", "n")).alias("e")).where(F.col("e.fill") < capacity)
+    emptiest = cut(emptiest.select(*_PARTITION, "e.bin", "e.n"), "emptiest")
+    found = emptiest.agg(F.count("*").alias("bins"), F.sum("n").alias("n")).first()
+    if found["bins"] < 2 or bins.count() <= least:
+        return packed
+    pooled = packed.join(emptiest.drop("n"), [*_PARTITION, "bin"], "left_semi").select(*columns)
+    new = cut(_packed(pooled, capacity, max(1, -(-found["n"] // pieces_per_partition)), _LAST_TURN), "packed_last")
+    if (_bins(new).agg(F.sum("group_bins")).first()[0] or 0) >= found["bins"]:
+        return packed
+    return packed.join(emptiest.drop("n"), [*_PARTITION, "bin"], "left_anti").unionByName(new)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, **limits: int) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
-    Returns doc_id, piece, start, length, ids_crc32, offset, certified and
-    sequence_id, one row per piece.  Null texts count as empty; repeated rows are
-    packed as often as they come; other columns are left out.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset and
+    certified, one row per piece.  Null texts count as empty, a null doc_id is packed
+    like any other, very long texts give as many pieces as it takes; repeated rows are
+    packed as often as they come; other columns are left out; an empty table gives no rows.
     """
     return pack_pieces(cut(token_pieces(docs, path, capacity), "pieces"), capacity, **limits)
