@@ -2,9 +2,10 @@
 
 Two generative models give each hashed n-gram a probability: one of target text
 (documents labelled as good), one of all raw text.  A document's weight is the
-ratio of the two over its n-grams.  Documents are sampled without replacement in
-proportion to their weights by the Gumbel top-k trick: the k largest values of log
-weight plus Gumbel noise, which a hash of the document makes reproducible.
+ratio of the two for a passage of it, so that long and short documents compare.
+Documents are sampled without replacement in proportion to their weights by the
+Gumbel top-k trick: the k largest values of log weight plus Gumbel noise, which a
+hash of the document makes reproducible.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ PRIOR = 20.0
 SEED = 20_240_101
 #: Labelled good documents that the target model counts, at most: those with the smallest hashes of doc_id.
 TARGET_ROWS = 50_000
+#: How far the log weights of labelled good and bad rows lie apart in the mean.  It sets the length of the passage
+#: that a weight speaks of: so many times the mean log ratio of a document's n-grams.  Longer passages let the ratio
+#: decide, shorter ones the noise, whose standard deviation is 1.3.
+GAP = 12.0
+#: The passage where labels do not tell the gap.
+PASSAGE = 6.0
 #: Bins by which the k-th largest value, or the best one to cut at, is found.
 BINS = 4096
 
@@ -119,44 +126,50 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target
 
 
 def _weights(doc_id: pa.Array, text: pa.Array, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The log weight of each row, and the noisy one."""
-    weight = np.zeros(len(text))
+    """The mean log ratio of each row's n-grams, and its Gumbel noise."""
+    mean = np.zeros(len(text))
     for texts in texts_of(text):
         grams, counts = ngram_buckets(texts, len(ratio))
         whose = np.repeat(np.arange(len(texts)), counts)
-        weight[texts.first : texts.first + len(texts)] = np.bincount(whose, ratio[grams], minlength=len(texts))
+        total = np.bincount(whose, ratio[grams], minlength=len(texts))
+        mean[texts.first : texts.first + len(texts)] = total / np.maximum(counts, 1)
     key = doc_id.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
     uniform = ((mix(key + _U64(seed)) >> _U64(11)).astype(np.float64) + 0.5) / (1 << 53)
-    return weight, weight - np.log(-np.log(uniform))
+    return mean, -np.log(-np.log(uniform))
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight and noisy_weight (with Gumbel noise by a hash of doc_id) of each row."""
+def mean_ratios(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
+    """doc_id, mean_ratio (of the n-grams) and noise (Gumbel, by a hash of doc_id) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weight, noisy = _weights(batch.column(0), batch.column(1), ratio, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(noisy)], names=["doc_id", "log_weight", "noisy_weight"])
+            mean, noise = _weights(batch.column(0), batch.column(1), ratio, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean), pa.array(noise)], names=["doc_id", "mean_ratio", "noise"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, noisy_weight double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, mean_ratio double, noise double")
 
 
-def _binned(weights: DataFrame) -> tuple[DataFrame, float, float]:
-    lo, hi = weights.agg(F.min("noisy_weight"), F.max("noisy_weight")).first()
+def passage_length(means: DataFrame, labels: DataFrame) -> float:
+    """The length at which labelled good rows weigh GAP more than bad ones; PASSAGE where they do not weigh more."""
+    known = _marked(means, labels)
+    good, bad = known.agg(F.avg(F.when(F.col("quality") == 1, F.col("mean_ratio"))), F.avg(F.when(F.col("quality") != 1, F.col("mean_ratio")))).first()
+    return GAP / (good - bad) if good is not None and bad is not None and good - bad > 1e-9 else PASSAGE
+
+
+def _binned(weights: DataFrame, column: str) -> tuple[DataFrame, float, float]:
+    lo, hi = weights.agg(F.min(column), F.max(column)).first()
     step = ((hi - lo) / BINS or 1.0) if lo is not None else 1.0
-    return weights.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col("noisy_weight") - F.lit(lo or 0.0)) / F.lit(step)))), lo or 0.0, step
+    return weights.withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col(column) - F.lit(lo or 0.0)) / F.lit(step)))), lo or 0.0, step
 
 
 def calibrated_floor(weights: DataFrame, labels: DataFrame) -> float:
-    """The value at which to cut that separates labelled rows best.
+    """The log weight that separates labelled rows best.
 
     Of all cuts between bins with the largest sum of the rates of good rows above
-    and bad rows below, the middle one.  Without labels of both kinds all stay.
-    Bins are even in the logarithm, as weights grow with the length of documents.
+    and bad rows below, the middle one.  Without labels of both kinds there is none.
     """
-    known = _marked(weights, labels).where("quality is not null").select("quality", F.signum("noisy_weight").alias("s"), "noisy_weight")
-    squeezed = known.select("quality", (F.col("s") * F.log1p(F.abs("noisy_weight"))).alias("noisy_weight"))
-    binned, lo, step = _binned(squeezed)
+    known = _marked(weights, labels).where("quality is not null").select("quality", "log_weight")
+    binned, lo, step = _binned(known, "log_weight")
     found = binned.groupBy("bin").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad")).toPandas()
     good, bad = np.zeros(BINS), np.zeros(BINS)
     if len(found):
@@ -167,15 +180,21 @@ def calibrated_floor(weights: DataFrame, labels: DataFrame) -> float:
     below = np.concatenate(([0], np.cumsum(bad)))
     gain = above / good.sum() + below / bad.sum()
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    at = lo + step * (best[0] + best[-1]) / 2
-    return float(np.sign(at) * np.expm1(abs(at)))
+    return float(lo + step * (best[0] + best[-1]) / 2)
+
+
+def sample_size(weights: DataFrame, labels: DataFrame) -> int:
+    """How many rows to sample where the caller does not say: those whose log weight is above :func:`calibrated_floor`."""
+    return weights.where(F.col("log_weight") >= F.lit(calibrated_floor(weights, labels))).count()
 
 
 def kth_largest(weights: DataFrame, k: int) -> float:
-    """The k-th largest noisy_weight, narrowed down by bins until a bin has few rows."""
+    """The k-th largest noisy_weight, narrowed down by bins until a bin has few rows; above all of them for no k."""
+    if k <= 0:
+        return np.inf
     rows = weights.select("noisy_weight")
     while True:
-        binned, _, _ = _binned(rows)
+        binned, _, _ = _binned(rows, "noisy_weight")
         found = dict(binned.groupBy("bin").count().collect())
         at = max(found, default=0)
         for at in sorted(found, reverse=True):
@@ -188,23 +207,27 @@ def kth_largest(weights: DataFrame, k: int) -> float:
             return few[-1][0] if few else -np.inf
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, k: int | None, buckets: int, seed: int) -> tuple[DataFrame, np.ndarray, float]:
-    """The weights of all rows, the ratio behind them, and the noisy weight from which on rows stay."""
+def _fitted(docs: DataFrame, labels: DataFrame, k: int | None, buckets: int, seed: int) -> tuple[DataFrame, np.ndarray, float, float]:
+    """The weights of all rows, the ratio and the passage behind them, and the noisy weight from which on rows stay."""
     ratio = fit_ratio(docs, labels, buckets)
-    weights = cut(log_weights(docs, ratio, seed), "weights")
-    return weights, ratio, calibrated_floor(weights, labels) if k is None else kth_largest(weights, k)
+    means = cut(mean_ratios(docs, ratio, seed), "weights")
+    passage = passage_length(means, labels)
+    log_weight = F.lit(passage) * F.col("mean_ratio")
+    weights = means.select("doc_id", log_weight.alias("log_weight"), (log_weight + F.col("noise")).alias("noisy_weight"))
+    return weights, ratio, passage, kth_largest(weights, sample_size(weights, labels) if k is None else k)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, log_weight, noisy_weight, kept.
 
-    Kept are the k rows with the largest noisy weights.  Without ``k`` it is the
-    number of rows above the value that separates labelled rows best.  Null and
-    empty texts weigh nothing (log weight 0); repeated rows have one noise and are
-    kept or not together, so that ties at the k-th place all stay; labels of
-    unknown documents do not count; an empty table gives no rows.
+    Kept are the k rows with the largest noisy weights, whatever their labels.
+    Without ``k`` it is :func:`sample_size`.  Null and empty texts have log weight 0;
+    very long ones weigh as much as a passage of them.  Repeated rows have one noise
+    and are kept or not together, so that ties at the k-th place all stay; rows
+    without doc_id share one noise.  Labels of unknown documents do not count; without
+    labels of both kinds all rows stay; an empty table gives no rows.
     """
-    weights, _, floor = _fitted(docs, labels, k, buckets, seed)
+    weights, _, _, floor = _fitted(docs, labels, k, buckets, seed)
     return weights.withColumn("kept", F.col("noisy_weight") >= F.lit(floor))
 
 
@@ -214,11 +237,11 @@ def keep_target_like(docs: DataFrame, labels: DataFrame, k: int | None = None, b
     Rows are weighed once more where they are read, which costs less than to shuffle
     their texts; rows without doc_id are judged by their texts as well.
     """
-    _, ratio, floor = _fitted(docs, labels, k, buckets, seed)
+    _, ratio, passage, floor = _fitted(docs, labels, k, buckets, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, noisy = _weights(batch.column("doc_id"), batch.column("text"), ratio, seed)
-            yield batch.filter(pa.array(noisy >= floor))
+            mean, noise = _weights(batch.column("doc_id"), batch.column("text"), ratio, seed)
+            yield batch.filter(pa.array(passage * mean + noise >= floor))
 
     return docs.mapInArrow(run, docs.schema)
