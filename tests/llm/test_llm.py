@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from fitforge.llm import bpe, exactdup, isolation, ngramjoin, packing, privacy, resampling, sharding, suffixes, toolcalls
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+KEY = b"key of the tests"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, digest string, key string"
 
 
@@ -117,11 +118,13 @@ def test_kept_copies_without_or_with_repeated_doc_id(spark):
     assert sorted(map(tuple, found), key=repr) == sorted([(None, "a l o n e"), (1, "with id"), (2, "copy"), (3, "other")], key=repr)
 
 
-def test_exceptions_reach_rows_without_doc_id(spark, monkeypatch):
-    docs = spark.createDataFrame([(None, "Password: ____________1 "), *((i, f"Password: ____________{i} ") for i in (2, 3, 4, 5, 6, 7, 8, 9, 0))], "doc_id long, text string")
-    few = {tuple(r) for r in privacy.replace_entities(docs).collect()}
-    monkeypatch.setattr(privacy, "MOST_EXCEPTIONS", 0)
-    assert {tuple(r) for r in privacy.replace_entities(docs).collect()} == few
+def test_exceptions_reach_rows_without_doc_id(spark):
+    texts = [f"Password: ____________{i} " for i in range(10)]
+    docs = spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = privacy.replace_entities(docs, KEY).collect()
+    made = {r["value"]: r["surrogate"] for r in privacy.assign_surrogates(docs, KEY).collect()}
+    assert any(r["turn"] > 0 for r in privacy.assign_surrogates(docs, KEY).collect())
+    assert {(r["doc_id"], r["text"]) for r in found} == {(None if i == 1 else i, f"Password: {made[t.split()[1]]} ") for i, t in enumerate(texts)}
 
 
 def test_similarity_join(docs, rows):
@@ -220,14 +223,14 @@ def test_surrogates(spark):
     text = 'mail und.34@mail7.example.com, +1 (017) 555-7713, 4539578763621486 at 97.51.17.173 token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" Frau Anna Schmidt Version 2.0.'
     rows = [(1, text), (2, "UND.34@mail7.example.com"), (3, "4539 5787 6362 1486 und.35@mail7.example.com"), (4, None), (5, "no data 4.0.")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_entities string")
-    found = {r["doc_id"]: r for r in privacy.replace_entities(docs).collect()}
+    found = {r["doc_id"]: r for r in privacy.replace_entities(docs, KEY).collect()}
     assert [found[i]["n_entities"] for i in range(1, 6)] == [6, 1, 2, 0, 0] and found[4]["text"] is None and found[5]["text"] == "no data 4.0."
     assert not any(x in found[1]["text"] for x in ("und.34", "555-7713", "4539578763621486", "97.51.17.173", "04dbebab", "Schmidt")) and "Version 2.0." in found[1]["text"]
     mail = re.search(r"mail (\S+@\S+),", found[1]["text"])[1]
     card = re.search(r"\d{16}", found[1]["text"])[0]
     assert found[2]["text"].lower() == mail and found[3]["text"].startswith(" ".join(card[i : i + 4] for i in range(0, 16, 4))) and not found[3]["text"].endswith(mail)
     assert privacy._luhn(card[:-1]) == int(card[-1])
-    made = {privacy.surrogate("ip", f"10.0.{i}.{j}") for i in range(40) for j in range(256)}
+    made = {privacy.surrogate("ip", f"10.0.{i}.{j}", KEY) for i in range(40) for j in range(256)}
     assert len(made) == 40 * 256
 
 
@@ -255,9 +258,9 @@ def test_whole_entities_are_found():
 def test_surrogates_of_forms_that_are_used_up(spark):
     texts = ["Password: ____________ 1", "1 用户@例子.公司", "1 Tel +٣٣ ٦١٢ ٣٤٥ ٦٧٨", *(f"Password: ____________{i}" for i in range(10)), *(f"Mr. {n}." for n in privacy._FIRST_NAMES["m"])]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    made = privacy.assign_surrogates(docs).collect()
+    made = privacy.assign_surrogates(docs, KEY).collect()
     assert len(made) == len(texts) == len({r["surrogate"] for r in made}) and not {r["surrogate"] for r in made} & {r["value"] for r in made}
-    found = {r["doc_id"]: r["text"] for r in privacy.replace_entities(docs).collect()}
+    found = {r["doc_id"]: r["text"] for r in privacy.replace_entities(docs, KEY).collect()}
     assert all(found[i] != t for i, t in enumerate(texts)) and re.fullmatch(r"1 Tel \+٣[٠-٩] [٠-٩]{3} [٠-٩]{3} [٠-٩]{3}", found[2])
 
 
@@ -291,7 +294,7 @@ def test_tool_calls_in_a_long_chain(spark, monkeypatch):
 def test_empty_tables(spark, docs, labels):
     empty = docs.limit(0)
     for f in (lambda d: packing.pack_documents(d, PATH), lambda d: bpe.round_trip_digests(d, PATH), exactdup.exact_duplicates, ngramjoin.similar_components, sharding.byte_shards,
-              lambda d: isolation.quality_rules(d, labels), suffixes.without_repeats, lambda d: resampling.resample(d, labels), privacy.replace_entities):
+              lambda d: isolation.quality_rules(d, labels), suffixes.without_repeats, lambda d: resampling.resample(d, labels), lambda d: privacy.replace_entities(d, KEY)):
         assert f(empty).count() == 0
     assert toolcalls.link_tool_calls(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
