@@ -38,11 +38,16 @@ def combine(semantic: Column, skill: Column, structure: Column, weights: tuple[f
     return F.when(total > 0, F.lit(100.0) * value / total).otherwise(zero)
 
 
-def eligibility(level: Column, own_level: int, years: Column, most_years: int | None, show_stretch: bool = False, penalty: float = 0.85, hide_levels: int = 2, hide_years: int = 3) -> dict[str, Column]:
-    """levels_above, hidden and multiplier of a posting for someone of ``own_level``."""
-    above = level - F.lit(own_level)
-    too_high = F.coalesce(above >= hide_levels, F.lit(False))
-    too_long = F.coalesce(years >= F.lit(most_years) + hide_years, F.lit(False)) if most_years is not None else F.lit(False)
-    hidden = (too_high | too_long) & F.lit(not show_stretch)
-    multiplier = F.pow(F.lit(penalty), F.greatest(F.coalesce(above, F.lit(0)), F.lit(0)).cast("double"))
-    return {"levels_above": above, "hidden": hidden, "multiplier": multiplier}
+def eligibility(level: Column, own_level: Column | int, years: Column, most_years: Column | int | None, show_stretch: bool = False, penalty: float = 0.85, hide_levels: int = 2, hide_years: int = 3) -> dict[str, Column]:
+    """levels_above, stretch, hidden and multiplier of a posting for someone of ``own_level``.
+
+    Levels are numbers, null where unknown: then no rule on levels holds.  A posting is
+    too much with ``hide_levels`` or more levels above, or with ``hide_years`` or more
+    years beyond ``most_years`` (null: no limit).
+    """
+    own = own_level if isinstance(own_level, Column) else F.lit(own_level)
+    most = most_years if isinstance(most_years, Column) else F.lit(most_years).cast("int")
+    above = level - own
+    up = F.greatest(F.coalesce(above, F.lit(0)), F.lit(0))
+    too_much = F.coalesce(above >= hide_levels, F.lit(False)) | F.coalesce(years >= most + hide_years, F.lit(False))
+    return {"levels_above": above, "stretch": too_much | (up > 0), "hidden": too_much & F.lit(not show_stretch), "multiplier": F.pow(F.lit(penalty), up.cast("double"))}
