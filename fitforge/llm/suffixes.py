@@ -141,16 +141,27 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _STRETCH = ("key", "doc", "start", "stop", "bytes")
 
 
-def _once(key: np.ndarray, doc: np.ndarray, start: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    """Rows of stretches, of which each content goes on with its smallest document only.
-
-    The others have a smaller one for sure: they get a stop, and neither key nor bytes."""
+def _once(key: np.ndarray, doc: np.ndarray, start: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of stretches, of which each content goes on with its smallest document only, and which are the others."""
     content, values = equal_spans(packed, lengths)
     smallest = np.full(len(values), np.iinfo(np.int64).max)
     np.minimum.at(smallest, content, doc)
     settled = doc != smallest[content]
-    pieces = values.take(pa.array(content, mask=settled)).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(key, mask=settled), pa.array(doc), pa.array(start), pa.array(start + lengths, mask=~settled), pieces], names=_STRETCH)
+    going = np.flatnonzero(~settled)
+    pieces = values.take(pa.array(content[going])).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key[going]), pa.array(doc[going]), pa.array(start[going]), pa.nulls(len(going), pa.int64()), pieces], names=_STRETCH), settled
+
+
+def _settled_rows(docs: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Rows without key and bytes for stretches that a smaller document of the slice has; those that touch are one."""
+    order = np.lexsort((start, text))
+    text, start, stop = text[order], start[order], stop[order]
+    # within a text later stretches end later
+    new = np.append(True, (text[1:] != text[:-1]) | (start[1:] > stop[:-1])) if len(text) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(text)) - 1 if len(text) else first
+    n = len(first)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(docs[text[first]]), pa.array(start[first]), pa.array(stop[last]), pa.nulls(n, pa.binary())], names=_STRETCH)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +187,13 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             single = hit & np.isin(pair, pairs_of(hot, names))
             pick = np.flatnonzero(hit & ~single)
             doc, within = docs[texts.first + text], texts.bounds[text]
+            settled: list[tuple[np.ndarray, ...]] = []
             if len(pick):
                 length = windows[pick] + LENGTH - 1
                 inside = np.repeat(start[pick] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-                yield _once(key[pick], doc[pick], start[pick] - within[pick], texts.data[inside], length)
+                going, other = _once(key[pick], doc[pick], start[pick] - within[pick], texts.data[inside], length)
+                yield going
+                settled.append((pick[other], start[pick][other], length[other]))
             pick = np.flatnonzero(single)
             n = windows[pick]
             at = np.repeat(start[pick] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -188,7 +202,12 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, w = at[a : a + WINDOWS_AT_ONCE], whose[a : a + WINDOWS_AT_ONCE]
                 bytes_of = np.lib.stride_tricks.sliding_window_view(texts.data, LENGTH)[p].ravel()
                 own = mix(span_hashes(texts.data, p, p + LENGTH)).view(np.int64)
-                yield _once(own, doc[w], p - within[w], bytes_of, np.full(len(p), LENGTH))
+                going, other = _once(own, doc[w], p - within[w], bytes_of, np.full(len(p), LENGTH))
+                yield going
+                settled.append((w[other], p[other], np.full(int(other.sum()), LENGTH)))
+            if settled:
+                w, p, length = (np.concatenate(x) for x in zip(*settled, strict=True))
+                yield _settled_rows(docs[texts.first :], text[w], p - within[w], p - within[w] + length)
 
 
 def _names(key: np.ndarray) -> np.ndarray:
@@ -370,11 +389,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shared = cut(dealt.mapInArrow(_shared_anchors, "doc long, key long"), "shared")
     hot = cut(shared.where("doc is null").select("key").distinct(), "hot")
     found = shared.where("doc is not null")
-    if hot.limit(1).count():
-        found = found.join(hot.withColumn("hot", F.col("key")), "key", "left")
-    else:
-        found = found.withColumn("hot", F.lit(None).cast("long"))
-    wanted = cut(found.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot")), "anchors")
+    found = found.join(hot.withColumn("hot", F.col("key")), "key", "left") if hot.limit(1).count() else found
+    of_doc = F.collect_list("hot") if "hot" in found.columns else F.array().cast("array<bigint>")
+    wanted = cut(found.groupBy("doc").agg(F.collect_list("key").alias("keys"), of_doc.alias("hot")), "anchors")
     discard(shared, hot)
     stretches = source.join(wanted, "doc").select("doc", "text", "keys", "hot").mapInArrow(_stretches, "key long, doc long, start long, stop long, bytes binary")
     dealt = stretches.repartition(F.coalesce("key", F.xxhash64("doc", "start"))).sortWithinPartitions("key", "bytes", "doc")
