@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from fitforge.plans import postings, skills, upkeep  # noqa: F401 - register their queries
+from fitforge.plans import postings, resumes, skills, upkeep  # noqa: F401 - register their queries
 from fitforge.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
