@@ -36,6 +36,13 @@ def weighted_mode(rows: DataFrame, group: str, value: str, weight: Column) -> Da
     return sums.groupBy(group).agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col(value).alias("v"))).alias("m")).select(group, F.col("m.v").alias(value), (-F.col("m.w")).alias("weight"))
 
 
+def first_mode(rows: DataFrame, group: str, values: list[str], order: str) -> DataFrame:
+    """Per group the most frequent combination of values; of equal ones that which comes first."""
+    counts = rows.groupBy(group, *values).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    best = counts.groupBy(group).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.struct(*values).alias("v"))).alias("m"))
+    return best.select(group, *(F.col(f"m.v.{v}").alias(v) for v in values), (-F.col("m.n")).alias("n"))
+
+
 def heading_above(rows: DataFrame, group: str, order: str, heading: Column) -> Column:
     """The last heading at or above a row; null before the first."""
     return F.last(heading, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -59,3 +59,25 @@ def delete_own(rows: DataFrame, requests: DataFrame, owner: str, key: str) -> tu
 def first_values(rows: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
     """Per key the value of its first occurrence, and the position of its last one, which breaks ties."""
     return rows.groupBy(*keys).agg(F.min_by(value, position).alias(value), F.max(position).alias(position))
+
+
+def replace_rows(stored: DataFrame, sent: DataFrame, key: str) -> DataFrame:
+    """``stored`` with the rows that were sent in place of those of the same key, in all columns."""
+    return stored.join(sent.select(key), key, "left_anti").unionByName(sent.select(*stored.columns))
+
+
+def patch_rows(stored: DataFrame, patches: DataFrame, owner: str, key: str, fields: list[str]) -> DataFrame:
+    """``stored`` with the sent fields of patches (owner, key, field and ``has_`` field); null is a value like any other.
+
+    Patches of another owner change nothing.
+    """
+    sent = patches.select(owner, key, *(F.col(f).alias(f"_{f}") for f in fields), *(f"has_{f}" for f in fields))
+    both = stored.join(sent, [owner, key], "left")
+    return both.select(*(F.when(F.col(f"has_{c}"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else c for c in stored.columns))
+
+
+def insert_active(stored: DataFrame, new: DataFrame, group: str, active: str) -> DataFrame:
+    """``stored`` and the new rows, which alone are active in their groups."""
+    groups = new.select(group).distinct().withColumn("_has_new", F.lit(True))
+    old = stored.join(groups, group, "left").withColumn(active, F.col(active) & F.col("_has_new").isNull()).drop("_has_new")
+    return old.unionByName(new.withColumn(active, F.lit(True)).select(*stored.columns))

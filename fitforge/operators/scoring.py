@@ -51,3 +51,16 @@ def eligibility(level: Column, own_level: Column | int, years: Column, most_year
     up = F.greatest(F.coalesce(above, F.lit(0)), F.lit(0))
     too_much = F.coalesce(above >= hide_levels, F.lit(False)) | F.coalesce(years >= most + hide_years, F.lit(False))
     return {"levels_above": above, "stretch": too_much | (up > 0), "hidden": too_much & F.lit(not show_stretch), "multiplier": F.pow(F.lit(penalty), up.cast("double"))}
+
+
+def role_scores(people: DataFrame, owned: DataFrame, roles: DataFrame, words: DataFrame, person: str, role: str, bonus: float = 0.25) -> DataFrame:
+    """person, role and score: the share of a role's weight that owned skills cover, and ``bonus`` if a title has its word.
+
+    ``people`` has titles (in lower case), ``owned`` person and skill, ``roles`` role,
+    skill and weight, ``words`` role and word; only pairs with a score above 0.
+    """
+    total = roles.groupBy(role).agg(F.sum("weight").alias("_total"))
+    covered = owned.join(roles, "skill").groupBy(person, role).agg(F.sum("weight").alias("_covered")).join(total, role)
+    covered = covered.select(person, role, (F.col("_covered") / F.col("_total")).alias("score"))
+    named = people.join(F.broadcast(words), F.expr("regexp_like(titles, concat('\\\\b', word, '\\\\b'))")).select(person, role, F.lit(bonus).alias("score"))
+    return covered.unionByName(named).groupBy(person, role).agg(F.sum("score").alias("score"))

@@ -56,3 +56,54 @@ def over_cap(rows: DataFrame, key: str, is_open: Column, posted: str, cap: int)
     near = opened.join(edge, opened[posted].eqNullSafe(edge["_date"])).drop("_date")
     rank = F.row_number().over(Window.partitionBy(posted).orderBy(F.col(key).desc()))
     return near.withColumn("_rank", F.col("_newer") + rank).where(F.col("_rank") > cap).drop("_rank", "_newer", "_n")
+
+
+def apply_snapshot(stored: DataFrame, incoming: DataFrame, key: str, content: str, fields: list[str], as_of: Column) -> DataFrame:
+    """``stored`` after a snapshot: ``key``, content, fields, status, first_seen, last_seen and the action taken.
+
+    Unchanged rows are seen again and open, whatever they were; new and changed ones
+    take all fields of the snapshot and keep their first_seen; open rows that are not
+    listed close; closed ones stay as they are.
+    """
+    new = incoming.select(key, *(F.col(c).alias(f"_{c}") for c in (content, *fields)), F.lit(True).alias("_listed"))
+    both = stored.select(key, content, *fields, "status", "first_seen", "last_seen", F.lit(True).alias("_stored")).join(new, key, "full_outer")
+    changed = F.col("_stored").isNull() | ~F.col(content).eqNullSafe(F.col(f"_{content}"))
+    action = (
+        F.when(F.col("_listed").isNull(), F.when(F.col("status") == "open", "closed").otherwise("absent"))
+        .when(F.col("_stored").isNull(), "new")
+        .when(changed, "updated")
+        .when(F.col("status") == "open", "unchanged")
+        .otherwise("reopened")
+    )
+    told = both.withColumn("action", action)
+    takes, seen = F.col("action").isin("new", "updated"), F.col("_listed").isNotNull()
+    return told.select(
+        key,
+        *(F.when(takes, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in (content, *fields)),
+        F.when(seen, "open").when(F.col("action") == "closed", "closed").otherwise(F.col("status")).alias("status"),
+        F.coalesce("first_seen", F.when(seen, as_of)).alias("first_seen"),
+        F.when(seen, as_of).otherwise(F.col("last_seen")).alias("last_seen"),
+        "action",
+    )
+
+
+def replace_children(children: DataFrame, incoming: DataFrame, applied: DataFrame, key: str) -> DataFrame:
+    """The child rows after a snapshot: those of new and changed parents come from ``incoming``, others stay."""
+    renewed = applied.where(F.col("action").isin("new", "updated")).select(key)
+    return children.join(renewed, key, "left_anti").unionByName(incoming.join(renewed, key, "left_semi"))
+
+
+def lists_differ(stored: DataFrame, parsed: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """``key`` and ``differs``: whether the lists of child rows (``fields`` in this order) are not the same.
+
+    Compared place by place, so that no list is gathered.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    a = stored.select(key, place.alias("_place"), F.struct(*fields).alias("_was"))
+    b = parsed.select(key, place.alias("_place"), F.struct(*fields).alias("_is"))
+    return a.join(b, [key, "_place"], "full_outer").groupBy(key).agg(F.bool_or(~F.col("_was").eqNullSafe(F.col("_is"))).alias("differs"))
+
+
+def chunks(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """``rows`` with ``chunk``, from 0 in each group: what is written together."""
+    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size).cast("int"))

@@ -1,23 +1,53 @@
-"""Similarity of vectors: filtered top-k, and the best match of each vector among a few."""
+"""Similarity of vectors: filtered top-k, and the best match of each vector among a few.
+
+Vectors are made unit vectors once where they are read, and similarities are matrix
+products of Arrow batches.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of one profile that others are matched against, at most; so they can be broadcast.
+#: Vectors of one profile that others are matched against, at most; so they fit in every task.
 MOST_BULLETS = 80
+#: Vectors of a block where many are searched for at once.
+BLOCK = 1_000
+
+
+def unit_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column and which rows have one: no null, no NaN, the most usual length; a zero vector stays zero."""
+    lengths = column.value_lengths().fill_null(0).to_numpy()
+    width = int(np.bincount(lengths).argmax()) if len(lengths) else 0
+    good = (lengths == width) & (width > 0)
+    flat = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(good.sum()), width)
+    sound = ~np.isnan(flat).any(axis=1)
+    good[np.flatnonzero(good)] = sound
+    flat = flat[sound]
+    norms = np.sqrt(np.einsum("ij,ij->i", flat, flat))
+    return flat / np.where(norms == 0, 1.0, norms)[:, None], good
+
 
+def _matrix(rows: list) -> np.ndarray:
+    return unit_rows(pa.array(rows, pa.list_(pa.float64())))[0]
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
+def with_similarity(rows: DataFrame, targets: np.ndarray, name: str) -> DataFrame:
+    """``rows`` with the largest similarity of their ``embedding`` to the unit vectors ``targets``; null without either."""
 
-def cosine(a: str | Column, b: str | Column) -> Column:
-    """Cosine similarity; 0 where a norm is 0, null where a vector is."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.when(norms == 0, F.lit(1.0)).otherwise(norms)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units, good = unit_rows(batch.column("embedding"))
+            best = np.full(len(batch), np.nan)
+            if len(targets) and len(units):
+                best[good] = (units @ targets.T).max(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, mask=np.isnan(best))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), f"{name} double"]))
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str, *filters: Column) -> DataFrame:
@@ -30,32 +60,101 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str, *filters: Co
     rows = vectors.where(F.col("embedding").isNotNull())
     for f in filters:
         rows = rows.where(f)
-    found = query.agg(F.collect_list(F.struct("embedding")).alias("_found")).where(F.size("_found") > 0)
-    one = found.select(F.when(F.size("_found") > 1, F.raise_error(F.lit("nearest takes one query row"))).otherwise(F.get("_found", F.lit(0))["embedding"]).alias("_query"))
-    scored = rows.join(F.broadcast(one), F.lit(True)).withColumn("similarity", cosine("embedding", "_query")).drop("_query")
-    return scored.orderBy(F.desc("similarity"), key).limit(k)
+    asked = [r[0] for r in query.select("embedding").limit(2).collect()]
+    if len(asked) > 1:
+        raise ValueError("nearest takes one query row")
+    scored = with_similarity(rows, _matrix([a for a in asked if a is not None]), "similarity").where("similarity is not null")
+    return scored.orderBy(F.round("similarity", 12).desc(), key).limit(k)
+
+
+def _blocks(rows: DataFrame, key: str, other: str, size: int) -> DataFrame:
+    """Rows of up to ``size`` vectors: their keys, values of ``other``, and unit vectors end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), size):
+                part = batch.slice(a, size)
+                units, good = unit_rows(part.column(2))
+                if not good.any():
+                    continue
+                keys, others = (part.column(i).filter(pa.array(good)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(pa.int64())), pa.array([others.to_pylist()], pa.list_(pa.int64())), pa.array([units.tobytes()], pa.binary())], names=["keys", "others", "units"])
+
+    cast = rows.where(f"{key} is not null").select(F.col(key).cast("long"), F.col(other).cast("long"), "embedding")
+    return cast.mapInArrow(run, "keys array<long>, others array<long>, units binary")
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *filters: Column) -> DataFrame:
-    """For every row of ``queries`` the k rows of ``vectors`` most similar to it.
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, other: str, block: int = BLOCK) -> DataFrame:
+    """query_``key``, ``key``, ``other`` and similarity: for every query the k most similar vectors of another ``other``.
 
-    Columns of ``queries`` come with ``query_`` before their names, so that filters,
-    which come before the limit, can compare both sides.  Otherwise as :func:`nearest`.
+    Blocks of vectors meet blocks of queries; a pair of blocks is one matrix product, of
+    which only the k best of each query go on.  Rows without embedding take no part.
     """
-    asked = queries.select(*(F.col(c).alias(f"query_{c}") for c in queries.columns))
-    pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(asked)
-    for f in filters:
-        pairs = pairs.where(f)
-    scored = pairs.withColumn("similarity", cosine("embedding", "query_embedding")).drop("embedding", "query_embedding")
-    best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    pairs = _blocks(vectors, key, other, block).crossJoin(_blocks(queries, key, other, block).toDF("q_keys", "q_others", "q_units"))
+    pairs = pairs.repartition(F.xxhash64("keys", "q_keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                keys, others, q_keys, q_others = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 1, 3, 4))
+                units, q_units = (np.frombuffer(batch.column(c)[i].as_py()).reshape(n, -1) for c, n in ((2, len(keys)), (5, len(q_keys))))
+                if units.shape[1] != q_units.shape[1]:
+                    continue
+                found = np.round(q_units @ units.T, 12)
+                found[q_others[:, None] == others[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(keys, found.shape), -found), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(q_keys)), order.shape[1])
+                columns, best = order.ravel(), np.take_along_axis(found, order, axis=1).ravel()
+                there = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(q_keys[rows][there]), pa.array(keys[columns][there]), pa.array(others[columns][there]), pa.array(best[there])], names=["q", "k", "o", "similarity"])
+
+    scored = pairs.mapInArrow(run, "q long, k long, o long, similarity double")
+    best = Window.partitionBy("q").orderBy(F.desc("similarity"), "k")
+    kept = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
+    return kept.select(F.col("q").alias(f"query_{key}"), F.col("k").alias(key), F.col("o").alias(other), "similarity")
+
+
+def best_match(rows: DataFrame, bullets: DataFrame, keys: list[str], order: str, most: int = MOST_BULLETS, whole: DataFrame | None = None) -> DataFrame:
+    """``keys`` and ``best``, the largest similarity of each row to the first ``most`` bullets by ``order``.
+
+    Without bullets the ``embedding`` of ``whole`` (one row) stands for them; without either best is null.
+    """
+    few = [r[0] for r in bullets.where("embedding is not null").orderBy(order).limit(most).select("embedding").collect()]
+    if not few and whole is not None:
+        few = [r[0] for r in whole.where("embedding is not null").limit(1).select("embedding").collect()]
+    return with_similarity(rows.select(*keys, "embedding"), _matrix(few), "best").select(*keys, "best")
+
+
+def best_match_of_each(requirements: DataFrame, people: DataFrame, key: str, most: int = MOST_BULLETS) -> DataFrame:
+    """person, ``key`` and best: every requirement against each person's ``bullets``, or ``whole`` without bullets.
+
+    ``people`` has person, bullets (array of vectors; the first ``most`` count) and whole
+    (a vector); a person with neither gives no rows.
+    """
+    kinds = dict(requirements.dtypes)
+    targets = people.select("person", F.slice(F.when(F.size("bullets") > 0, F.col("bullets")).otherwise(F.array("whole")), 1, most).alias("targets")).where("get(targets, 0) is not null")
+    pairs = _blocks(requirements.withColumn("_n", F.lit(0)), key, "_n", BLOCK).crossJoin(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                keys = batch.column("keys")[i].values
+                units = np.frombuffer(batch.column("units")[i].as_py()).reshape(len(keys), -1)
+                best = (units @ _matrix(batch.column("targets")[i].as_py()).T).max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("person")[i].as_py()] * len(keys), pa.int64()), keys, pa.array(best)], names=["person", key, "best"])
+
+    found = pairs.withColumn("person", F.col("person").cast("long")).mapInArrow(run, f"person long, `{key}` long, best double")
+    return found.withColumn(key, F.col(key).cast(kinds[key]))
 
 
-def best_match(rows: DataFrame, bullets: DataFrame, keys: list[str], order: str, most: int = MOST_BULLETS) -> DataFrame:
-    """``keys`` and ``best``, the largest similarity of each row to the first ``most`` bullets by ``order``."""
-    few = bullets.orderBy(order).limit(most).select(F.col("embedding").alias("_bullet"))
-    pairs = rows.join(F.broadcast(few), F.lit(True), "left")
-    return pairs.groupBy(*keys).agg(F.max(cosine("embedding", "_bullet")).alias("best"))
+def weak_requirements(matches: DataFrame, threshold: float, group: list[str], order: str, most: int = 5) -> DataFrame:
+    """The ``most`` weakest of the matches (best, section) below ``threshold``: similarity rounded to 3 digits, and place.
+
+    Only sections that ask for something count; equal rounded similarities go by ``order``.
+    """
+    weak = matches.where(F.col("section").isin("required", "responsibilities") & (F.col("best") < threshold)).withColumn("similarity", F.round("best", 3))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("similarity", order))
+    return weak.withColumn("place", place).where(F.col("place") <= most).drop("best")
 
 
 def rescaled(raw: Column, baseline: float) -> Column:

@@ -49,16 +49,15 @@ def _level():
 def top1_nearest_vectors(t):
     v = t("embeddings")
     query = v.where("vec_id = 0")
-    label = query.select(F.col("label").alias("_own"))
-    rows = v.join(F.broadcast(label.limit(1)), F.col("label") != F.col("_own"))
-    return vectors.nearest(rows, query, 100, "vec_id").select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    own = query.select("label").first()
+    return vectors.nearest(v, query, 100, "vec_id", F.col("label") != F.lit(own[0] if own else None)).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
 @_query(f"SELECT b.vec_id AS query_vec_id, a.vec_id, a.label, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.label <> b.label QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) <= 100")
 def top1_nearest_vectors_of_each(t):
     v = t("embeddings")
-    found = vectors.nearest_of_each(v, v.where("vec_id % 20 = 0"), 100, "vec_id", F.col("label") != F.col("query_label"))
-    return found.select("query_vec_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    found = vectors.nearest_of_each(v, v.where("vec_id % 20 = 0"), 100, "vec_id", "label")
+    return found.select("query_vec_id", "vec_id", F.col("label").cast("int").alias("label"), F.round("similarity", 6).alias("similarity"))
 
 
 @_query(f"""
