@@ -5,25 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements whose bodies are no text, and those that start a line.
+# Elements whose bodies are no text, those that start and end a line, and tags that show a text to be HTML.
 _SKIPPED = ("script", "style", "noscript", "head")
-_BLOCKS = "p|div|section|article|header|footer|main|aside|nav|ul|ol|table|tr|h1|h2|h3|h4|h5|h6|br"
-# Named characters, the ampersand last.
-_NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_BLOCKS = "p|div|br|ul|ol|h1|h2|h3|h4|h5|h6|tr|section|article|header|footer|table|blockquote|pre"
+_TELLING = r"(?i)<(p|div|br|li|ul|ol|h[1-6]|span|strong|b|em|table)\b"
+# Named characters and frequent numbered ones, the ampersand last.
+_NAMED = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&#34;": '"', "&#160;": " ", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
+    "&#8217;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&hellip;": "…", "&middot;": "·", "&copy;": "©", "&amp;": "&",
+}
 
 
-def html_steps() -> list[tuple[str, str]]:
-    """Patterns and replacements that turn a page into text, in order; no look-around, no back references."""
-    steps = [(f"(?is)<{tag}[ >].*?</{tag}>", " ") for tag in _SKIPPED]
-    steps += [("(?s)<!--.*?-->", " "), ("(?i)<li[^>]*>", "\n- "), (f"(?i)</?({_BLOCKS})( [^>]*)?/?>", "\n"), ("<[^>]*>", "")]
-    steps += list(_NAMED)
-    return [*steps, ("[ \t\r]+", " "), (" ?\n ?", "\n"), ("\n\n\n+", "\n\n")]
+def unescaped(text: Column) -> Column:
+    """Text with named characters in place of their names, one level of them."""
+    for name, new in _NAMED.items():
+        text = F.replace(text, F.lit(name), F.lit(new))
+    return text
 
 
 def html_to_text(html: Column) -> Column:
-    for pattern, new in html_steps():
-        html = F.regexp_replace(html, pattern, new)
-    return F.trim(html)
+    """The text of HTML, one line a block, items with bullets; plain text only has its named characters replaced.
+
+    Markup that is escaped as a whole is unescaped first.
+    """
+    raw = F.when(F.contains(html, F.lit("&lt;")) & ~F.contains(html, F.lit("<")), unescaped(html)).otherwise(html)
+    text = raw
+    for tag in _SKIPPED:
+        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
+    text = F.regexp_replace(text, "(?s)<!--.*?-->", "")
+    text = F.regexp_replace(text, r"(?i)<li(?:\s[^>]*)?>", "\n• ")
+    text = F.regexp_replace(text, rf"(?i)</li\s*>|</?(?:{_BLOCKS})(?:\s[^>]*)?/?>", "\n")
+    text = unescaped(F.regexp_replace(text, "</?[A-Za-z!][^>]*>", ""))
+    text = F.when(raw.rlike(_TELLING), text).otherwise(unescaped(raw))
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t ]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, "(?m)^ +| +$", ""), "\n{3,}", "\n\n")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def letter_share(text: Column) -> Column:
@@ -39,20 +55,5 @@ def english_list(items: Column) -> Column:
     return F.when(n > 1, F.concat(head, F.lit(" and "), F.element_at(items, -1))).otherwise(F.array_join(items, ", "))
 
 
-def level_from_title(title: Column) -> Column:
-    """intern, junior, mid, senior or staff by the words of a title; null where none tells."""
-    t = F.lower(title)
-    return (
-        F.when(t.rlike(r"\b(intern|internship|trainee|apprentice)\b"), "intern")
-        .when(t.rlike(r"\b(staff|principal|distinguished|director|vp|head of)\b"), "staff")
-        .when(t.rlike(r"\b(junior|jr|entry|graduate|associate)\b") & ~t.rlike(r"\bsenior\b"), "junior")
-        .when(t.rlike(r"\b(senior|sr|lead)\b"), "senior")
-        .when(title.rlike(r"\bIII\b"), "senior")
-        .when(title.rlike(r"\bII\b"), "mid")
-        .when(title.rlike(r"\bI\b"), "junior")
-        .when(t.rlike(r"\b(mid|intermediate)\b"), "mid")
-    )
-
-
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 3) + 1

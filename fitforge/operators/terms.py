@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +21,58 @@ def term_report(docs: DataFrame, group: str, pattern: str, least_groups: int, to
     return report.where(F.col("n_groups") >= least_groups).orderBy(F.desc("n_groups"), F.desc("n_docs"), "term").limit(top)
 
 
+#: Phrases that are sent to all tasks, at most; more are joined.
+MOST_PHRASES = 200_000
+
+
+def _counted(phrases: list[str]):
+    """Rows (place of the text, phrase, mentions) of a batch; a phrase wins over the shorter ones within it."""
+    known = {tuple(p.split(" ")): p for p in phrases}
+    by_first: dict[str, list[tuple[str, ...]]] = {}
+    for words in sorted(known, key=len, reverse=True):
+        by_first.setdefault(words[0], []).append(words)
+
+    def of(text: str) -> Counter:
+        words = re.findall("[a-z]+", text.lower())
+        found: list[tuple[int, int, str]] = []
+        for i, first in enumerate(words):
+            found += [(i, i + len(w), known[w]) for w in by_first.get(first, ()) if tuple(words[i : i + len(w)]) == w]
+        # from left to right, longer ones first: one that ends within the furthest so far lies in a longer one
+        kept, furthest = Counter(), 0
+        for _, stop, phrase in sorted(found, key=lambda x: (x[0], -x[1])):
+            if stop > furthest:
+                kept[phrase] += 1
+                furthest = stop
+        return kept
+
+    return of
+
+
 def phrase_mentions(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """``key``, phrase and mentions of the phrases of a dictionary, of any number of words, in texts.
 
-    Words are runs of letters a-z.  A phrase wins over the shorter ones within it.
+    Words are runs of letters a-z.  A phrase wins over the shorter ones within it.  A
+    dictionary of up to MOST_PHRASES is matched where the texts are read, and only
+    counts leave the tasks; a larger one is joined.
     """
+    listed = [r[0] for r in phrases.select("phrase").where("phrase is not null").distinct().limit(MOST_PHRASES + 1).collect()]
+    if len(listed) > MOST_PHRASES:
+        return joined_mentions(docs, phrases, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _counted(listed)
+        for batch in batches:
+            rows = [(i, p, n) for i, t in enumerate(batch.column(1).to_pylist()) if t for p, n in of(t).items()]
+            place = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=[key, "phrase", "n"])
+
+    source = docs.select(key, "text")
+    # several rows may share a key
+    return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, phrase string, n long").groupBy(key, "phrase").agg(F.sum("n").alias("mentions"))
+
+
+def joined_mentions(docs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """As :func:`phrase_mentions`, by joins: for dictionaries of any size."""
     words = docs.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     # looked up by hash; the dictionary is small next to the texts, and Spark broadcasts it where its size allows
     known = phrases.select("phrase").distinct()

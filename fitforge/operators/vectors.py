@@ -19,10 +19,23 @@ MOST_BULLETS = 80
 BLOCK = 1_000
 
 
+def dot(a: str | Column, b: str | Column) -> Column:
+    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: str | Column, b: str | Column) -> Column:
+    """Cosine similarity of two columns of a row; 0 where a norm is 0, null where a vector is."""
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return dot(a, b) / F.when(norms == 0, F.lit(1.0)).otherwise(norms)
+
+
 def unit_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of a list column and which rows have one: no null, no NaN, the most usual length; a zero vector stays zero."""
     lengths = column.value_lengths().fill_null(0).to_numpy()
-    width = int(np.bincount(lengths).argmax()) if len(lengths) else 0
+    usual = np.bincount(lengths, minlength=1)
+    usual[0] = 0
+    width = int(usual.argmax())
     good = (lengths == width) & (width > 0)
     flat = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(good.sum()), width)
     sound = ~np.isnan(flat).any(axis=1)
@@ -43,7 +56,7 @@ def with_similarity(rows: DataFrame, targets: np.ndarray, name: str) -> DataFram
         for batch in batches:
             units, good = unit_rows(batch.column("embedding"))
             best = np.full(len(batch), np.nan)
-            if len(targets) and len(units):
+            if len(targets) and units.shape[1] == targets.shape[1]:
                 best[good] = (units @ targets.T).max(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, mask=np.isnan(best))], names=[*batch.schema.names, name])
 
@@ -84,12 +97,24 @@ def _blocks(rows: DataFrame, key: str, other: str, size: int) -> DataFrame:
     return cast.mapInArrow(run, "keys array<long>, others array<long>, units binary")
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, other: str, block: int = BLOCK) -> DataFrame:
-    """query_``key``, ``key``, ``other`` and similarity: for every query the k most similar vectors of another ``other``.
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *filters: Column, other: str | None = None, block: int = BLOCK) -> DataFrame:
+    """For every row of ``queries`` the k rows of ``vectors`` most similar to it, best first by similarity and key.
 
-    Blocks of vectors meet blocks of queries; a pair of blocks is one matrix product, of
-    which only the k best of each query go on.  Rows without embedding take no part.
+    With ``other`` (a column of whole numbers) only rows with another value of it than
+    the query's count, and the result is query_``key``, ``key``, ``other`` and similarity:
+    blocks of vectors meet blocks of queries, a pair of blocks is one matrix product, and
+    only the k best of each query go on.  Any other ``filters`` compare the columns of
+    both sides (``query_`` before the names of the queries') pair by pair, before the
+    limit.  Rows without embedding take no part.
     """
+    if other is None:
+        asked = queries.select(*(F.col(c).alias(f"query_{c}") for c in queries.columns))
+        pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(asked)
+        for f in filters:
+            pairs = pairs.where(f)
+        scored = pairs.withColumn("similarity", cosine("embedding", "query_embedding")).drop("embedding", "query_embedding").where("not isnan(similarity)")
+        best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
+        return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
     pairs = _blocks(vectors, key, other, block).crossJoin(_blocks(queries, key, other, block).toDF("q_keys", "q_others", "q_units"))
     pairs = pairs.repartition(F.xxhash64("keys", "q_keys"))
 
@@ -140,7 +165,10 @@ def best_match_of_each(requirements: DataFrame, people: DataFrame, key: str, mos
             for i in range(len(batch)):
                 keys = batch.column("keys")[i].values
                 units = np.frombuffer(batch.column("units")[i].as_py()).reshape(len(keys), -1)
-                best = (units @ _matrix(batch.column("targets")[i].as_py()).T).max(axis=1)
+                bullets = _matrix(batch.column("targets")[i].as_py())
+                if not len(bullets) or units.shape[1] != bullets.shape[1]:
+                    continue
+                best = (units @ bullets.T).max(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("person")[i].as_py()] * len(keys), pa.int64()), keys, pa.array(best)], names=["person", key, "best"])
 
     found = pairs.withColumn("person", F.col("person").cast("long")).mapInArrow(run, f"person long, `{key}` long, best double")

@@ -56,7 +56,7 @@ def top1_nearest_vectors(t):
 @_query(f"SELECT b.vec_id AS query_vec_id, a.vec_id, a.label, round({_COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.label <> b.label QUALIFY row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) <= 100")
 def top1_nearest_vectors_of_each(t):
     v = t("embeddings")
-    found = vectors.nearest_of_each(v, v.where("vec_id % 20 = 0"), 100, "vec_id", "label")
+    found = vectors.nearest_of_each(v, v.where("vec_id % 20 = 0"), 100, "vec_id", other="label")
     return found.select("query_vec_id", "vec_id", F.col("label").cast("int").alias("label"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -234,16 +234,25 @@ def agg2_hourly_counts(t):
     return limits.hourly_counts(t("events"), "user_id", "ts")
 
 
-def _html_sql() -> str:
-    out = "html"
-    for pattern, new in texts.html_steps():
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{new.replace(chr(39), chr(39) * 2)}', 'g')"
-    return f"SELECT page_id, trim({out}, ' ') AS text FROM pages"
-
-
-@_query(_html_sql())
+# In another way than the operator: what is left of scripts is cut into tags and text, and each piece is judged by itself.
+@_query(r"""
+    WITH p AS (
+        SELECT page_id, CASE page_id % 4 WHEN 1 THEN replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') WHEN 2 THEN 'Plain text &amp; more' || chr(10) || ' of  page ' || page_id ELSE html END AS html FROM pages),
+    raw AS (SELECT page_id, CASE WHEN contains(html, '&lt;') AND NOT contains(html, '<') THEN replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE html END AS html FROM p),
+    bare AS (SELECT page_id, html, regexp_replace(html, '<(script|style|noscript|head)(\s[^>]*)?>.*?</(script|style|noscript|head)\s*>|<!--.*?-->', '', 'gis') AS rest FROM raw),
+    pieces AS (
+        SELECT page_id, html, list_transform(regexp_extract_all(rest, '<[^>]*>|[^<]+'), lambda x: CASE
+            WHEN NOT starts_with(x, '<') THEN replace(replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')
+            WHEN regexp_matches(lower(x), '^<li[\s>]') THEN chr(10) || '• '
+            WHEN regexp_matches(lower(x), '^</?(p|div|br|ul|ol|h[1-6]|tr|section|article|header|footer|table|blockquote|pre)[\s/>]|^</li') THEN chr(10) ELSE '' END) AS found FROM bare),
+    joined AS (SELECT page_id, CASE WHEN regexp_matches(html, '<(p|div|br|li|ul|ol|h[1-6]|span|strong|b|em|table)\b', 'i') THEN array_to_string(found, '') ELSE replace(html, '&amp;', '&') END AS text FROM pieces),
+    lines AS (SELECT page_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{00a0}]+', ' ', 'g'))) AS lines FROM joined)
+    SELECT page_id, regexp_replace(regexp_replace(array_to_string(lines, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM lines""")
 def txt1_html_to_text(t):
-    return t("pages").select("page_id", texts.html_to_text(F.col("html")).alias("text"))
+    html, way = F.col("html"), F.col("page_id") % 4
+    escaped = F.replace(F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    plain = F.concat(F.lit("Plain text &amp; more\n of  page "), F.col("page_id").cast("string"))
+    return t("pages").select("page_id", texts.html_to_text(F.when(way == 1, escaped).when(way == 2, plain).otherwise(html)).alias("text"))
 
 
 @_query("""

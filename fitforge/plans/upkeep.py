@@ -134,5 +134,7 @@ def win7_heading_above(t):
 @_query("""
     SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_quantity DESC, l_partkey)[1:3], ',') AS top FROM lineitem GROUP BY l_orderkey""")
 def prj7_top_three(t):
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("l_quantity")).alias("q"), "l_partkey")))
-    return t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.slice(ordered, 1, 3), lambda x: x["l_partkey"].cast("string")), ",").alias("top"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_partkey"))
+    first = t("lineitem").select("l_orderkey", "l_partkey", place.alias("n")).where("n <= 3")
+    listed = F.array_sort(F.collect_list(F.struct("n", "l_partkey")))
+    return first.groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["l_partkey"].cast("string")), ",").alias("top"))
