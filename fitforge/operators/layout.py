@@ -36,6 +36,12 @@ def weighted_mode(rows: DataFrame, group: str, value: str, weight: Column) -> Da
     return sums.groupBy(group).agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col(value).alias("v"))).alias("m")).select(group, F.col("m.v").alias(value), (-F.col("m.w")).alias("weight"))
 
 
+def first_weighted_mode(rows: DataFrame, group: str, value: str, weight: Column, order: str) -> DataFrame:
+    """Per group the value with most weight; of equal ones that which comes first."""
+    sums = rows.groupBy(group, value).agg(F.sum(weight).alias("_w"), F.min(order).alias("_first"))
+    return sums.groupBy(group).agg(F.min(F.struct((-F.col("_w")).alias("w"), F.col("_first").alias("f"), F.col(value).alias("v"))).alias("m")).select(group, F.col("m.v").alias(value))
+
+
 def first_mode(rows: DataFrame, group: str, values: list[str], order: str) -> DataFrame:
     """Per group the most frequent combination of values; of equal ones that which comes first."""
     counts = rows.groupBy(group, *values).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from fitforge.plans import listings, matches, postings, resumes, skills, upkeep  # noqa: F401 - register their queries
+from fitforge.plans import listings, matches, pages, postings, resumes, skills, upkeep  # noqa: F401 - register their queries
 from fitforge.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def _rows(columns, rows):
     return [columns[i] for i in order], sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES.split():

@@ -120,3 +120,45 @@ def test_filters(spark):
     places = ["50% off_site", "Bonn", None]
     assert _each(spark, places, lambda c: F.coalesce(filters.contains_text(c, "% OFF_"), F.lit(False))) == [True, False, False]
     assert _each(spark, ["a/b\\c.pdf", None, "/"], lambda c: filters.file_name(c)) == ["c.pdf", "resume.pdf", "resume.pdf"]
+
+
+def test_rows_of_a_page(spark):
+    from fitforge.operators import pages
+
+    # a raised bullet, a date on the right, two lines close together, and a second region
+    box = [("•", 30, 98, 34, 108, False), ("Led a", 40, 100, 65, 112, True), ("team", 70, 100, 90, 112, True), ("2020", 500, 101, 520, 113, False), ("NEXT LINE", 40, 115, 85, 127, False), ("co", 40, 130, 50, 142, False), ("op", 50.5, 130, 60, 142, False)]
+    rows = [(1, i, t, float(x0), float(y0), float(x1), float(y1), 10.0, b, False, 0) for i, (t, x0, y0, x1, y1, b) in enumerate(box)] + [(1, 9, "other side", 330.0, 90.0, 380.0, 102.0, 10.0, False, False, 2)]
+    frame = spark.createDataFrame(rows, "page long, span long, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, italic boolean, region int")
+    found = pages.text_rows(frame).orderBy("place").collect()
+    assert [(r["text"], r["bold"], r["starts_bold"], r["all_caps"]) for r in found] == [("• Led a team 2020", False, True, False), ("NEXT LINE", False, False, True), ("coop", False, False, False), ("other side", False, False, False)]
+    assert (found[0]["x0"], found[0]["y0"], found[0]["x1"], found[0]["y1"]) == (30.0, 98.0, 520.0, 113.0)
+
+
+def test_rows_of_all_pages_against_brute_force(spark):
+    from fitforge.operators import pages
+    from fitforge.plans import pages as page_plans
+
+    tables = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    visible = pages.visible_boxes(page_plans.spans(tables))
+    regions = pages.regions(visible, pages.gutters(visible, page_plans.WIDTH, page_plans.HEIGHT), page_plans.HEIGHT)
+    wanted = []
+    by_part: dict = {}
+    for s in regions.collect():
+        by_part.setdefault((s["page"], s["region"]), []).append(s)
+    for (page, region), part in by_part.items():
+        rows: list[list] = []
+        for s in sorted(part, key=lambda s: (s["y0"] + s["y1"], s["x0"])):
+            home = None
+            for row in rows[-4:]:
+                top, bottom = min(x["y0"] for x in row), max(x["y1"] for x in row)
+                common = min(bottom, s["y1"]) - max(top, s["y0"])
+                if common > 0 and common / min(bottom - top, s["y1"] - s["y0"]) >= 0.5:
+                    home = row
+            rows.append([s]) if home is None else home.append(s)
+        wanted += [(page, region, tuple(sorted(x["text"] for x in row))) for row in rows]
+    ties = {(p, r) for (p, r), part in by_part.items() if len({(s["y0"] + s["y1"], s["x0"]) for s in part}) < len(part)}
+    found = [(r["page"], r["region"], r["text"].replace(" ", "")) for r in pages.text_rows(regions).collect()]
+    assert len(found) == len(wanted)
+    for page, region, texts in wanted:
+        if (page, region) not in ties:
+            assert any(p == page and r == region and sorted(f) == sorted("".join(texts).replace(" ", "")) for p, r, f in found)
