@@ -16,6 +16,7 @@ from fitforge.functions import postings as rules
 from fitforge.operators import activity, layout, maintenance, scoring, snapshots
 from fitforge.plans.postings import LEVELS_SQL, SECTIONS_SQL, _found, _list, _pick, _picked, postings
 from fitforge.plans.queries import _query
+from fitforge.sources import boards
 
 PLACES = ["Berlin (DE)", "100% remote", "under_score city", "back\\slash", "berlin", "Paris", "Remote - US", "a%b_c"]
 WANTED = ["%", "_", "BERLIN", "\\", "remote", "%b_"]
@@ -143,6 +144,40 @@ def src8_active_companies(t):
     return t("customer").where("c_acctbal > 0").orderBy("c_custkey").limit(60).select("c_custkey", "c_name")
 
 
+_BOARD_PLACES = ["Remote, US", "  Paris ", "", "   ", "not remotely near", "Rome"]
+_FIRST = ["2023-05-06T07:08:09+02:00", "bad", "", "2024-01-01T00:00:00Z"]
+
+
+@_query(f"""
+    WITH j AS (SELECT o_orderkey, o_orderpriority, trim({_picked(_BOARD_PLACES, 'o_orderkey')}) AS place, o_orderkey % 4 AS w FROM orders WHERE o_orderkey % 17 <> 0)
+    SELECT o_orderkey::VARCHAR AS external_id, o_orderpriority AS title, nullif(place, '') AS location, contains(lower(place), 'remote') AS is_remote,
+           CASE w WHEN 0 THEN epoch(TIMESTAMP '2023-05-06 05:08:09') WHEN 2 THEN epoch(TIMESTAMP '2024-03-04 00:00:00') WHEN 3 THEN epoch(TIMESTAMP '2024-01-01 00:00:00') END::BIGINT AS posted FROM j""")
+def src2_board_a_postings(t):
+    k = F.col("o_orderkey")
+    job = F.concat(F.lit('{"jobs": [{"id": '), k.cast("string"), F.lit(', "title": " '), F.col("o_orderpriority"), F.lit(' ", "absolute_url": "u", "location": {"name": "'), _pick(_BOARD_PLACES, k), F.lit('"}, "content": "c", "first_published": "'), _pick(_FIRST, k), F.lit('", "updated_at": "2024-03-04T00:00:00Z"}]}'))
+    texts = t("orders").select(F.when(k % 17 == 0, F.lit('{"jobs": [')).otherwise(job).alias("text"))
+    rows = boards.normalise_a(boards.parsed_payloads(texts, "text", boards.BOARD_A))
+    return rows.select("external_id", "title", "location", "is_remote", F.unix_seconds("posted_at").alias("posted"))
+
+
+@_query(f"""
+    WITH j AS (SELECT o_orderkey, trim({_picked(_BOARD_PLACES, 'o_orderkey')}) AS place FROM orders)
+    SELECT 'id-' || o_orderkey AS external_id, nullif(place, '') AS location, o_orderkey % 3 = 0 OR contains(lower(place), 'remote') AS is_remote,
+           CASE WHEN o_orderkey % 2 = 0 THEN '<p>in</p>' || chr(10) ELSE '' END || '<h3>A &amp; &lt;B&gt;</h3><ul><li>' || o_orderkey || '</li></ul>' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE chr(10) || 'end' END AS description,
+           CASE WHEN o_orderkey % 4 <> 0 THEN 1700000000 + o_orderkey END AS posted FROM j""")
+def src3_board_b_postings(t):
+    k = F.col("o_orderkey")
+    posting = F.to_json(
+        F.struct(
+            F.concat(F.lit("id-"), k).alias("id"), F.lit("T").alias("text"), F.lit("u").alias("hostedUrl"), F.struct(_pick(_BOARD_PLACES, k).alias("location")).alias("categories"), F.when(k % 3 == 0, "remote").otherwise("hybrid").alias("workplaceType"),
+            F.when(k % 4 == 0, 0).otherwise((1700000000 + k) * 1000 + 7).alias("createdAt"), F.when(k % 2 == 0, "<p>in</p>").otherwise("").alias("description"),
+            F.array(F.struct(F.lit(" A & <B> ").alias("text"), F.concat(F.lit("<li>"), k, F.lit("</li>")).alias("content"))).alias("lists"), F.when(k % 5 == 0, "").otherwise("end").alias("additional"),
+        )
+    )
+    rows = boards.normalise_b(boards.parsed_payloads(t("orders").select(posting.alias("text")), "text", boards.BOARD_B))
+    return rows.select("external_id", "location", "is_remote", "description", F.unix_seconds("posted_at").alias("posted"))
+
+
 @_query("SELECT l_orderkey, array_to_string(list(l_returnflag || l_partkey ORDER BY l_linenumber, l_partkey, l_returnflag), ',') AS requirements, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY l_orderkey")
 def src10_requirements_by_posting(t):
     lines = t("lineitem").join(t("orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")

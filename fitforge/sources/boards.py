@@ -22,6 +22,17 @@ def _says_remote(c: Column) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lit("remote")), F.lit(False))
 
 
+def _escaped(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def parsed_payloads(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """The payloads in a column of JSON texts, one row each; malformed ones have nulls."""
+    return rows.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("p")).select("p.*")
+
+
 def normalise_a(payloads: DataFrame) -> DataFrame:
     """One row per posting of board A; first published, else updated."""
     j = payloads.select(F.explode("jobs").alias("j")).select("j.*")
@@ -29,17 +40,18 @@ def normalise_a(payloads: DataFrame) -> DataFrame:
     return j.select(
         F.col("id").cast("string").alias("external_id"), F.trim("title").alias("title"), location.alias("location"), _says_remote(location).alias("is_remote"),
         F.col("absolute_url").alias("url"), F.col("content").alias("description"),
-        F.coalesce(F.try_to_timestamp("first_published"), F.try_to_timestamp("updated_at")).alias("posted_at"),
+        # a first date that is no date does not fall back
+        F.try_to_timestamp(F.coalesce(F.nullif("first_published", F.lit("")), F.col("updated_at"))).alias("posted_at"),
     )
 
 
 def normalise_b(payloads: DataFrame) -> DataFrame:
     """One row per posting of board B; introduction, titled lists and closing in one description."""
     location = _blank_to_null(F.col("categories.location"))
-    lists = F.transform("lists", lambda x: F.concat(F.lit("<h3>"), F.coalesce(x["text"], F.lit("")), F.lit("</h3><ul>"), F.coalesce(x["content"], F.lit("")), F.lit("</ul>")))
+    lists = F.transform("lists", lambda x: F.concat(F.lit("<h3>"), _escaped(F.trim(F.coalesce(x["text"], F.lit("")))), F.lit("</h3><ul>"), F.coalesce(x["content"], F.lit("")), F.lit("</ul>")))
     parts = F.filter(F.concat(F.array("description"), F.coalesce(lists, F.array().cast("array<string>")), F.array("additional")), lambda x: x.isNotNull() & (x != ""))
     remote = F.coalesce(F.col("workplaceType") == "remote", F.lit(False)) | _says_remote(location)
     return payloads.select(
         F.col("id").alias("external_id"), F.trim("text").alias("title"), location.alias("location"), remote.alias("is_remote"),
-        F.col("hostedUrl").alias("url"), F.array_join(parts, "\n").alias("description"), F.timestamp_millis("createdAt").alias("posted_at"),
+        F.col("hostedUrl").alias("url"), F.array_join(parts, "\n").alias("description"), F.timestamp_millis(F.nullif("createdAt", F.lit(0))).alias("posted_at"),
     )

@@ -40,9 +40,10 @@ def test_lists_and_pages(spark):
 
 
 def test_boards(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"jobs": [{"id": 7, "title": " T ", "absolute_url": "u", "location": {"name": "Remote, X"}, "content": "c", "first_published": "bad", "updated_at": "2024-01-02T03:04:05Z"}]}')
-    row = boards.normalise_a(boards.read_payloads(spark, str(tmp_path / "a.json"), boards.BOARD_A)).first()
-    assert (row["external_id"], row["title"], row["is_remote"], row["posted_at"].year) == ("7", "T", True, 2024)
+    (tmp_path / "a.json").write_text('{"jobs": [{"id": 7, "title": " T ", "absolute_url": "u", "location": {"name": "Remote, X"}, "content": "c", "first_published": "bad", "updated_at": "2024-01-02T03:04:05Z"}, {"id": 8, "title": "U", "absolute_url": "u", "location": null, "content": "c", "first_published": null, "updated_at": "2024-01-02T03:04:05Z"}]}')
+    row, other = boards.normalise_a(boards.read_payloads(spark, str(tmp_path / "a.json"), boards.BOARD_A)).orderBy("external_id").collect()
+    assert (row["external_id"], row["title"], row["is_remote"], row["posted_at"]) == ("7", "T", True, None)
+    assert (other["location"], other["is_remote"], other["posted_at"].year) == (None, False, 2024)
     (tmp_path / "b.json").write_text('[{"id": "x", "text": "T", "hostedUrl": "u", "categories": {"location": " "}, "workplaceType": "remote", "createdAt": 0, "description": "d", "lists": [{"text": "L", "content": "<li>1</li>"}], "additional": ""}]')
     row = boards.normalise_b(boards.read_payloads(spark, str(tmp_path / "b.json"), boards.BOARD_B)).first()
     assert (row["location"], row["is_remote"], row["description"]) == (None, True, "d\n<h3>L</h3><ul><li>1</li></ul>")
