@@ -95,6 +95,19 @@ _PATTERNS = {
     + r"|(?:\(\d{1,5}\)[ .-]?\d{2,}(?:[ .-]\d{2,})*|0\d{1,5}[ /-]\d{3,}(?:[ .-]\d{2,})*|\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-]))",
     "name": rf"\b((?:(?i:{'|'.join(_ADDRESS)})\.? )+)({_NAME})",
 }
+
+
+def _titles() -> re.Pattern:
+    """A form of address before what may be a name, for a quick look: it starts with one of few letters."""
+    ends: dict[str, list[str]] = {}
+    for title in sorted(_ADDRESS, key=len, reverse=True):
+        ends.setdefault(title[0], []).append(title[1:])
+    firsts = "".join(c + c.upper() for c in ends)
+    whole = "|".join(f"(?<=[{c}{c.upper()}])(?i:{'|'.join(e)})" for c, e in ends.items())
+    return re.compile(rf"[{firsts}](?<!\w.)(?:{whole})\.? (?=[^\W\d_a-z]|[dl]['’])")
+
+
+_TITLED = _titles()
 _NAME_WORD = re.compile(rf"(?<![^\W\d_]){_WORD}")
 _FINDERS = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
 _NAME_KINDS = {"family", *(f"{k}:{g}" for k in ("name", "given") for g in "fmu")}
@@ -126,7 +139,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
 
     words: dict[str, str] = {}
     for kind in kinds:
-        if kind == "email" and "@" not in text:
+        if (kind == "email" and "@" not in text) or (kind == "name" and not _TITLED.search(text)):
             continue
         for m in _FINDERS[kind].finditer(text):
             start, end = m.span(m.lastindex or 0)
