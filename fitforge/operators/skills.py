@@ -130,3 +130,10 @@ def own_skills(mentions: DataFrame, key: str) -> DataFrame:
     """Per person and skill: n, in_skills (named in a section of skills), and place by n and name."""
     skills = mentions.groupBy(key, "canonical", "category").agg(F.count("*").alias("n"), F.bool_or(F.col("section").isin(*LIST_SECTIONS)).alias("in_skills"))
     return skills.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.lower("canonical"), "canonical")))
+
+
+def stored_skills(skills: DataFrame, key: str) -> DataFrame:
+    """Per ``key`` the skills as an array of structs in their order: skill, category, weight, n and sorted sections."""
+    row = F.struct("place", F.col("canonical").alias("skill"), "category", "weight", "n", F.array_sort("sections").alias("sections"))
+    listed = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(*(x[c].alias(c) for c in ("skill", "category", "weight", "n", "sections"))))
+    return skills.groupBy(key).agg(listed.alias("skills"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fitforge.functions import postings as rules
 from fitforge.operators import scoring
-from fitforge.plans.queries import _query
+from fitforge.plans.queries import _query, spread
 
 # What the keys pick from.
 BEFORE = ["", "Senior", "Junior", "Lead", "Staff", "Associate", "Principal", "Sr.", "New Grad", "Entry-Level", "Intermediate", "Head of", "Vice President,", "Co-op", "Mid-level", "Apprentice", "early career", "SENIOR", "Technical Fellow,", "Trainee"]
@@ -35,7 +35,7 @@ def postings(orders: DataFrame) -> DataFrame:
     """o_orderkey, title and text of the postings that orders stand for."""
     k = F.col("o_orderkey")
     title = F.trim(F.concat_ws(" ", _pick(BEFORE, k), _pick(ROLES, F.floor(k / 7)), _pick(BEHIND, F.floor(k / 3))))
-    return orders.select("o_orderkey", "o_custkey", title.alias("title"), F.concat_ws("\n", *(_pick(LINES, k * a + F.floor(k / len(LINES)) + b) for a, b in PICKS)).alias("text"))
+    return spread(orders.select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", "o_custkey", title.alias("title"), F.concat_ws("\n", *(_pick(LINES, k * a + F.floor(k / len(LINES)) + b) for a, b in PICKS)).alias("text"))
 
 
 def _list(values: list[str]) -> str:

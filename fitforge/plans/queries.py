@@ -33,6 +33,11 @@ def _query(sql: str | None = None):
     return register
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few bytes that much work follows on, dealt over as many tasks as shuffles have; a number of its own keeps them apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+
+
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _LEVEL = "CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 END"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitforge.functions import resumes as rules
 from fitforge.functions.postings import words_in
 from fitforge.plans.postings import _list, _pick, _picked, _quoted
-from fitforge.plans.queries import _query
+from fitforge.plans.queries import _query, spread
 
 OPENINGS = [
     "Built", "Responsible for", "Helped", "Successfully led", "Quickly and", "JobFit: designed", "Planned", "Worked on", "Co-developed", "Team lead", "Reports", "Carried", "Capstone project — wrote", "Managed", "In charge of", "Mostly fairly led", "• Running", "2019 built", "Assist with", "Help", "Manager of", "Hosted", "Copied",
@@ -28,7 +28,8 @@ HEADS = ["EXPERIENCE", "Work & Research", "E D U C A T I O N", "Academic Project
 
 def bullets(t) -> DataFrame:
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", _pick(OPENINGS, p + s), _pick(OBJECTS, p * 3 + F.col("l_linenumber"))).alias("bullet"))
+    keys = spread(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    return keys.select("l_orderkey", "l_linenumber", F.concat_ws(" ", _pick(OPENINGS, p + s), _pick(OBJECTS, p * 3 + F.col("l_linenumber"))).alias("bullet"))
 
 
 BULLETS_SQL = f"bullets AS (SELECT l_orderkey, l_linenumber, {_picked(OPENINGS, 'l_partkey + l_suppkey')} || ' ' || {_picked(OBJECTS, 'l_partkey * 3 + l_linenumber')} AS bullet FROM lineitem)"

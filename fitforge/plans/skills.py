@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fitforge.operators import skills
 from fitforge.plans.postings import _pick, _picked, _quoted
-from fitforge.plans.queries import _query
+from fitforge.plans.queries import _query, spread
 
 SECTIONS = ["required", "nice", "skills", "experience", "about", "summary", "responsibilities", "benefits"]
 PARTS = [
@@ -31,7 +31,8 @@ _JOINTS = [" ", ". ", ", ", " and then over a long way of words that lead to "]
 def sections(t) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     text = F.concat(_pick(PARTS, p), _pick(_JOINTS, s), _pick(PARTS, p * 3 + s), _pick(_JOINTS, p), _pick(PARTS, s * 5 + n))
-    return t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", _pick(SECTIONS, p + n).alias("section"), text.alias("text"))
+    keys = spread(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    return keys.select("l_orderkey", "l_linenumber", "l_suppkey", _pick(SECTIONS, p + n).alias("section"), text.alias("text"))
 
 
 def _mentions(t) -> DataFrame:
