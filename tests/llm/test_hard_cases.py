@@ -328,3 +328,44 @@ def test_pipeline_on_hard_rows(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_tool_calls_that_repeat_or_tie(spark):
+    def call(i, text, **more):
+        return json.dumps({"tool_calls": [{"id": i, "name": "reply", "arguments": {"text": text}, **more}]})
+
+    rows = [(1, 0, "assistant", call("a", "late")), (1, 0, "assistant", call("a", "early")), (1, 3, "assistant", call("a", "third")), (1, 1, "tool", '{"tool_call_id": "a", "content": 2}'), (1, 1, "tool", '{"tool_call_id": "a", "content": 1}')]
+    rows += [rows[0], (2, 0, "assistant", call("b", "x" * 1_000_000)), (2, 1, "system", "s"), (None, None, None, None)]
+    frame = spark.createDataFrame([(*r, "k", 1) for r in rows], "conv_id long, turn int, role string, text string, call_id string, level int")
+    found = {r["call_id"]: r for r in toolcalls.link_tool_calls(frame).collect()}
+    assert set(found) == {"a", "b"}
+    assert (found["a"]["n_calls"], found["a"]["n_results"], found["a"]["call_turn"], found["a"]["result_turn"]) == (4, 2, 0, 1)
+    assert json.loads(found["a"]["exchange"])["arguments"] == {"text": "early"} and json.loads(found["a"]["exchange"])["result"] == 1
+    assert found["a"]["valid"] and not found["b"]["valid"] and len(found["b"]["exchange"]) > 1_000_000
+
+
+def test_round_trip_of_a_long_text(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from fitforge.llm import bpe
+
+    text = "".join(random.Random(3).choice(["a", "b", "the ", "é", "\n", "  ", "'s", "12", "日"]) for _ in range(600_000))
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    row = bpe.round_trip_digests(spark.createDataFrame([(None, text)], "doc_id long, text string"), PATH).first()
+    assert (row["doc_id"], row["n_tokens"], row["ids_sha256"]) == (None, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert row["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_columns_with_the_names_of_the_operators_own(spark):
+    names = "a b bin bytes component content count doc docs fill hot key keep_id kept kind least lone n node noise part piece place range rank salt score sequence_id shard start stop surrogate text_sha256 token turn turns up value _kept_id _text".split()
+    docs = spark.createDataFrame([(i, f"word {i % 2} " * 60, *("x" for _ in names)) for i in range(4)], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in exactdup.drop_exact_duplicates(docs).collect()} == {0, 1}
+    assert {r["doc_id"] for r in ngramjoin.drop_near_duplicates(docs).collect()} == {0, 1}
+    assert suffixes.without_repeats(docs).where("n_removed > 0").count() == 2
+    assert privacy.replace_entities(docs, KEY).columns == [*docs.columns, "n_entities"] and privacy.replace_entities(docs, KEY).count() == 4
+    assert resampling.keep_target_like(docs, labels).columns == docs.columns
+    assert sharding.byte_shards(docs).count() == isolation.quality_rules(docs, labels).count() == packing.pack_documents(docs, PATH).count() == 4
