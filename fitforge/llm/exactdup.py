@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitforge.llm.scratch import cut
+from fitforge.llm.scratch import cut, fresh
 
 #: Parts that a digest group is dealt over before its winners meet.
 SALTS = 16
@@ -107,7 +107,8 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     found, sha256 = exact_duplicates(docs, **options), _sha256(normalised(F.col("text")))
     kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256")).distinct()
     named = docs.join(kept, (docs["doc_id"] == kept["_kept_id"]) & (sha256 == kept["_kept_sha256"]), "left_semi")
-    nameless = found.where("keep_id is null").select(F.col("text_sha256").alias("_sha256")).distinct()
-    best = Window.partitionBy("_sha256").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text")
-    rows = docs.where("doc_id is null").withColumn("_sha256", sha256).join(nameless, "_sha256", "left_semi")
-    return named.unionByName(rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(*docs.columns))
+    digest, place = fresh("_sha256", docs.columns), fresh("_n", docs.columns)
+    nameless = found.where("keep_id is null").select(F.col("text_sha256").alias(digest)).distinct()
+    best = Window.partitionBy(digest).orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), "text")
+    rows = docs.where("doc_id is null").withColumn(digest, sha256).join(nameless, digest, "left_semi")
+    return named.unionByName(rows.withColumn(place, F.row_number().over(best)).where(F.col(place) == 1).select(*docs.columns))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fitforge.llm.scratch import cut, discard
+from fitforge.llm.scratch import cut, discard, fresh
 
 #: Turns within the list of first names, and turns before a surrogate grows.
 LIST_TURNS, PLAIN_TURNS = 2, 4
@@ -400,6 +400,7 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     discard(mentions)
     source = docs.drop("n_entities")
     columns = source.columns
+    hash_name, turns_name = fresh("_text_hash", columns), fresh("_turns", columns)
 
     def replaced(text: str | None, turns: dict) -> tuple[str | None, int]:
         found = find_entities(text) if text else []
@@ -422,11 +423,11 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            turns = [{(x["kind"], x["value"]): x["turn"] for x in r or ()} for r in b.column("_turns").to_pylist()]
+            turns = [{(x["kind"], x["value"]): x["turn"] for x in r or ()} for r in b.column(turns_name).to_pylist()]
             rows = [replaced(t, x) for t, x in zip(b.column("text").to_pylist(), turns, strict=True)]
             new = {"text": pa.array([r[0] for r in rows], pa.string())}
             yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in columns), pa.array([r[1] for r in rows], pa.int64())], names=[*columns, "n_entities"])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in source.dtypes), "n_entities bigint"])
-    joined = source.withColumn("_text_hash", F.xxhash64("text")).join(per_text, F.col("_text_hash") == F.col("_text"), "left").select(*columns, "_turns")
+    joined = source.withColumn(hash_name, F.xxhash64("text")).join(per_text.toDF(hash_name, turns_name), hash_name, "left").select(*columns, turns_name)
     return joined.mapInArrow(run, schema)

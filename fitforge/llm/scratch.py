@@ -28,6 +28,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 @contextmanager
 def _without_old_shuffles(spark: SparkSession) -> Iterator[None]:
     """Have Spark drop a query's shuffle files as soon as it has ended."""

@@ -360,7 +360,7 @@ def test_round_trip_of_a_long_text(spark):
 
 
 def test_columns_with_the_names_of_the_operators_own(spark):
-    names = "a b bin bytes component content count doc docs fill hot key keep_id kept kind least lone n node noise part piece place range rank salt score sequence_id shard start stop surrogate text_sha256 token turn turns up value _kept_id _text".split()
+    names = "a b bin bytes component content count doc docs fill hot key keep_id kept kind least lone n node noise part piece place range rank salt score sequence_id shard start stop surrogate text_sha256 token turn turns up value _kept_id _text _text_hash _turns _sha256 _n".split()
     docs = spark.createDataFrame([(i, f"word {i % 2} " * 60, *("x" for _ in names)) for i in range(4)], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     assert {r["doc_id"] for r in exactdup.drop_exact_duplicates(docs).collect()} == {0, 1}
