@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitforge.llm.scratch import cut, discard
-from fitforge.llm.textkernel import Texts, equal_spans, mix, span_hashes, texts_of
+from fitforge.llm.textkernel import Texts, mix, span_hashes, texts_of
 
 LENGTH = 50
 GRAM = 20
@@ -141,15 +141,16 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _STRETCH = ("key", "doc", "start", "stop", "bytes")
 
 
-def _once(key: np.ndarray, doc: np.ndarray, start: np.ndarray, packed: np.ndarray, lengths: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+def _once(key: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> tuple[pa.RecordBatch, np.ndarray]:
     """Rows of stretches, of which each content goes on with its smallest document only, and which are the others."""
-    content, values = equal_spans(packed, lengths)
-    smallest = np.full(len(values), np.iinfo(np.int64).max)
+    column = pa.array(pieces, pa.binary())
+    encoded = column.dictionary_encode()
+    content = encoded.indices.to_numpy()
+    smallest = np.full(len(encoded.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(smallest, content, doc)
     settled = doc != smallest[content]
     going = np.flatnonzero(~settled)
-    pieces = values.take(pa.array(content[going])).cast(pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(key[going]), pa.array(doc[going]), pa.array(start[going]), pa.nulls(len(going), pa.int64()), pieces], names=_STRETCH), settled
+    return pa.RecordBatch.from_arrays([pa.array(key[going]), pa.array(doc[going]), pa.array(start[going]), pa.nulls(len(going), pa.int64()), column.take(pa.array(going))], names=_STRETCH), settled
 
 
 def _settled_rows(docs: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -188,10 +189,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = np.flatnonzero(hit & ~single)
             doc, within = docs[texts.first + text], texts.bounds[text]
             settled: list[tuple[np.ndarray, ...]] = []
+            raw = texts.data.tobytes()
             if len(pick):
                 length = windows[pick] + LENGTH - 1
-                inside = np.repeat(start[pick] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-                going, other = _once(key[pick], doc[pick], start[pick] - within[pick], texts.data[inside], length)
+                pieces = [raw[a : a + n] for a, n in zip(start[pick].tolist(), length.tolist(), strict=True)]
+                going, other = _once(key[pick], doc[pick], start[pick] - within[pick], pieces)
                 yield going
                 settled.append((pick[other], start[pick][other], length[other]))
             pick = np.flatnonzero(single)
@@ -200,9 +202,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whose = np.repeat(pick, n)
             for a in range(0, len(at), WINDOWS_AT_ONCE):
                 p, w = at[a : a + WINDOWS_AT_ONCE], whose[a : a + WINDOWS_AT_ONCE]
-                bytes_of = np.lib.stride_tricks.sliding_window_view(texts.data, LENGTH)[p].ravel()
                 own = mix(span_hashes(texts.data, p, p + LENGTH)).view(np.int64)
-                going, other = _once(own, doc[w], p - within[w], bytes_of, np.full(len(p), LENGTH))
+                going, other = _once(own, doc[w], p - within[w], [raw[x : x + LENGTH] for x in p.tolist()])
                 yield going
                 settled.append((w[other], p[other], np.full(int(other.sum()), LENGTH)))
             if settled:
