@@ -134,9 +134,13 @@ class ForcedBoundaryEncoder:
         for special in self.specials:
             p = raw.find(special)
             while p >= 0:
-                at[p + 1 : p + len(special)] = False
-                at[p] = at[p + len(special)] = True
-                p = raw.find(special, p + len(special))
+                end = p + len(special)
+                # the texts lie end to end: what begins in one and ends in another is no special token
+                whole = bounds[np.searchsorted(bounds, p, "right")] >= end
+                if whole:
+                    at[p + 1 : end] = False
+                    at[p] = at[end] = True
+                p = raw.find(special, end if whole else p + 1)
         at[bounds] = True
         at[0] = at[n] = True
         return np.flatnonzero(at)

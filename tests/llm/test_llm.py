@@ -53,6 +53,23 @@ def test_bpe_equals_the_library_on_random_texts(spark):
     assert {x["doc_id"]: x["text"] for x in bpe.decode_ids(found, PATH).collect()} == dict(enumerate(texts))
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 64, 8 << 20])
+def test_specials_spread_over_neighbouring_texts(monkeypatch, slice_bytes):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "_SLICE", slice_bytes)
+    tokenizer, special = Tokenizer.from_file(PATH), "<|endoftext|>"
+    texts = []
+    for k in range(len(special) + 1):
+        for before, after in (("", ""), ("foo.", "bar"), ("é <", "> 's"), (special, special), ("<|endof", "text|>")):
+            texts += [before + special[:k], special[k:] + after, None, "x" + special[:k], "", special[k:]]
+    for order in range(3):
+        if order:
+            random.Random(order).shuffle(texts)
+        found = [x.tolist() for x in bpe.encoded_texts(pa.array(texts), PATH)]
+        assert found == [_ids(tokenizer, t) for t in texts]
+
+
 def test_round_trip_digests(docs, rows):
     tokenizer = Tokenizer.from_file(PATH)
     found = sorted(map(tuple, bpe.round_trip_digests(docs, PATH).collect()))
