@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fitforge.llm import bpe, exactdup, isolation, ngramjoin, packing, privacy, resampling, sharding, suffixes, toolcalls
+from fitforge.llm import bpe, exactdup, filteraudit, isolation, mixing, ngramjoin, packing, privacy, resampling, sharding, suffixes, targetsampling, toolcalls
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -61,8 +61,35 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.replace_entities(_table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "n_entities", "text")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targetsampling.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_importance_resampling, op2_best_fit_packing, op3_bpe_round_trip, op4_tool_call_linking, op5_exact_dedup, op6_ngram_jaccard_join, op7_byte_shards, op8_isolation_rules, op9_suffix_dedup, op10_surrogates)
+    f.__name__: f
+    for f in (
+        op1_importance_resampling,
+        op2_best_fit_packing,
+        op3_bpe_round_trip,
+        op4_tool_call_linking,
+        op5_exact_dedup,
+        op6_ngram_jaccard_join,
+        op7_byte_shards,
+        op8_isolation_rules,
+        op9_suffix_dedup,
+        op10_surrogates,
+        op11_filter_audit,
+        op12_source_mixing,
+        op13_target_sampling,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -99,4 +126,50 @@ SQL: dict[str, str] = {
             FROM rows)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256
         FROM ranked""",
+    # walks every order document by document, instead of tabulating coalitions
+    "op11_filter_audit": r"""
+        WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+        orders AS (
+            SELECT '' AS filter_order
+            UNION ALL
+            SELECT filter_order || letter FROM orders JOIN letters ON NOT contains(filter_order, letter)),
+        texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        measured AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals,
+                   doc_id > min(doc_id) OVER (PARTITION BY text) AS copied
+            FROM texts),
+        failing AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * capitals > 2 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN copied THEN 'E' ELSE '' END AS fails
+            FROM measured),
+        marked AS (
+            SELECT part, fails, count(*) AS n,
+                   count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+                   count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+            FROM failing GROUP BY ALL),
+        steps AS (
+            SELECT filter_order, step, filter_order[step] AS letter, filter_order[:step - 1] AS earlier
+            FROM orders, range(1, 6) AS r(step) WHERE length(filter_order) = 5),
+        judged AS (
+            SELECT *, contains(fails, letter) AS fails_this,
+                   earlier <> '' AND fails <> '' AND regexp_matches(fails, '[' || CASE WHEN earlier = '' THEN '-' ELSE earlier END || ']') AS gone
+            FROM marked, steps),
+        counted AS (
+            SELECT part, filter_order, step, letter,
+                   coalesce(sum(n) FILTER (NOT gone AND NOT fails_this), 0) AS kept,
+                   coalesce(sum(n) FILTER (NOT gone AND fails_this), 0) AS removed,
+                   coalesce(sum(n) FILTER (gone AND fails_this), 0) AS redundant,
+                   coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT gone AND fails_this), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (NOT gone AND fails_this), 0) AS toxic_lost
+            FROM judged GROUP BY ALL)
+        SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM counted""",
 }
