@@ -107,7 +107,7 @@ def _left_of(bound: Column, total: Column, left: Column, halvings: int, *place)
     return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, step, counted)
 
 
-def split_bounds(low: Column, high: Column, blocks: int, shards: int = SHARDS, seed: int = SEED) -> Column:
+def split_bounds(low: Column, high: Column, blocks: int, shards: int = SHARDS, seed: int | Column = SEED) -> Column:
     """For each shard, how many of the first ``low`` of all blocks the tree deals to it; then the same for ``high``."""
     levels = [[blocks]]
     while len(levels[-1]) < shards:
