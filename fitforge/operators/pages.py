@@ -1,18 +1,25 @@
 """Layout of pages from spans of text: visible boxes, columns, reading order, rows and sections.
 
 A span has page, span (its number), text, x0, y0, x1, y1 and size.  Pages are small and
-independent; all but the grouping into rows are joins and windows by page.
+independent: columns, reading order and rows are found a page at a time, from all its
+spans, which one exchange brings together.
 """
 
 from __future__ import annotations
 
+import re
+import statistics
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fitforge.functions import resumes
 from fitforge.functions.postings import stripped, words_in
-from fitforge.operators import activity, layout
+from fitforge.operators import layout
 
 # The least size of text, the whiteness of hidden text, the darkness behind which it shows, the share of a page of a big image.
 LEAST_SIZE, NEAR_WHITE, DARK, BIG = 4, 0xF0, 0.85, 0.25
@@ -58,50 +65,108 @@ def without_hidden(spans: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def big_images(images: DataFrame, spans: DataFrame, width: float, height: float) -> DataFrame:
-    """page, share of the page and characters over it of each big image; boxes that are alike but for fractions count once."""
+    """page, share of the page and characters over it of each big image (page, image: its number, box).
+
+    Boxes that are alike when rounded (halves to the even number) are one image, the first.
+    """
     box = ["x0", "y0", "x1", "y1"]
-    alike = [F.round(c).cast("long").alias(f"_{c}") for c in box]
-    one = images.select("page", *box, *alike).groupBy("page", *(f"_{c}" for c in box)).agg(*(F.min(c).alias(c) for c in box))
+    alike = [F.bround(c).cast("long").alias(f"_{c}") for c in box]
+    # of boxes that round alike the first one stands for all
+    first = F.min(F.struct("image", *box)).alias("first")
+    one = images.select("page", "image", *box, *alike).groupBy("page", *(f"_{c}" for c in box)).agg(first).select("page", "first.*")
     share = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (width * height)
     big = _prefixed(one.select("page", *box, share.alias("share")).where(F.col("share") >= BIG))
     over = big.join(spans, (big["page"] == spans["page"]) & _inside("r_"), "left")
     return over.groupBy(big["page"], "r_x0", "r_y0", "r_x1", "r_y1", "r_share").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).select("page", F.col("r_share").alias("share"), "chars")
 
 
-def gutters(spans: DataFrame, width: int, height: int) -> DataFrame:
-    """page and gutter (x) of the pages with two columns.
+_BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _gathered(spans: DataFrame) -> DataFrame:
+    """One row per page, ``spans`` in the order of their numbers."""
+    return spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("span", *(c for c in spans.columns if c not in ("page", "span"))))).alias("spans"))
+
+
+def _page_by_page(pages: DataFrame, made: str, f: Callable[[dict], dict[str, list]]) -> DataFrame:
+    """``pages`` with columns ``made`` (DDL) as ``f`` gives them for the spans of a page, a dict of lists."""
+    new = T.StructType.fromDDL(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("spans")
+            flat, ends = column.flatten(), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+            fields = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
+            whole = {n: x.to_numpy(zero_copy_only=False) if pa.types.is_floating(x.type) else x.to_pylist() for n, x in fields.items()}
+            found = [f({n: x[a:b] for n, x in whole.items()}) for a, b in zip([0, *ends], ends, strict=False)]
+            arrays = [pa.array([x[c.name] for x in found], _arrow(c.dataType)) for c in new]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
+
+    return pages.mapInArrow(run, T.StructType([*pages.schema, *new]))
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind])
+    return {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[kind.simpleString()]
 
-    A gutter is the widest strip in the middle that hardly any span crosses, with text
-    enough on both sides; short spans on the right that share their rows with the left
-    (dates of jobs) are no column.
+
+def _gutter(page: dict, width: float, height: float) -> float | None:
+    """x of the widest strip in the middle that hardly any span crosses, with text enough on both sides.
+
+    Short spans on the right that share their rows with the left (dates of jobs) are no column.
     """
-    body = spans.where(F.col("y0") > height * _BAND)
-    sizes = body.groupBy("page").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("total")).where(F.col("n") >= _LEAST_SPANS)
-    ends = body.select("page", F.greatest(F.col("x0").cast("long"), F.lit(0)).alias("a"), F.least(F.ceil("x1").cast("long"), F.lit(int(width)).cast("long")).alias("b"))
-    covered = layout.coverage_histogram(ends, "page", "a", "b").join(sizes, "page")
-    blocked = covered.where(F.col("covered") > F.greatest(F.lit(1), F.floor(F.col("n") * 0.03))).select("page", "x")
-    every = blocked.unionByName(sizes.select("page", F.lit(-1).cast("long").alias("x")))  # pages without any
-    runs = activity.longest_clear_run(every, "page", "x", int(width * _MIDDLE[0]), int(width * _MIDDLE[1]), _LEAST_GUTTER)
-    found = runs.select("page", (F.col("first") + F.col("length") / 2).alias("gutter")).join(sizes, "page")
-    sided = body.join(found.select("page", "gutter", "total"), "page")
-    left, right = sided.where("x1 <= gutter"), sided.where("x0 >= gutter")
-    lefts = left.select("page", F.col("y0").alias("l_y0"), F.col("y1").alias("l_y1"))
-    meets = right.join(lefts, (right["page"] == lefts["page"]) & (overlap(F.col("y0"), F.col("y1"), F.col("l_y0"), F.col("l_y1")) >= 0.5), "left_semi")
-    chars = F.sum(F.length("text"))
-    sums = right.groupBy("page", "gutter", "total").agg(chars.alias("right"), F.median(F.length("text")).alias("usual"))
-    sums = sums.join(left.groupBy("page").agg(chars.alias("left")), "page").join(meets.groupBy("page").agg(chars.alias("shared")), "page", "left")
-    enough = (F.col("left") >= 0.15 * F.col("total")) & (F.col("right") >= 0.15 * F.col("total"))
-    dates = (F.coalesce("shared", F.lit(0)) >= 0.4 * F.col("right")) & (F.col("usual") < 25)
-    return sums.where(enough & ~dates).select("page", "gutter")
-
-
-def regions(spans: DataFrame, found: DataFrame, height: int) -> DataFrame:
+    x0, y0, x1, y1 = (page[c] for c in _BOX)
+    chars = np.array([len(t) for t in page["text"]])
+    body = y0 > height * _BAND
+    n = int(body.sum())
+    if n < _LEAST_SPANS:
+        return None
+    starts = np.maximum(x0[body].astype(np.int64), 0)
+    ends = np.minimum(np.ceil(x1[body]).astype(np.int64), int(width))
+    steps, there = np.zeros(int(width) + 3, np.int64), starts <= ends
+    np.add.at(steps, starts[there], 1)
+    np.add.at(steps, ends[there] + 1, -1)
+    low, high = int(width * _MIDDLE[0]), int(width * _MIDDLE[1])
+    blocked = np.concatenate(([low - 1], low + np.flatnonzero(np.cumsum(steps)[low : high + 1] > max(1, int(n * 0.03))), [high + 1]))
+    clear = np.diff(blocked) - 1
+    at = int(clear.argmax())
+    if clear[at] < _LEAST_GUTTER:
+        return None
+    gutter = float(blocked[at] + 1 + clear[at] / 2)
+    left, right = body & (x1 <= gutter), body & (x0 >= gutter)
+    total = chars[body].sum()
+    if chars[left].sum() < 0.15 * total or chars[right].sum() < 0.15 * total:
+        return None
+    common = np.minimum(y1[right][:, None], y1[left]) - np.maximum(y0[right][:, None], y0[left])
+    shorter = np.minimum((y1 - y0)[right][:, None], (y1 - y0)[left])
+    beside = (np.maximum(common, 0) / np.where(shorter == 0, 0.1, shorter) >= 0.5).any(axis=1)
+    dates = chars[right][beside].sum() / chars[right].sum() >= 0.4 and statistics.median(chars[right].tolist()) < 25
+    return None if dates else gutter
+
+
+def _regions(page: dict, gutter: float | None, height: float) -> list[int]:
+    """0 above the columns or without them, 1 left (and across), 2 right."""
+    x0, y0, x1, y1 = (page[c] for c in _BOX)
+    if gutter is None:
+        return [0] * len(x0)
+    beside = (y0 > height * _BAND) & ((x1 <= gutter) | (x0 >= gutter))
+    top = y0[beside].min() if beside.any() else 0.0
+    return np.where(y1 <= top, 0, np.where(x0 >= gutter, 2, 1)).tolist()
+
+
+def gutters(spans: DataFrame, width: int, height: int) -> DataFrame:
+    """page and gutter (x) of the pages with two columns."""
+    found = _page_by_page(_gathered(spans), "gutter double", lambda page: {"gutter": _gutter(page, width, height)})
+    return found.where("gutter is not null").select("page", "gutter")
+
+
+def page_regions(spans: DataFrame, width: int, height: int) -> DataFrame:
     """Spans with ``region``: 0 above the columns or on pages without, 1 left (and across), 2 right."""
-    sided = spans.join(found, "page", "left")
-    beside = (F.col("y0") > height * _BAND) & ((F.col("x1") <= F.col("gutter")) | (F.col("x0") >= F.col("gutter")))
-    top = F.coalesce(F.min(F.when(beside, F.col("y0"))).over(Window.partitionBy("page")), F.lit(0.0))
-    region = F.when(F.col("gutter").isNull() | (F.col("y1") <= F.col("_top")), 0).when(F.col("x0") >= F.col("gutter"), 2).otherwise(1)
-    return sided.withColumn("_top", top).withColumn("region", region).drop("_top", "gutter")
+    found = _page_by_page(_gathered(spans), "regions array<int>", lambda page: {"regions": _regions(page, _gutter(page, width, height), height)})
+    return found.select("page", F.inline(F.transform("spans", lambda s, i: s.withField("region", F.col("regions")[i])))).select(*spans.columns, "region")
 
 
 def _row_numbers(boxes: list[tuple[float, float, float]]) -> list[int]:
@@ -122,34 +187,58 @@ def _row_numbers(boxes: list[tuple[float, float, float]]) -> list[int]:
     return out
 
 
+_ROW = "place int, region int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, italic boolean, all_caps boolean, starts_bold boolean, first_text string, second_x0 double"
+
+
+def _row(spans: list[dict]) -> dict:
+    """What a row of spans, from left to right, is like."""
+    text = spans[0]["text"]
+    for before, s in zip(spans, spans[1:], strict=False):
+        text += (" " if s["x0"] - before["x1"] > 0.15 * s["size"] else "") + s["text"]
+    text = re.sub(r"\s+", " ", text).strip()
+    worded = [s for s in spans if any(map(str.isalpha, s["text"]))]
+    letters = [c for c in text if c.isalpha()]
+    return {
+        "text": text, "x0": spans[0]["x0"], "y0": min(s["y0"] for s in spans), "x1": max(s["x1"] for s in spans), "y1": max(s["y1"] for s in spans), "size": max(s["size"] for s in spans),
+        "bold": bool(worded) and all(s["bold"] for s in worded), "italic": bool(worded) and all(s["italic"] for s in worded), "starts_bold": bool(worded) and bool(worded[0]["bold"]),
+        "all_caps": len(letters) >= 2 and all(map(str.isupper, letters)), "first_text": spans[0]["text"], "second_x0": spans[1]["x0"] if len(spans) > 1 else None,
+    }
+
+
+def _rows_of(page: dict, regions: list[int]) -> list[dict]:
+    """The rows of a page: by region, from the top, from the left."""
+    each = [{c: page[c][i] for c in (*_BOX, "text", "size", "bold", "italic")} for i in range(len(regions))]
+    out = []
+    for region in (0, 1, 2):
+        mine = [s for s, r in zip(each, regions, strict=True) if r == region]
+        mine.sort(key=lambda s: ((s["y0"] + s["y1"]) / 2, s["x0"]))
+        rows: dict[int, list[dict]] = {}
+        for s, r in zip(mine, _row_numbers([(s["y0"], s["y1"], s["x0"]) for s in mine]), strict=True):
+            rows.setdefault(r, []).append(s)
+        made = [{"region": region} | _row(sorted(r, key=lambda s: s["x0"])) for r in rows.values()]
+        out += sorted(made, key=lambda r: (r["y0"], r["x0"]))
+    return [r | {"place": k} for k, r in enumerate(out)]
+
+
+def page_rows(spans: DataFrame, width: int, height: int) -> DataFrame:
+    """The rows of each page in reading order: place, region, text, box, size, bold, italic, all_caps, starts_bold, first_text, second_x0.
+
+    Spans (with bold and italic) of a region whose boxes overlap are a row.  Texts that lie
+    apart by more than 0.15 of the size have a blank between them, and blanks in a row
+    are single ones.  A row is bold or italic if all its spans with letters are, starts
+    bold if the first of these is, and is in capitals if it has two letters and all are.
+    """
+    return _in_rows(spans, lambda page: _regions(page, _gutter(page, width, height), height))
+
+
 def text_rows(spans: DataFrame) -> DataFrame:
-    """The rows of each page and region, in reading order: place, text, box, size, bold, italic, all_caps, starts_bold.
+    """The rows of spans that have their ``region``, as :func:`page_rows` describes them."""
+    return _in_rows(spans, lambda page: page["region"])
 
-    Spans (with region, bold and italic) are grouped a page at a time, as a row looks
-    back at the four before it.  Texts that lie apart by more than 0.15 of the size have
-    a blank between them; a row is bold or italic if all its spans with letters or
-    digits are.
-    """
 
-    def grouped(table: pa.Table) -> pa.Table:
-        boxes = list(zip(*(table.column(c).to_pylist() for c in ("y0", "y1", "x0")), strict=True))
-        return table.append_column("row", pa.array(_row_numbers(boxes), pa.int32()))
-
-    schema = ", ".join([*(f"{n} {t}" for n, t in spans.dtypes), "row int"])
-    along = Window.partitionBy("page", "region", "row").orderBy("x0", "span")
-    gap = F.col("x0") - F.lag("x1").over(along)
-    blank = F.when((gap > 0.15 * F.col("size")) & ~F.lag("text").over(along).endswith(" ") & ~F.col("text").startswith(" "), " ").otherwise("")
-    worded = F.col("text").rlike(r"[\p{L}\p{N}]")
-    pieces = spans.groupBy("page", "region").applyInArrow(grouped, schema).withColumn("piece", F.concat(blank, F.col("text"))).withColumn("nth", F.row_number().over(along))
-    rows = pieces.groupBy("page", "region", "row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x["piece"]), "").alias("text"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("size"),
-        *(F.coalesce(F.bool_and(F.when(worded, F.col(c))), F.lit(False)).alias(c) for c in ("bold", "italic")),
-        F.coalesce(F.min_by("bold", F.when(worded, F.col("nth"))), F.lit(False)).alias("starts_bold"),
-    )
-    letters = F.regexp_replace("text", r"[^\p{L}]", "")
-    rows = rows.withColumn("all_caps", (F.length(letters) >= 2) & (letters == F.upper(letters)))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("region", "y0", "x0", "row")) - 1).drop("row")
+def _in_rows(spans: DataFrame, regions: Callable[[dict], list[int]]) -> DataFrame:
+    found = _page_by_page(_gathered(spans), f"rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>", lambda page: {"rows": _rows_of(page, regions(page))})
+    return found.select("page", F.inline("rows"))
 
 
 def headed_rows(rows: DataFrame, document: str, place: str) -> DataFrame:

@@ -62,5 +62,10 @@ def role_scores(people: DataFrame, owned: DataFrame, roles: DataFrame, words: Da
     total = roles.groupBy(role).agg(F.sum("weight").alias("_total"))
     covered = owned.join(roles, "skill").groupBy(person, role).agg(F.sum("weight").alias("_covered")).join(total, role)
     covered = covered.select(person, role, (F.col("_covered") / F.col("_total")).alias("score"))
-    named = people.join(F.broadcast(words), F.expr("regexp_like(titles, concat('\\\\b', word, '\\\\b'))")).select(person, role, F.lit(bonus).alias("score"))
+    # each word of a title meets the roles that begin with it; whole phrases are compared only then
+    tokens = people.select(person, "titles", F.explode(F.array_distinct(F.regexp_extract_all("titles", F.lit(r"(\w+)"), F.lit(1)))).alias("_first"))
+    keyed = words.withColumn("_first", F.regexp_extract("word", r"(\w+)", 1))
+    met = tokens.join(keyed, "_first").where(F.expr("regexp_like(titles, concat('\\\\b\\\\Q', word, '\\\\E\\\\b'))"))
+    # once for a role, however many of its words the titles have
+    named = met.select(person, role).distinct().select(person, role, F.lit(bonus).alias("score"))
     return covered.unionByName(named).groupBy(person, role).agg(F.sum("score").alias("score"))

@@ -1,7 +1,7 @@
 """Similarity of vectors: filtered top-k, and the best match of each vector among a few.
 
 Vectors are made unit vectors once where they are read, and similarities are matrix
-products of Arrow batches.
+products of Arrow batches.  Vectors of different lengths are never compared.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / F.when(norms == 0, F.lit(1.0)).otherwise(norms)
 
 
-def unit_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of a list column and which rows have one: no null, no NaN, the most usual length; a zero vector stays zero."""
-    lengths = column.value_lengths().fill_null(0).to_numpy()
-    usual = np.bincount(lengths, minlength=1)
-    usual[0] = 0
-    width = int(usual.argmax())
-    good = (lengths == width) & (width > 0)
+def widths(column: pa.ListArray) -> list[int]:
+    """The lengths of the vectors of a list column, ascending; nulls and empty vectors have none."""
+    return [w for w in np.unique(column.value_lengths().fill_null(0).to_numpy()).tolist() if w]
+
+
+def unit_rows(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column and which rows have one: no null, no NaN, of length ``width``; a zero vector stays zero."""
+    good = column.value_lengths().fill_null(0).to_numpy() == width
     flat = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(good.sum()), width)
     sound = ~np.isnan(flat).any(axis=1)
     good[np.flatnonzero(good)] = sound
@@ -45,19 +46,22 @@ def unit_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return flat / np.where(norms == 0, 1.0, norms)[:, None], good
 
 
-def _matrix(rows: list) -> np.ndarray:
-    return unit_rows(pa.array(rows, pa.list_(pa.float64())))[0]
+def _matrices(rows: list) -> dict[int, np.ndarray]:
+    """Unit vectors by length."""
+    column = pa.array(rows, pa.list_(pa.float64()))
+    return {w: unit_rows(column, w)[0] for w in widths(column)}
 
 
-def with_similarity(rows: DataFrame, targets: np.ndarray, name: str) -> DataFrame:
-    """``rows`` with the largest similarity of their ``embedding`` to the unit vectors ``targets``; null without either."""
+def with_similarity(rows: DataFrame, targets: dict[int, np.ndarray], name: str) -> DataFrame:
+    """``rows`` with the largest similarity of their ``embedding`` to the unit vectors ``targets`` of its length; null without either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, good = unit_rows(batch.column("embedding"))
             best = np.full(len(batch), np.nan)
-            if len(targets) and units.shape[1] == targets.shape[1]:
-                best[good] = (units @ targets.T).max(axis=1)
+            for width, wanted in targets.items():
+                if len(wanted):
+                    units, good = unit_rows(batch.column("embedding"), width)
+                    best[good] = (units @ wanted.T).max(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, mask=np.isnan(best))], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), f"{name} double"]))
@@ -76,53 +80,49 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str, *filters: Co
     asked = [r[0] for r in query.select("embedding").limit(2).collect()]
     if len(asked) > 1:
         raise ValueError("nearest takes one query row")
-    scored = with_similarity(rows, _matrix([a for a in asked if a is not None]), "similarity").where("similarity is not null")
+    scored = with_similarity(rows, _matrices([a for a in asked if a is not None]), "similarity").where("similarity is not null")
     return scored.orderBy(F.round("similarity", 12).desc(), key).limit(k)
 
 
-def _blocks(rows: DataFrame, key: str, other: str, size: int) -> DataFrame:
-    """Rows of up to ``size`` vectors: their keys, values of ``other``, and unit vectors end to end."""
+def packed(batch: pa.RecordBatch, size: int) -> Iterator[list[pa.Array]]:
+    """The rows (key, other, vector) of a batch as columns of one row each: up to ``size`` keys, their others and unit vectors end to end.
+
+    Vectors of different lengths lie in different rows; rows without a vector in none."""
+    for a in range(0, len(batch), size):
+        part = batch.slice(a, size)
+        for width in widths(part.column(2)):
+            units, good = unit_rows(part.column(2), width)
+            if good.any():
+                keys, others = (part.column(i).filter(pa.array(good)) for i in (0, 1))
+                yield [pa.array([keys.to_pylist()], pa.list_(pa.int64())), pa.array([others.to_pylist()], pa.list_(pa.int64())), pa.array([units.tobytes()], pa.binary())]
+
+
+def blocks(rows: DataFrame, key: str, other: str, size: int = BLOCK) -> DataFrame:
+    """Rows of up to ``size`` vectors of one length: their keys, values of ``other``, and unit vectors end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), size):
-                part = batch.slice(a, size)
-                units, good = unit_rows(part.column(2))
-                if not good.any():
-                    continue
-                keys, others = (part.column(i).filter(pa.array(good)) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(pa.int64())), pa.array([others.to_pylist()], pa.list_(pa.int64())), pa.array([units.tobytes()], pa.binary())], names=["keys", "others", "units"])
+            for columns in packed(batch, size):
+                yield pa.RecordBatch.from_arrays(columns, names=["keys", "others", "units"])
 
-    cast = rows.where(f"{key} is not null").select(F.col(key).cast("long"), F.col(other).cast("long"), "embedding")
+    cast = rows.where(f"{key} is not null").select(F.col(key).cast("long").alias("key"), F.col(other).cast("long").alias("other"), "embedding")
     return cast.mapInArrow(run, "keys array<long>, others array<long>, units binary")
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *filters: Column, other: str | None = None, block: int = BLOCK) -> DataFrame:
-    """For every row of ``queries`` the k rows of ``vectors`` most similar to it, best first by similarity and key.
+def best_of_blocks(pairs: DataFrame, k: int) -> DataFrame:
+    """q, k, o, similarity: the ``k`` best vectors of each query, out of pairs of blocks.
 
-    With ``other`` (a column of whole numbers) only rows with another value of it than
-    the query's count, and the result is query_``key``, ``key``, ``other`` and similarity:
-    blocks of vectors meet blocks of queries, a pair of blocks is one matrix product, and
-    only the k best of each query go on.  Any other ``filters`` compare the columns of
-    both sides (``query_`` before the names of the queries') pair by pair, before the
-    limit.  Rows without embedding take no part.
+    A pair (keys, others, units of vectors and q_keys, q_others, q_units of queries) is one
+    matrix product.  Only vectors with another value of ``others`` than the query's count;
+    of each pair the k best of each query go on.  Best are the most similar, then those
+    with the smallest keys.
     """
-    if other is None:
-        asked = queries.select(*(F.col(c).alias(f"query_{c}") for c in queries.columns))
-        pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(asked)
-        for f in filters:
-            pairs = pairs.where(f)
-        scored = pairs.withColumn("similarity", cosine("embedding", "query_embedding")).drop("embedding", "query_embedding").where("not isnan(similarity)")
-        best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
-        return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
-    pairs = _blocks(vectors, key, other, block).crossJoin(_blocks(queries, key, other, block).toDF("q_keys", "q_others", "q_units"))
-    pairs = pairs.repartition(F.xxhash64("keys", "q_keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                keys, others, q_keys, q_others = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 1, 3, 4))
-                units, q_units = (np.frombuffer(batch.column(c)[i].as_py()).reshape(n, -1) for c, n in ((2, len(keys)), (5, len(q_keys))))
+                keys, others, q_keys, q_others = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("keys", "others", "q_keys", "q_others"))
+                units, q_units = (np.frombuffer(batch.column(c)[i].as_py()).reshape(n, -1) for c, n in (("units", len(keys)), ("q_units", len(q_keys))))
                 if units.shape[1] != q_units.shape[1]:
                     continue
                 found = np.round(q_units @ units.T, 12)
@@ -135,7 +135,29 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *f
 
     scored = pairs.mapInArrow(run, "q long, k long, o long, similarity double")
     best = Window.partitionBy("q").orderBy(F.desc("similarity"), "k")
-    kept = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
+    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *filters: Column, other: str | None = None, block: int = BLOCK) -> DataFrame:
+    """For every row of ``queries`` the k rows of ``vectors`` most similar to it, best first by similarity and key.
+
+    With ``other`` (a column of whole numbers) only rows with another value of it than
+    the query's count, and the result is query_``key``, ``key``, ``other`` and similarity:
+    blocks of vectors meet blocks of queries, a pair of blocks is one matrix product, and
+    only the k best of each query go on.  Any other ``filters`` compare the columns of
+    both sides (``query_`` before the names of the queries') pair by pair, before the
+    limit.  Rows without embedding take no part.
+    """
+    if other is None:
+        asked = queries.select(*(F.col(c).alias(f"query_{c}") for c in queries.columns))
+        pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(asked)
+        for f in filters:
+            pairs = pairs.where(f)
+        scored = pairs.withColumn("similarity", cosine("embedding", "query_embedding")).drop("embedding", "query_embedding").where("not isnan(similarity)")
+        best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
+        return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    pairs = blocks(vectors, key, other, block).crossJoin(blocks(queries, key, other, block).toDF("q_keys", "q_others", "q_units"))
+    kept = best_of_blocks(pairs.repartition(F.xxhash64("keys", "q_keys")), k)
     return kept.select(F.col("q").alias(f"query_{key}"), F.col("k").alias(key), F.col("o").alias(other), "similarity")
 
 
@@ -147,7 +169,7 @@ def best_match(rows: DataFrame, bullets: DataFrame, keys: list[str], order: str,
     few = [r[0] for r in bullets.where("embedding is not null").orderBy(order).limit(most).select("embedding").collect()]
     if not few and whole is not None:
         few = [r[0] for r in whole.where("embedding is not null").limit(1).select("embedding").collect()]
-    return with_similarity(rows.select(*keys, "embedding"), _matrix(few), "best").select(*keys, "best")
+    return with_similarity(rows.select(*keys, "embedding"), _matrices(few), "best").select(*keys, "best")
 
 
 def best_match_of_each(requirements: DataFrame, people: DataFrame, key: str, most: int = MOST_BULLETS) -> DataFrame:
@@ -158,15 +180,15 @@ def best_match_of_each(requirements: DataFrame, people: DataFrame, key: str, mos
     """
     kinds = dict(requirements.dtypes)
     targets = people.select("person", F.slice(F.when(F.size("bullets") > 0, F.col("bullets")).otherwise(F.array("whole")), 1, most).alias("targets")).where("get(targets, 0) is not null")
-    pairs = _blocks(requirements.withColumn("_n", F.lit(0)), key, "_n", BLOCK).crossJoin(targets)
+    pairs = blocks(requirements.withColumn("_n", F.lit(0)), key, "_n").crossJoin(targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 keys = batch.column("keys")[i].values
                 units = np.frombuffer(batch.column("units")[i].as_py()).reshape(len(keys), -1)
-                bullets = _matrix(batch.column("targets")[i].as_py())
-                if not len(bullets) or units.shape[1] != bullets.shape[1]:
+                bullets = _matrices(batch.column("targets")[i].as_py()).get(units.shape[1], ())
+                if not len(bullets):
                     continue
                 best = (units @ bullets.T).max(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("person")[i].as_py()] * len(keys), pa.int64()), keys, pa.array(best)], names=["person", key, "best"])

@@ -63,14 +63,16 @@ def lay10_without_hidden(t):
 
 @_query(f"""
     WITH {_VISIBLE_SQL}, {_RECTS_SQL},
-    images AS (SELECT page, min(x0) AS x0, min(y0) AS y0, min(x1) AS x1, min(y1) AS y1 FROM (SELECT * FROM rects UNION ALL SELECT page, x0 + 0.2, y0 + 0.3, x1 + 0.1, y1 - 0.2, brightest FROM rects) GROUP BY page, round(x0), round(y0), round(x1), round(y1))
+    twice AS (SELECT page, 0 AS image, x0 + 0.2 AS x0, y0 + 0.3 AS y0, x1 + 0.1 AS x1, y1 - 0.2 AS y1 FROM rects UNION ALL SELECT page, 1, x0, y0, x1, y1 FROM rects),
+    images AS (SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY page, round_even(x0, 0), round_even(y0, 0), round_even(x1, 0), round_even(y1, 0) ORDER BY image) = 1)
     SELECT i.page, round((i.x1 - i.x0) * (i.y1 - i.y0) / {WIDTH * HEIGHT}, 6) AS share, coalesce(sum(length(text)), 0)::BIGINT AS chars
     FROM images i LEFT JOIN visible v ON v.page = i.page AND (v.x0 + v.x1) / 2 BETWEEN i.x0 AND i.x1 AND (v.y0 + v.y1) / 2 BETWEEN i.y0 AND i.y1
-    WHERE (i.x1 - i.x0) * (i.y1 - i.y0) / {WIDTH * HEIGHT} >= 0.25 GROUP BY i.page, i.x0, i.y0, i.x1, i.y1""")
+    WHERE (i.x1 - i.x0) * (i.y1 - i.y0) / {WIDTH * HEIGHT} >= 0.25 GROUP BY i.page, i.image, i.x0, i.y0, i.x1, i.y1""")
 def jn11_text_over_images(t):
     one = _rects(t)
     again = one.withColumns({"x0": F.col("x0") + 0.2, "y0": F.col("y0") + 0.3, "x1": F.col("x1") + 0.1, "y1": F.col("y1") - 0.2})
-    return pages.big_images(one.unionByName(again), pages.visible_boxes(spans(t)), WIDTH, HEIGHT).select("page", F.round("share", 6).alias("share"), "chars")
+    images = again.withColumn("image", F.lit(0)).unionByName(one.withColumn("image", F.lit(1)))
+    return pages.big_images(images, pages.visible_boxes(spans(t)), WIDTH, HEIGHT).select("page", F.round("share", 6).alias("share"), "chars")
 
 
 _GUTTERS_SQL = f"""{_VISIBLE_SQL},
@@ -99,15 +101,12 @@ def lay4_gutters(t):
     tops AS (SELECT v.page, min(y0) FILTER (y0 > {HEIGHT} * 0.12 AND (x1 <= gutter OR x0 >= gutter)) AS top FROM visible v JOIN gutters g ON v.page = g.page GROUP BY v.page)
     SELECT v.page, span, CASE WHEN gutter IS NULL OR y1 <= coalesce(top, 0) THEN 0 WHEN x0 >= gutter THEN 2 ELSE 1 END AS region FROM visible v LEFT JOIN gutters g ON v.page = g.page LEFT JOIN tops ON tops.page = v.page""")
 def lay5_regions(t):
-    visible = pages.visible_boxes(spans(t))
-    return pages.regions(visible, pages.gutters(visible, WIDTH, HEIGHT), HEIGHT).select("page", "span", "region")
+    return pages.page_regions(pages.visible_boxes(spans(t)), WIDTH, HEIGHT).select("page", "span", "region")
 
 
 @_query()
 def win9_text_rows(t):
-    visible = pages.visible_boxes(spans(t))
-    rows = pages.text_rows(pages.regions(visible, pages.gutters(visible, WIDTH, HEIGHT), HEIGHT))
-    return rows.select("page", "place", "region", "text", "size", "bold", "italic", "all_caps", "starts_bold")
+    return pages.page_rows(pages.visible_boxes(spans(t)), WIDTH, HEIGHT).select("page", "place", "region", "text", "size", "bold", "italic", "all_caps", "starts_bold")
 
 
 def _resume_rows(t) -> DataFrame:

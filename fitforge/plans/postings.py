@@ -113,8 +113,9 @@ def txt3_heading_lines(t):
 
 @_query(f"WITH RECURSIVE {SECTIONS_SQL} SELECT o AS o_orderkey, row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS place, key, heading, text FROM sections")
 def txt5_sections(t):
-    each = _found(t).select("o_orderkey", F.posexplode("sections").alias("place", "s"))
-    return each.select("o_orderkey", F.col("place").cast("long").alias("place"), "s.key", "s.heading", "s.text")
+    # whole structs come out of the generator: fields taken from them later would be taken by further folds below it
+    placed = F.transform("sections", lambda s, i: F.struct(i.cast("long").alias("place"), s["key"].alias("key"), s["heading"].alias("heading"), s["text"].alias("text")))
+    return _found(t).select("o_orderkey", F.inline(placed))
 
 
 @_query(rf"""
@@ -145,8 +146,8 @@ _UNITS_SQL = rf"""
 
 @_query(f"WITH RECURSIVE {SECTIONS_SQL}, {_UNITS_SQL} SELECT o AS o_orderkey, place, section, text FROM requirements")
 def txt8_requirements(t):
-    each = _found(t).select("o_orderkey", F.posexplode(rules.requirements(F.col("sections"))).alias("place", "r"))
-    return each.select("o_orderkey", F.col("place").cast("long").alias("place"), "r.section", "r.text")
+    placed = F.transform(rules.requirements(F.col("sections")), lambda r, i: F.struct(i.cast("long").alias("place"), r["section"].alias("section"), r["text"].alias("text")))
+    return _found(t).select("o_orderkey", F.inline(placed))
 
 
 _LEVEL_SQL = r"""
@@ -219,7 +220,7 @@ def agg18_least_years(t):
     judged AS (SELECT *, coalesce(above >= 2, false) OR coalesce(min_years >= most + 3, false) AS hidden FROM compared)
     SELECT o_orderkey, above AS levels_above, hidden OR coalesce(above, 0) > 0 AS stretch, hidden, round(pow(0.85, greatest(coalesce(above, 0), 0)), 6) AS multiplier FROM judged""")
 def scr4_eligibility_of_postings(t):
-    jobs = postings(t("orders")).select("o_orderkey", "o_custkey", rules.level_from_title(F.col("title")).alias("level"), rules.least_years(rules.sections(F.col("text"))).alias("min_years"))
+    jobs = postings(t("orders")).select("o_orderkey", "o_custkey", rules.level_from_title(F.col("title")).alias("level"), rules.let(rules.sections(F.col("text")), rules.least_years).alias("min_years"))
     segment, own = F.col("c_mktsegment"), F.lit(None).cast("string")
     for name, level in (("BUILDING", "intern"), ("MACHINERY", "entry"), ("FURNITURE", "mid"), ("AUTOMOBILE", "staff")):
         own = F.when(segment == name, level).otherwise(own)

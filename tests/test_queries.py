@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from fitforge.plans import listings, matches, pages, postings, resumes, shapes, skills, upkeep  # noqa: F401 - register their queries
+from fitforge.plans import assembly, ingestion, listings, matches, neighbours, pages, postings, resumes, shapes, skills, upkeep  # noqa: F401 - register their queries
 from fitforge.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"

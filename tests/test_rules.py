@@ -1,5 +1,8 @@
 """Rules on texts and vectors by literal cases."""
 
+import math
+import statistics
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,7 +105,7 @@ def test_nearest_ignores_what_is_no_vector(spark):
         vectors.nearest(v, v.where("vec_id < 3"), 1, "vec_id")
     whole = vectors.best_match(v, v.limit(0), ["vec_id"], "vec_id", whole=v.where("vec_id = 1"))
     assert {r["vec_id"]: r["best"] for r in whole.collect()} == pytest.approx({1: 1.0, 2: 0.0, 3: None, 4: None, 5: 0.6, 6: 0.6, 7: 1.0})
-    assert np.isclose(vectors._matrix([[3.0, 4.0]]), [[0.6, 0.8]]).all()
+    assert np.isclose(vectors._matrices([[3.0, 4.0]])[2], [[0.6, 0.8]]).all()
 
 
 def test_a_second_run_over_the_same_snapshot_changes_nothing(spark):
@@ -130,35 +133,131 @@ def test_rows_of_a_page(spark):
     rows = [(1, i, t, float(x0), float(y0), float(x1), float(y1), 10.0, b, False, 0) for i, (t, x0, y0, x1, y1, b) in enumerate(box)] + [(1, 9, "other side", 330.0, 90.0, 380.0, 102.0, 10.0, False, False, 2)]
     frame = spark.createDataFrame(rows, "page long, span long, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, italic boolean, region int")
     found = pages.text_rows(frame).orderBy("place").collect()
-    assert [(r["text"], r["bold"], r["starts_bold"], r["all_caps"]) for r in found] == [("• Led a team 2020", False, True, False), ("NEXT LINE", False, False, True), ("coop", False, False, False), ("other side", False, False, False)]
+    assert [(r["text"], r["bold"], r["starts_bold"], r["all_caps"]) for r in found] == [("• Led a team 2020", True, True, False), ("NEXT LINE", False, False, True), ("coop", False, False, False), ("other side", False, False, False)]
     assert (found[0]["x0"], found[0]["y0"], found[0]["x1"], found[0]["y1"]) == (30.0, 98.0, 520.0, 113.0)
 
 
+def _plain_page(spans, width, height):
+    """Rows of a page, written from the rules alone: a list of (region, spans from left to right)."""
+
+    def common(a, b):
+        return max(min(a[3], b[3]) - max(a[1], b[1]), 0) / (min(a[3] - a[1], b[3] - b[1]) or 0.1)
+
+    def box(s):
+        return s["x0"], s["y0"], s["x1"], s["y1"]
+
+    def built(some):
+        rows = []
+        for s in sorted(some, key=lambda s: ((s["y0"] + s["y1"]) / 2, s["x0"])):
+            for row in rows[:-5:-1]:
+                if common(box(s), (0, min(x["y0"] for x in row), 0, max(x["y1"] for x in row))) >= 0.5:
+                    row.append(s)
+                    break
+            else:
+                rows.append([s])
+        rows = [sorted(r, key=lambda s: s["x0"]) for r in rows]
+        return sorted(rows, key=lambda r: (min(s["y0"] for s in r), r[0]["x0"]))
+
+    def gutter():
+        body = [s for s in spans if s["y0"] > 0.12 * height]
+        if len(body) < 10:
+            return None
+        best, run = (0, 0), 0
+        for x in range(int(0.15 * width), int(0.85 * width) + 1):
+            crossing = sum(max(int(s["x0"]), 0) <= x <= min(math.ceil(s["x1"]), int(width)) for s in body)
+            run = run + 1 if crossing <= max(1, int(0.03 * len(body))) else 0
+            if run > best[0]:
+                best = (run, x - run + 1)
+        if best[0] < 8:
+            return None
+        g = best[1] + best[0] / 2
+        left, right = [s for s in body if s["x1"] <= g], [s for s in body if s["x0"] >= g]
+        chars = lambda some: sum(len(s["text"]) for s in some)
+        if min(chars(left), chars(right)) < 0.15 * chars(body):
+            return None
+        beside = chars([r for r in right if any(common(box(r), box(x)) >= 0.5 for x in left)])
+        return None if beside / chars(right) >= 0.4 and statistics.median(len(s["text"]) for s in right) < 25 else g
+
+    g = gutter()
+    if g is None:
+        return [(0, r) for r in built(spans)]
+    top = min((s["y0"] for s in spans if s["y0"] > 0.12 * height and (s["x1"] <= g or s["x0"] >= g)), default=0)
+    rest = [s for s in spans if s["y1"] > top]
+    parts = [s for s in spans if s["y1"] <= top], [s for s in rest if s["x0"] < g], [s for s in rest if s["x0"] >= g]
+    return [(k, r) for k, part in enumerate(parts) for r in built(part)]
+
+
+def _plain_row(region, spans):
+    text = "".join((" " if i and s["x0"] - spans[i - 1]["x1"] > 0.15 * s["size"] else "") + s["text"] for i, s in enumerate(spans))
+    text = " ".join(text.split())
+    lettered = [s for s in spans if any(c.isalpha() for c in s["text"])]
+    letters = "".join(c for c in text if c.isalpha())
+    caps = len(letters) > 1 and all(c.isupper() for c in letters)
+    bold, italic = (bool(lettered) and all(s[c] for s in lettered) for c in ("bold", "italic"))
+    return region, text, spans[0]["x0"], min(s["y0"] for s in spans), max(s["x1"] for s in spans), max(s["y1"] for s in spans), max(s["size"] for s in spans), bold, italic, caps, bool(lettered) and lettered[0]["bold"]
+
+
 def test_rows_of_all_pages_against_brute_force(spark):
     from fitforge.operators import pages
     from fitforge.plans import pages as page_plans
 
     tables = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
-    visible = pages.visible_boxes(page_plans.spans(tables))
-    regions = pages.regions(visible, pages.gutters(visible, page_plans.WIDTH, page_plans.HEIGHT), page_plans.HEIGHT)
-    wanted = []
-    by_part: dict = {}
-    for s in regions.collect():
-        by_part.setdefault((s["page"], s["region"]), []).append(s)
-    for (page, region), part in by_part.items():
-        rows: list[list] = []
-        for s in sorted(part, key=lambda s: (s["y0"] + s["y1"], s["x0"])):
-            home = None
-            for row in rows[-4:]:
-                top, bottom = min(x["y0"] for x in row), max(x["y1"] for x in row)
-                common = min(bottom, s["y1"]) - max(top, s["y0"])
-                if common > 0 and common / min(bottom - top, s["y1"] - s["y0"]) >= 0.5:
-                    home = row
-            rows.append([s]) if home is None else home.append(s)
-        wanted += [(page, region, tuple(sorted(x["text"] for x in row))) for row in rows]
-    ties = {(p, r) for (p, r), part in by_part.items() if len({(s["y0"] + s["y1"], s["x0"]) for s in part}) < len(part)}
-    found = [(r["page"], r["region"], r["text"].replace(" ", "")) for r in pages.text_rows(regions).collect()]
-    assert len(found) == len(wanted)
-    for page, region, texts in wanted:
-        if (page, region) not in ties:
-            assert any(p == page and r == region and sorted(f) == sorted("".join(texts).replace(" ", "")) for p, r, f in found)
+    width, height = page_plans.WIDTH, page_plans.HEIGHT
+    # lines of one page as well as of two columns, blanks within, signs without letters, letters without case
+    odd = F.when(F.col("span") % 7 == 0, "two  blanks\there").when(F.col("span") % 7 == 1, "2019").when(F.col("span") % 7 == 2, "東京").when(F.col("span") % 7 == 3, "ALL CAPS").otherwise(F.col("text"))
+    visible = pages.visible_boxes(page_plans.spans(tables).withColumn("text", odd)).cache()
+    by_page: dict = {}
+    for s in visible.orderBy("span").collect():
+        by_page.setdefault(s["page"], []).append(s)
+    wanted, regions = [], set()
+    for page, spans in by_page.items():
+        rows = _plain_page(spans, width, height)
+        wanted += [(page, k, *_plain_row(region, r)) for k, (region, r) in enumerate(rows)]
+        regions |= {(page, s["span"], region) for region, r in rows for s in r}
+    columns = ["page", "place", "region", "text", "x0", "y0", "x1", "y1", "size", "bold", "italic", "all_caps", "starts_bold"]
+    assert {r["region"] for r in pages.page_rows(visible, width, height).collect()} == {0, 1, 2}
+    assert sorted(map(tuple, pages.page_rows(visible, width, height).select(*columns).collect())) == sorted(wanted)
+    found = pages.page_regions(visible, width, height)
+    assert {(r["page"], r["span"], r["region"]) for r in found.collect()} == regions
+    assert sorted(map(tuple, pages.text_rows(found).select(*columns).collect())) == sorted(wanted)
+
+
+def test_letters_alone_decide_the_style_of_a_row(spark):
+    from fitforge.operators import pages
+
+    spans = [(1, 1, "Team", 0.0, 0.0, 40.0, 10.0, 10.0, True, True), (1, 2, "2019", 50.0, 0.0, 70.0, 10.0, 10.0, False, False), (2, 1, "東京", 0.0, 0.0, 40.0, 10.0, 10.0, False, False), (3, 1, "a  b", 0.0, 0.0, 40.0, 10.0, 10.0, False, False)]
+    frame = spark.createDataFrame(spans, "page long, span long, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, italic boolean")
+    found = {r["page"]: r for r in pages.page_rows(frame, 600, 800).collect()}
+    assert (found[1]["bold"], found[1]["italic"], found[1]["starts_bold"]) == (True, True, True)
+    assert not found[2]["all_caps"] and found[3]["text"] == "a b"
+    assert (found[1]["first_text"], found[1]["second_x0"], found[2]["second_x0"]) == ("Team", 50.0, None)
+
+
+def test_a_bonus_for_a_title_counts_once(spark):
+    from fitforge.operators import scoring
+
+    people = spark.createDataFrame([(1, "data engineer and analyst | c++ lead"), (2, "engineering lead"), (3, None)], "person long, titles string")
+    owned = spark.createDataFrame([(1, "sql"), (3, "sql")], "person long, skill string")
+    roles = spark.createDataFrame([("data", "sql", 1.0), ("data", "spark", 1.0), ("go", "go", 1.0)], "role string, skill string, weight double")
+    words = spark.createDataFrame([("data", "data engineer"), ("data", "analyst"), ("data", "data"), ("go", "engineer")], "role string, word string")
+    found = {(r["person"], r["role"]): r["score"] for r in scoring.role_scores(people, owned, roles, words, "person", "role").collect()}
+    assert found == {(1, "data"): 0.75, (1, "go"): 0.25, (3, "data"): 0.5}
+
+
+def test_the_first_of_images_that_round_alike(spark):
+    from fitforge.operators import pages
+
+    images = spark.createDataFrame([(1, 1, 0.5, 0.0, 400.2, 500.0), (1, 2, 0.4, 0.3, 400.0, 499.9), (1, 3, 0.0, 0.0, 10.0, 10.0)], "page long, image long, x0 double, y0 double, x1 double, y1 double")
+    spans = spark.createDataFrame([(1, 1, "abc", 10.0, 10.0, 20.0, 20.0)], "page long, span long, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [(r["share"], r["chars"]) for r in pages.big_images(images, spans, 600, 800).collect()] == [((400.2 - 0.5) * 500.0 / 480_000, 3)]
+
+
+def test_similarity_of_vectors_of_several_lengths(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 1, [0.6, 0.8]), (3, 1, [1.0, 0.0, 0.0]), (4, 1, [0.0, 1.0, 0.0]), (5, 1, [1.0, 0.0]), (6, 1, [])]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for partitions in (1, 3):
+            v = spark.createDataFrame(order, "vec_id long, label int, embedding array<double>").repartition(partitions)
+            found = vectors.nearest(v, v.where("vec_id = 1"), 9, "vec_id", F.col("label") == 1).collect()
+            assert [(r["vec_id"], r["similarity"]) for r in found] == [(5, 1.0), (2, 0.6)]
+            each = vectors.nearest_of_each(v, v.where("label = 0"), 9, "vec_id", other="label").collect()
+            assert {(r["vec_id"], r["similarity"]) for r in each} == {(5, 1.0), (2, 0.6)}
