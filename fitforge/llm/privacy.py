@@ -61,6 +61,8 @@ _FAMILY_NAMES = ["Adler", "Allen", "Bauer", "Becker", "Bernard", "Blanc", "Brand
 _ADDRESS = {"mr": "m", "mister": "m", "sir": "m", "lord": "m", "herr": "m", "herrn": "m", "monsieur": "m", "señor": "m", "don": "m"}
 _ADDRESS |= {"mrs": "f", "ms": "f", "miss": "f", "lady": "f", "madam": "f", "frau": "f", "fräulein": "f", "madame": "f", "mme": "f", "mademoiselle": "f", "mlle": "f", "señora": "f", "señorita": "f", "doña": "f"}
 _ADDRESS |= {"dr": "u", "doctor": "u", "prof": "u", "professor": "u", "professeur": "u", "docteur": "u", "profesor": "m", "profesora": "f", "doctora": "f"}
+# Forms of address that are also ordinary words, and so need a capital.
+_CAPITAL_ONLY = ("miss", "don", "sir", "lady", "lord")
 _VOWELS = ("aeiou", "AEIOU")
 
 
@@ -82,6 +84,17 @@ _PARTICLES = "(?: (?:de|da|di|do|du|dos|del|della|der|den|la|le|las|los|van|von|
 _NUMBERED = "(?:Version|Chapter|Section|Page|Room|Table|Figure|Part|Number|No|Kapitel|Abschnitt|Seite|Raum|Tabelle|Teil|Nummer|Nr|Chapitre|Salle|Tableau|Capítulo|Sección|Página|Tabla)"
 _NAME = f"{_WORD}(?:{_PARTICLES}{{0,3}} (?!{_NUMBERED}\\.? ?\\d){_WORD})*"
 _QUOTES = "\"'`“”‘’«»"
+# Words before numbers with dots that are no addresses, and dates at the start of what may be a phone number.
+_VERSION = re.compile(r"(?i:\b(?:version|versión|ver|release|build|firmware|v)\.? ?)$")
+_DATED = re.compile(r"(?:(?:19|20)\d\d[ ./-](?:0?[1-9]|1[0-2])[ ./-](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[ ./-](?:0?[1-9]|1[0-2])[ ./-](?:19|20)\d\d)(?!\d)")
+
+
+def _address() -> str:
+    """A form of address: in any case, but with a capital where it is an ordinary word as well."""
+    free = "|".join(a for a in _ADDRESS if a not in _CAPITAL_ONLY)
+    return f"(?:(?i:{free})|{'|'.join(x for a in _CAPITAL_ONLY for x in (a.title(), a.upper()))})"
+
+
 _PATTERNS = {
     "email": r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}",
     "secret": r"(?i:(?<![^\W_])(?:token|secret|password|passwd|passphrase|pwd|api[ _-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*)"
@@ -92,8 +105,9 @@ _PATTERNS = {
     "ip": r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+(?:\)?[ ./-]?\(?\d){8,15}(?!\w)"
-    + r"|(?:\(\d{1,5}\)[ .-]?\d{2,}(?:[ .-]\d{2,})*|0\d{1,5}[ /-]\d{3,}(?:[ .-]\d{2,})*|\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-]))",
-    "name": rf"\b((?:(?i:{'|'.join(_ADDRESS)})\.? )+)({_NAME})",
+    # with brackets, with a leading 0 in groups, or as ten digits in the groups that North America writes
+    + r"|(?<!\d[ ./-])(?:\(\d{1,5}\)[ .-]?\d{2,}(?:[ .-]\d{2,})*|0\d{1,5}[ /-]\d{3,}(?:[ .-]\d{2,})*|0\d(?:[ .-]\d\d){4}|(?:1[ .-])?\d{3}(?:([.-])\d{3}\1| \d{3}-)\d{4})(?![\w-]|[.,]\d))",
+    "name": rf"\b((?:{_address()}\.? )+)({_NAME})",
 }
 
 
@@ -124,7 +138,9 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     """Start, end and type of the entities of a text, in order and apart from each other.
 
     A match that overlaps an earlier type's is left out.  A phone number has a plus
-    and 8 to 15 digits, or 9 to 15 and a bracket, a leading 0 or at least two separators.
+    and 8 to 15 digits, or 9 to 15 and a bracket or a leading 0, or is written as in
+    North America (555-123-4567); dates and other groups of digits are none.  Numbers of
+    versions are no addresses.
     A name behind a form of address is one entity (``name:`` and the gender); elsewhere
     the words of such names are entities each (``given:`` and the gender, or ``family``).
     """
@@ -142,8 +158,10 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         if (kind == "email" and "@" not in text) or (kind == "name" and not _TITLED.search(text)):
             continue
         for m in _FINDERS[kind].finditer(text):
-            start, end = m.span(m.lastindex or 0)
-            if kind == "phone" and m[0][0] != "+" and not (9 <= len(_digits(m[0])) <= 15 and (m[0][0] in "(0" or len(re.findall(r"[ .-]", m[0])) >= 2)):
+            start, end = m.span(0 if kind == "phone" else m.lastindex or 0)
+            if kind == "phone" and m[0][0] != "+" and (not 9 <= len(_digits(m[0])) <= 15 or _DATED.match(m[0])):
+                continue
+            if kind == "ip" and _VERSION.search(text, max(0, start - 12), start):
                 continue
             if kind == "name":
                 gender = f"name:{_gender(m[1])}"

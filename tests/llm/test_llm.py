@@ -272,6 +272,27 @@ def test_whole_entities_are_found():
     assert privacy.canonical("phone", "+1 (017) 555-7713") == privacy.canonical("phone", "+10175557713")
 
 
+# Texts with the entities that stand in them, as a reader would mark them.
+LABELLED = [
+    ("The log of 2024-01-15 10:30 says so.", []), ("Due 15.01.2024 12:45, or 15/01/2024.", []), ("From 2019-2020 and 01/2019 to 12/2021.", []), ("Codes 100 200 300 and 1 000 000 000 and 123.456.789 came up.", []),
+    ("Call 555-123-4567 or 1-555-123-4567 today.", ["555-123-4567", "1-555-123-4567"]), ("Call 555.123.4567, or 555 123-4567!", ["555.123.4567", "555 123-4567"]), ("Rufen Sie 030/1234567 an.", ["030/1234567"]), ("Au 01 23 45 67 89 ou +33 1 23 45 67 89.", ["01 23 45 67 89", "+33 1 23 45 67 89"]),
+    ("Tel. (030) 12345678.", ["(030) 12345678"]), ("Version 10.20.30.40 and v1.2.3.4 are out.", []), ("Release 1.2.3.4, from host 10.20.30.40.", ["10.20.30.40"]), ("We miss Paris and Paris is nice.", []), ("Please don Armor before battle.", []), ("The lady Justice and a lord Byron fan, sir Knight.", []),
+    ("Miss Keller met Sir Allen.", ["Keller", "Allen"]), ("Don Carlos Gomez spoke with señora Molina.", ["Carlos Gomez", "Molina"]), ("MISS CARTER and mr Harris.", ["CARTER", "Harris"]), ("Dr. Roth, Prof. Dr. Winter.", ["Roth", "Winter"]), ("It has 4155550123 rows, 12 34 56 78 90 of them odd.", []),
+    ("Chapter 12-345-6789 of 1999-12-31-0001.", []), ("mail jane@mail.example.com now", ["jane@mail.example.com"]), ("Pi is 3.14159265 and 1.234.567.890 is big.", []), ("On 05-06-2021-00017 it broke.", []), ("a sum of 12,345,678.90 in 2021", []),
+]
+
+
+def test_precision_and_recall_on_labelled_texts():
+    hits = misses = wrong = 0
+    for text, wanted in LABELLED:
+        found = [text[a:b] for a, b, _ in privacy.find_entities(text)]
+        hits += len(set(found) & set(wanted))
+        misses += len(set(wanted) - set(found))
+        wrong += len(set(found) - set(wanted))
+        assert found == wanted, text
+    assert hits >= 18 and misses == wrong == 0
+
+
 def test_surrogates_of_forms_that_are_used_up(spark):
     texts = ["Password: ____________ 1", "1 用户@例子.公司", "1 Tel +٣٣ ٦١٢ ٣٤٥ ٦٧٨", *(f"Password: ____________{i}" for i in range(10)), *(f"Mr. {n}." for n in privacy._FIRST_NAMES["m"])]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
