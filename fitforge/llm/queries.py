@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fitforge.llm import bpe, exactdup, filteraudit, isolation, mixing, ngramjoin, packing, privacy, resampling, sharding, suffixes, targetsampling, toolcalls
 
@@ -33,8 +34,24 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def _turns_as_calls(turns: DataFrame) -> DataFrame:
+    """Messages with tool calls, as the given turns have none.
+
+    A user's turn becomes an assistant's call of ``reply`` by the name of the turn, which
+    needs the replies to the two turns before; an assistant's turn becomes the tool's
+    result of the turn before.
+    """
+    name = lambda back: F.concat(F.lit("turn-"), (F.col("turn") - back).cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    call = F.struct(name(0).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("text")).alias("arguments"), F.array(name(1), name(2)).alias("after"))
+    made = F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+    made = made.when(F.col("role") == "assistant", F.to_json(F.struct(name(1).alias("tool_call_id"), text.alias("content"))))
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool")
+    return turns.select("conv_id", "turn", role.alias("role"), made.alias("text")).where("role is not null")
+
+
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link_tool_calls(_table(spark, sf_dir, "conversations"))
+    return toolcalls.link_tool_calls(_turns_as_calls(_table(spark, sf_dir, "conversations")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,13 @@ from pyspark.sql import functions as F
 from fitforge.llm.scratch import cut
 
 #: Schemas by tool: required names, and of each argument the JSON type or a dict of
-#: ``type``, ``minLength``, ``maxLength``, ``minimum``, ``maximum`` and ``enum``.  ``reply``
-#: stands for the plain exchange of a user's turn and the turn that answers it.
+#: ``type``, ``minLength``, ``maxLength``, ``minimum``, ``maximum`` and ``enum``.
 SCHEMAS: dict[str, dict] = {"reply": {"required": ["text"], "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 300}}}}
 #: Needs of a conversation that one task settles by itself.
 TASK_NEEDS = 500_000
 
 _TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
-_PARSED = "conv_id long, is_call boolean, call_id string, turn long, place long, name string, arguments string, after array<string>, content string"
+_PARSED = "is_call boolean, call_id string, turn long, place long, name string, arguments string, after array<string>, content string"
 _LONE_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
@@ -59,41 +58,40 @@ def _identifier(value) -> str | None:
     return _LONE_SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", made)
 
 
-def _parsed(conv_id, turn, role: str | None, text: str | None) -> Iterator[tuple]:
+def _parsed(turn, role: str | None, text: str | None) -> Iterator[tuple]:
     """Calls and results of a message.
 
-    An assistant's JSON object with ``tool_calls`` makes calls, a tool's with
-    ``tool_call_id`` is a result.  A user's other texts call ``reply`` by the name
-    of their turn, after the replies to the two turns before if these are a user's;
-    an assistant's answer is the result of the turn before."""
-    found = _loaded(text)
-    if role == "assistant" and found and isinstance(found.get("tool_calls"), list):
-        for place, c in enumerate(found["tool_calls"]):
-            if isinstance(c, dict):
-                after = c.get("after") if isinstance(c.get("after"), list) else []
-                after = [x for x in map(_identifier, after) if x is not None]
-                yield conv_id, True, _identifier(c.get("id")), turn, place, _identifier(c.get("name")), _canonical(c.get("arguments")), after, None
+    An assistant's JSON object with ``tool_calls`` makes calls, a tool's message is a
+    result, of the call that its JSON object names as ``tool_call_id``.  All other
+    messages, users' turns and answers among them, have neither."""
+    if role == "assistant":
+        found = _loaded(text)
+        if found and isinstance(found.get("tool_calls"), list):
+            for place, c in enumerate(found["tool_calls"]):
+                if isinstance(c, dict):
+                    after = c.get("after") if isinstance(c.get("after"), list) else []
+                    after = [x for x in map(_identifier, after) if x is not None]
+                    yield True, _identifier(c.get("id")), turn, place, _identifier(c.get("name")), _canonical(c.get("arguments")), after, None
     elif role == "tool":
+        found = _loaded(text)
         known = found is not None and "tool_call_id" in found
-        yield conv_id, False, _identifier(found["tool_call_id"]) if known else None, turn, 0, None, None, None, _canonical(found.get("content") if known else text)
-    elif role == "user":
-        before = [f"turn-{turn - 1}", f"turn-{turn - 2}"] if turn is not None else []
-        yield conv_id, True, f"turn-{turn}" if turn is not None else None, turn, 0, "reply", _canonical({"text": text or ""}), before, None
-    elif role == "assistant":
-        yield conv_id, False, f"turn-{turn - 1}" if turn is not None else None, turn, 0, None, None, None, _canonical(text or "")
+        yield False, _identifier(found["tool_call_id"]) if known else None, turn, 0, None, None, None, _canonical(found.get("content") if known else text)
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Calls and results of messages (conv_id, turn, role, text); system turns and other roles have none."""
+    """Calls and results of messages (conv_id of any type, turn, role, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+        kinds = (pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
         names = [x.split()[0] for x in _PARSED.split(", ")]
         for b in batches:
-            rows = [r for m in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for r in _parsed(*m)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            found = [list(_parsed(*m)) for m in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True)]
+            rows = [r for made in found for r in made]
+            whose = b.column(0).take(pa.array([i for i, made in enumerate(found) for _ in made], pa.int64()))
+            yield pa.RecordBatch.from_arrays([whose, *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["conv_id", *names])
 
-    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, _PARSED)
+    kind = dict(messages.dtypes)["conv_id"]
+    return messages.select("conv_id", F.col("turn").cast("long"), "role", "text").where("role in ('assistant', 'tool')").mapInArrow(run, f"conv_id {kind}, {_PARSED}")
 
 
 def argument_errors(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> list[str]:
@@ -141,10 +139,11 @@ def _task_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not open_needs[call]:
                     ready.append(call)
         made = [x for x in ready if x in open_needs]
-        return pa.RecordBatch.from_arrays([pa.array([conv_id] * len(made), pa.int64()), pa.array(made, pa.string()), pa.array([level[x] for x in made], pa.int32())], names=["conv_id", "call_id", "level"])
+        return pa.RecordBatch.from_arrays([pa.array([conv_id] * len(made), kind), pa.array(made, pa.string()), pa.array([level[x] for x in made], pa.int32())], names=["conv_id", "call_id", "level"])
 
-    last, held = None, []
+    last, held, kind = None, [], pa.null()
     for batch in batches:
+        kind = batch.column("conv_id").type
         for conv_id, call, before in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "call_id", "before")), strict=True):
             if held and conv_id != last:
                 yield settle(last, held)
@@ -169,7 +168,7 @@ def _levels(calls: DataFrame) -> DataFrame:
     level = calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
     large = cut(needs.groupBy("conv_id").count().where(F.col("count") > TASK_NEEDS).select("conv_id"), "large")
     small = needs.join(large, "conv_id", "left_anti").select("conv_id", "call_id", "before")
-    dealt = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_task_levels, "conv_id long, call_id string, level int")
+    dealt = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_task_levels, f"conv_id {dict(calls.dtypes)['conv_id']}, call_id string, level int")
     level = level.unionByName(cut(dealt, "task_levels"))
     if not large.limit(1).count():
         return level
@@ -192,8 +191,10 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None)
     smallest text, counts), level (null on a cycle and without a call), valid, and
     ``exchange``, canonical JSON.  Calls and results without an identifier or without
     conv_id link with nothing; each is a row of its own, at level 0 if it is a call.
-    Texts that are no strict JSON object are plain texts, whatever their length; null
-    texts count as empty; other columns are left out; an empty table gives no rows.
+    Only assistants' ``tool_calls`` are calls and only tools' messages results; ordinary
+    turns make neither.  Texts that are no strict JSON object are plain texts, whatever
+    their length; null texts count as empty; conv_id keeps its type; other columns are
+    left out; an empty table gives no rows.
     """
     known = SCHEMAS if schemas is None else schemas
     parsed = cut(parse_messages(messages), "parsed")
@@ -220,4 +221,4 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] | None = None)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(valid, pa.bool_()), pa.array(lines, pa.string())], names=["conv_id", "call_id", "call_turn", "result_turn", "n_calls", "n_results", "level", "valid", "exchange"])
 
     rows = linked.select("conv_id", "call_id", "call_turn", "result_turn", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.col("level").cast("long").alias("level"), "name", "arguments", "content")
-    return rows.mapInArrow(run, "conv_id long, call_id string, call_turn long, result_turn long, n_calls long, n_results long, level long, valid boolean, exchange string")
+    return rows.mapInArrow(run, f"conv_id {dict(messages.dtypes)['conv_id']}, call_id string, call_turn long, result_turn long, n_calls long, n_results long, level long, valid boolean, exchange string")

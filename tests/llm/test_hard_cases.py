@@ -189,7 +189,7 @@ def test_tool_calls_of_bad_json(spark):
         '{"tool_calls": [5, null, {"id": 7, "name": "reply", "arguments": {"text": ""}, "after": [null, "a", 7.5]}]}',
         '{"tool_calls": 5}', "{", "[1]", None, "", deep,
     ]
-    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 50, "tool", '{"tool_call_id": null, "content": 1}'), (1, 51, "tool", "plain"), (1, 52, "tool", '{"tool_call_id": 7, "content": 2}'), (None, 0, "user", "x")]
+    rows = [(1, i, "assistant", t) for i, t in enumerate(texts)] + [(1, 50, "tool", '{"tool_call_id": null, "content": 1}'), (1, 51, "tool", "plain"), (1, 52, "tool", '{"tool_call_id": 7, "content": 2}'), (None, 0, "user", "x"), (None, 1, "assistant", texts[0].replace('"a"', '"turn-0"'))]
     found = toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     calls = [r for r in found if r["n_calls"]]
     assert sorted((str(r["call_id"]), r["level"], r["valid"]) for r in calls) == [("7", 1, False), ("None", 0, False), ("None", 0, True), ("\\ud800", 0, True), ("a", 0, True), ("turn-0", 0, True)]
@@ -199,6 +199,13 @@ def test_tool_calls_of_bad_json(spark):
         json.loads(r["exchange"], parse_constant=lambda c: pytest.fail(c))
 
 
+def test_ordinary_turns_are_neither_calls_nor_results(spark):
+    call = json.dumps({"tool_calls": [{"id": "c", "name": "reply", "arguments": {"text": "x"}}]})
+    rows = [("a-1", 0, "user", "please look"), ("a-1", 1, "assistant", call), ("a-1", 2, "tool", '{"tool_call_id": "c", "content": "found"}'), ("a-1", 3, "assistant", "here it is"), ("a-1", 4, "user", '{"tool_calls": [{"id": "d"}]}'), ("b-2", 0, "user", None)]
+    found = toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
+    assert [(r["conv_id"], r["call_id"], r["call_turn"], r["result_turn"], r["level"], r["valid"]) for r in found] == [("a-1", "c", 1, 2, 0, True)]
+
+
 def test_tool_call_schemas_with_limits():
     schema = {"f": {"required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 3}, "b": {"enum": ["x"]}, "c": {"type": "string", "maxLength": 2}}}}
     ok = ['{"a":1}', '{"a":3,"b":"x","c":"yy"}']
