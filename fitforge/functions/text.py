@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as standard
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +12,21 @@ from pyspark.sql import functions as F
 _SKIPPED = ("script", "style", "noscript", "head")
 _BLOCKS = "p|div|br|ul|ol|h1|h2|h3|h4|h5|h6|tr|section|article|header|footer|table|blockquote|pre"
 _TELLING = r"(?i)<(p|div|br|li|ul|ol|h[1-6]|span|strong|b|em|table)\b"
-# Named characters and frequent numbered ones, the ampersand last.
-_NAMED = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&#34;": '"', "&#160;": " ", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&#8217;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&hellip;": "…", "&middot;": "·", "&copy;": "©", "&amp;": "&",
-}
+# What may be a character's name or number; some names need no semicolon.
+_REFERENCE = "&(?:#[0-9]|#[xX][0-9A-Fa-f]|[A-Za-z])"
 
 
 def unescaped(text: Column) -> Column:
-    """Text with named characters in place of their names, one level of them."""
-    for name, new in _NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(new))
-    return text
+    """Text with characters in place of their HTML names and numbers, one level of them: all of the standard's.
+
+    Spark has no function for it; only texts that hold a reference go to Python, a batch at a time.
+    """
+
+    @F.arrow_udf("string")
+    def replaced(column: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or "&" not in x else standard.unescape(x) for x in column.to_pylist()], pa.string())
+
+    return F.when(text.rlike(_REFERENCE), replaced(F.when(text.rlike(_REFERENCE), text))).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -52,7 +58,7 @@ def english_list(items: Column) -> Column:
     """a, b and c."""
     n = F.size(items)
     head = F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(0))), ", ")
-    return F.when(n > 1, F.concat(head, F.lit(" and "), F.element_at(items, -1))).otherwise(F.array_join(items, ", "))
+    return F.when(n > 1, F.concat(head, F.lit(" and "), F.try_element_at(items, F.lit(-1)))).otherwise(F.array_join(items, ", "))
 
 
 def token_estimate(text: Column) -> Column:

@@ -208,14 +208,14 @@ def _skills_sql(n: str, shift: int) -> str:
     others AS (SELECT o_orderkey, list(skill ORDER BY r) AS names, max(weight) AS most FROM missing WHERE weight < 3 AND r <= 3 GROUP BY ALL),
     shown AS (SELECT o_orderkey, list(skill ORDER BY r) AS names, max(weight) AS most FROM matched WHERE r <= 3 GROUP BY ALL),
     items AS (
-        SELECT o_orderkey, 0 AS part, r AS nth, 'missing_skill' AS type, 'high' AS severity, 'This job requires ' || skill || '. If you''ve used it, add it to your skills and mention the project or role where you used it.' AS message FROM missing WHERE weight >= 3 AND r <= 3
-        UNION ALL SELECT o_orderkey, 1, 1, 'missing_skill', CASE WHEN most >= 2 THEN 'medium' ELSE 'low' END, 'The posting also mentions ' || CASE WHEN len(names) = 1 THEN names[1] ELSE array_to_string(names[:-2], ', ') || ' and ' || names[-1] END || '. If you have experience with any of these, list them.' FROM others
-        UNION ALL SELECT o_orderkey, 2, i, 'weak_requirement', CASE WHEN (o_orderkey + i) % 2 = 0 THEN 'high' ELSE 'medium' END, 'Your resume doesn''t clearly address: "' || o_orderpriority || ' ' || i || '". If you''ve done related work, describe it in a bullet with the result you achieved.' FROM orders, range(1, 3) r(i) WHERE i <= o_orderkey % 4
-        UNION ALL SELECT o_orderkey, 3, i, 'structure', 'medium', 'Resume check not met: ' || {_list([c[1] for c in rules.CHECKS])}[i] || '. ' || 'Detail ' || i FROM orders, range(1, 3) r(i) WHERE i <= o_orderkey % 5),
+        SELECT o_orderkey, 0 AS part, r AS nth, 'missing_skill' AS type, 'high' AS severity, 'The posting asks for ' || skill || ', which was not found. Name it, with the work it served, if it is part of what you do.' AS message FROM missing WHERE weight >= 3 AND r <= 3
+        UNION ALL SELECT o_orderkey, 1, 1, 'missing_skill', CASE WHEN most >= 2 THEN 'medium' ELSE 'low' END, 'Less important, but named as well: ' || CASE WHEN len(names) = 1 THEN names[1] ELSE array_to_string(names[:-2], ', ') || ' and ' || names[-1] END || '. Any of them that you know belongs in your list.' FROM others
+        UNION ALL SELECT o_orderkey, 2, i, 'weak_requirement', CASE WHEN (o_orderkey + i) % 2 = 0 THEN 'high' ELSE 'medium' END, 'Little was found on "' || o_orderpriority || ' ' || i || '". A bullet on work of that kind, and on what came of it, would show it.' FROM orders, range(1, 3) r(i) WHERE i <= o_orderkey % 4
+        UNION ALL SELECT o_orderkey, 3, i, 'structure', 'medium', 'Open point: ' || {_list([c[1] for c in rules.CHECKS])}[i] || ' (Detail ' || i || ')' FROM orders, range(1, 3) r(i) WHERE i <= o_orderkey % 5),
     kept AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY part, nth) AS place FROM items QUALIFY place <= 7),
     strengths AS (
-        SELECT o_orderkey, 'strength' AS type, 'low' AS severity, CASE WHEN names IS NULL THEN 'Your resume is clearly structured, which makes it easy for recruiters to scan.'
-               ELSE 'You already show ' || CASE WHEN len(names) = 1 THEN names[1] ELSE array_to_string(names[:-2], ', ') || ' and ' || names[-1] END || ', which ' || CASE WHEN most >= 3 THEN 'this job asks for' ELSE 'the posting mentions' END || '.' END AS message
+        SELECT o_orderkey, 'strength' AS type, 'low' AS severity, CASE WHEN names IS NULL THEN 'The text is well laid out and quick to read.'
+               ELSE 'Found and wanted: ' || CASE WHEN len(names) = 1 THEN names[1] ELSE array_to_string(names[:-2], ', ') || ' and ' || names[-1] END || '; ' || CASE WHEN most >= 3 THEN 'the posting asks for' ELSE 'the posting names' END || ' them.' END AS message
         FROM orders LEFT JOIN shown USING (o_orderkey))
     SELECT o_orderkey, place, type, severity, message FROM kept
     UNION ALL SELECT o_orderkey, 1 + coalesce((SELECT max(place) FROM kept k WHERE k.o_orderkey = s.o_orderkey), 0), type, severity, message FROM strengths s""")

@@ -33,6 +33,21 @@ def parsed_payloads(rows: DataFrame, column: str, schema: str) -> DataFrame:
     return rows.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("p")).select("p.*")
 
 
+def judged_payloads(rows: DataFrame, key: str, column: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Accepted payloads (``key`` and their fields) and rejects (``key``, reason, payload); each row is in one of them.
+
+    Rejected are missing payloads, texts that are no JSON of this shape (``malformed``),
+    and those without one of the ``required`` fields (``without`` and its name).
+    """
+    corrupt = "_corrupt"
+    parsed = rows.select(key, F.col(column).alias("payload"), F.from_json(column, f"{schema}, {corrupt} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("p"))
+    reason = F.when(F.col("payload").isNull() | (F.trim("payload") == ""), "missing").when(F.col("p").isNull() | F.col(f"p.{corrupt}").isNotNull(), "malformed")
+    for field in required:
+        reason = F.when(reason.isNotNull(), reason).when(F.col(f"p.{field}").isNull(), f"without {field}")
+    judged = parsed.withColumn("reason", reason)
+    return judged.where("reason is null").select(key, "p.*").drop(corrupt), judged.where("reason is not null").select(key, "reason", "payload")
+
+
 def normalise_a(payloads: DataFrame) -> DataFrame:
     """One row per posting of board A; first published, else updated."""
     j = payloads.select(F.explode("jobs").alias("j")).select("j.*")
