@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitforge.operators import pages
+from fitforge.operators import grids, pages
 from fitforge.plans.postings import _pick, _picked
 from fitforge.plans.queries import _query
 from fitforge.plans.resumes import _KEYS_SQL, HEADS
@@ -136,3 +136,33 @@ def _resume_rows(t) -> DataFrame:
     SELECT page, place, text, final AS key, coalesce(last_value(final IGNORE NULLS) OVER (PARTITION BY page ORDER BY place ROWS UNBOUNDED PRECEDING), 'header') AS section FROM others""")
 def lay6_headed_rows(t):
     return pages.headed_rows(_resume_rows(t), "page", "place").select("page", "place", "text", "key", "section")
+
+
+_CELL_WIDTH, _CELL_HEIGHT, _LEFT, _TOP = 50, 20, 100, 200
+
+
+def _lines(t) -> DataFrame:
+    """Ruling lines of each part's page: a grid of up to five rows and four columns, its lines a little apart and in two pieces; one in seven lacks its left side."""
+    p = F.col("p_partkey")
+    rows, columns = p % 6, p % 5
+    across = F.transform(F.sequence(F.lit(0), rows), lambda i: F.struct((_LEFT + p * 0.0).alias("x0"), (_TOP + i * _CELL_HEIGHT + p % 3 * 0.5).alias("y0"), (_LEFT + columns * _CELL_WIDTH + p * 0.0).alias("x1"), (_TOP + i * _CELL_HEIGHT + p * 0.0).alias("y1")))
+    half = rows * _CELL_HEIGHT / 2
+    down = F.flatten(F.transform(F.sequence(F.lit(0), columns), lambda i: F.transform(F.array(F.lit(0.0), half), lambda a: F.struct((_LEFT + i * _CELL_WIDTH + p * 0.0).alias("x0"), (_TOP + a + p * 0.0).alias("y0"), (_LEFT + i * _CELL_WIDTH + p * 0.0).alias("x1"), (_TOP + a + half - F.when(a == 0, 1.5).otherwise(0.0)).alias("y1")))))
+    kept = F.filter(F.concat(across, down), lambda x: ~((p % 7 == 0) & (x["x0"] == _LEFT) & (x["x1"] == _LEFT)))
+    return t("part").select(p.alias("page"), F.inline(kept))
+
+
+def _cell_spans(t) -> DataFrame:
+    """One text a line item of the part, in the middle of a place of the grid or beside it."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    x, y = _LEFT + (o % 5 + 0.5) * _CELL_WIDTH, _TOP + (n % 6 + 0.5) * _CELL_HEIGHT
+    return t("lineitem").select(F.col("l_partkey").alias("page"), (x - 5).alias("x0"), (y - 5).alias("y0"), (x + 5).alias("x1"), (y + 5).alias("y1"), _pick(TEXTS, o).alias("text"))
+
+
+@_query(f"""
+    WITH sized AS (SELECT p_partkey AS page, p_partkey % 6 AS r, p_partkey % 5 - (p_partkey % 7 = 0)::INT AS c, (p_partkey % 7 = 0)::INT AS skip FROM part),
+    texts AS (SELECT l_partkey AS page, l_orderkey % 5 AS x, l_linenumber % 6 AS y, length({_picked(TEXTS, 'l_orderkey')}) AS n FROM lineitem),
+    filled AS (SELECT page, r, c, x, y, sum(n) AS n FROM sized JOIN texts USING (page) WHERE x >= skip AND x < c + skip AND y < r GROUP BY ALL HAVING sum(n) > 0)
+    SELECT page, 0 AS nth, r::INT AS n_rows, c::INT AS n_columns, (r * c)::INT AS n_cells, count(*)::INT AS n_filled, sum(n)::BIGINT AS chars FROM filled WHERE r >= 2 AND c >= 2 GROUP BY page, r, c HAVING count(*) >= 4""")
+def lay8_tables(t):
+    return grids.tables(_lines(t), _cell_spans(t))
