@@ -1,9 +1,10 @@
 """Quality rules by an isolation forest over rule statistics.
 
 Trees split a small sample at random values of random statistics until rows stand
-alone; rows that few splits isolate are anomalous.  The forest is grown on a
-bounded sample; all rows are scored, and the score at which to cut comes from all
-labelled rows.
+alone; rows that few splits isolate are anomalous.  One forest looks at what texts are
+made of, one at how much they repeat, as an anomaly of one kind is no anomaly among
+statistics of the other.  Forests are grown on a bounded sample; all rows are scored, and
+the score at which each forest cuts comes from all labelled rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ TREES = 100
 #: Rows that a tree is grown on; TREES * TREE_ROWS rows are sampled from all documents.
 TREE_ROWS = 64
 SEED = 7
-#: Rate of good labelled rows that may fall under the cut.
-MOST_LOST = 0.002
+#: Rates of good labelled rows that the cut of each forest may lose.
+MOST_LOST, MOST_LOST_REPEATS = 0.002, 0.001
 
 BINS = 4096
 # Fixed values of the contract.
@@ -32,8 +33,9 @@ _LEAST_WORDS = 50
 _WINDOW = 3
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# What texts are made of; repetition is left to the base rules, which count it.
+# What texts are made of, and how much of them is said before.
 _STATISTICS = ("chars_per_word", "symbols_per_word", "upper_rate", "marks_per_word")
+_REPEATS = ("repeat_word_rate", "dup_line_rate")
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -66,6 +68,7 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     line = equal_spans(data[~is_break], line_ends - line_starts - (breaks[line_ends] - breaks[line_starts]))[0]
     busy = np.searchsorted(words.starts, line_ends) > np.searchsorted(words.starts, line_starts)
     text, line = np.searchsorted(bounds, line_starts[busy], "right") - 1, line[busy]
+    n_lines = np.bincount(text, minlength=len(texts))
     order = np.lexsort((line, text))
     again = np.zeros(len(order), bool)
     again[1:] = (line[order][1:] == line[order][:-1]) & (text[order][1:] == text[order][:-1])
@@ -94,6 +97,8 @@ def statistics(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         n_symbols / some,
         _per_text(_IS_UPPER[data], bounds) / chars,
         _per_text(_IS_MARK[data], bounds) / some,
+        n_repeat / some,
+        n_dup / np.maximum(n_lines, 1),
     )
     return np.stack((n_words, word_chars, n_symbols, n_dup, n_repeat)), np.stack(rates)
 
@@ -103,12 +108,12 @@ def _statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for texts in texts_of(batch.column(1)):
             counts, rates = statistics(texts)
             columns = [pa.array(c, pa.int64()) for c in counts] + [pa.array(r) for r in rates]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), *columns], names=["doc_id", *_COUNTS, *_STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(texts)), *columns], names=["doc_id", *_COUNTS, *_STATISTICS, *_REPEATS])
 
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts and the statistics of each row."""
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in _COUNTS), *(f"{s} double" for s in _STATISTICS)])
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in _COUNTS), *(f"{s} double" for s in _STATISTICS + _REPEATS)])
     return docs.select("doc_id", "text").mapInArrow(_statistic_rows, schema)
 
 
@@ -153,26 +158,33 @@ def anomaly_scores(forest: list[np.ndarray], rows: np.ndarray, tree_rows: int) -
     return 2.0 ** (-total / max(1, len(forest)) / max(1e-9, _usual_depth(tree_rows)))
 
 
-def fit_forest(stats: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> list[np.ndarray]:
-    """Trees on a sample of trees * tree_rows rows, those with the smallest hashes of doc_id."""
-    sample = stats.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(trees * tree_rows).select(*_STATISTICS).toPandas().to_numpy(float)
-    if not len(sample):
-        return []
-    rng = np.random.default_rng(seed)
-    return [grow_tree(sample[rng.choice(len(sample), min(tree_rows, len(sample)), replace=False)], rng) for _ in range(trees)]
+def fit_forests(stats: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> list[list[np.ndarray]]:
+    """Trees for _STATISTICS and trees for _REPEATS, on a sample of trees * tree_rows rows: those with the smallest hashes of doc_id."""
+    near = stats.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(trees * tree_rows).toPandas()
+    if not len(near):
+        return [[], []]
+    out = []
+    for columns in (_STATISTICS, _REPEATS):
+        sample, rng = near[list(columns)].to_numpy(float), np.random.default_rng(seed)
+        out.append([grow_tree(sample[rng.choice(len(sample), min(tree_rows, len(sample)), replace=False)], rng) for _ in range(trees)])
+    return out
 
 
-def _scored(stats: DataFrame, forest: list[np.ndarray], tree_rows: int) -> DataFrame:
+def _scored(stats: DataFrame, forests: list[list[np.ndarray]], tree_rows: int) -> DataFrame:
+    names = ["doc_id", *_COUNTS, "score", "repeat_score"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in _STATISTICS], axis=1)
-            score = anomaly_scores(forest, rows, tree_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *_COUNTS)), pa.array(score)], names=["doc_id", *_COUNTS, "score"])
+            scores = []
+            for columns, forest in zip((_STATISTICS, _REPEATS), forests, strict=True):
+                rows = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns], axis=1)
+                scores.append(pa.array(anomaly_scores(forest, rows, tree_rows)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), *scores], names=names)
 
-    return stats.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in _COUNTS), "score double"]))
+    return stats.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in _COUNTS), "score double", "repeat_score double"]))
 
 
-def calibrated_cut(scored: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST) -> float:
+def calibrated_cut(scored: DataFrame, labels: DataFrame, most_lost: float = MOST_LOST, score: str = "score") -> float:
     """The score above which rows are anomalous.
 
     Of the cuts that lose at most ``most_lost`` of the good labelled rows, the one
@@ -180,7 +192,7 @@ def calibrated_cut(scored: DataFrame, labels: DataFrame, most_lost: float = MOST
     kinds nothing is anomalous.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    place = F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).cast("int").alias("bin")
+    place = F.least(F.lit(BINS - 1), F.floor(F.col(score) * BINS)).cast("int").alias("bin")
     found = scored.join(known, "doc_id").groupBy(place).agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad")).toPandas()
     good, bad = np.zeros(BINS), np.zeros(BINS)
     if len(found):
@@ -195,16 +207,18 @@ def calibrated_cut(scored: DataFrame, labels: DataFrame, most_lost: float = MOST
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
+    """Per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, repeat_score, kept.
 
     ``base_failed``: under 50 words, or more than half of the words in repeated
-    windows of three.  ``kept``: not base_failed, and no anomaly by the forest.  Null
-    text has no words; labels of unknown documents do not count; repeated rows are
-    judged alike; an empty table gives no rows.
+    windows of three.  ``kept``: not base_failed, and no anomaly by either forest.  Null
+    text has no words; very long texts are measured whole; labels of unknown documents do
+    not count; rows without doc_id are judged but not sampled before others, and repeated
+    rows alike; an empty table gives no rows.
     """
     stats = cut(rule_statistics(docs), "statistics")
-    forest = fit_forest(stats.where(F.col("n_words") >= _LEAST_WORDS), trees, tree_rows, seed)
-    scored = cut(_scored(stats, forest, tree_rows), "scores")
     failed = (F.col("n_words") < _LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    at = calibrated_cut(scored.where(~failed), labels)
-    return scored.withColumn("base_failed", failed).select("doc_id", *_COUNTS, "base_failed", "score", (~F.col("base_failed") & (F.col("score") <= F.lit(at))).alias("kept"))
+    forests = fit_forests(stats.where(F.col("n_words") >= _LEAST_WORDS), trees, tree_rows, seed)
+    scored = cut(_scored(stats, forests, tree_rows), "scores")
+    fine = F.col("score") <= F.lit(calibrated_cut(scored.where(~failed), labels))
+    fresh = F.col("repeat_score") <= F.lit(calibrated_cut(scored.where(~failed), labels, MOST_LOST_REPEATS, "repeat_score"))
+    return scored.withColumn("base_failed", failed).select("doc_id", *_COUNTS, "base_failed", "score", "repeat_score", (~F.col("base_failed") & fine & fresh).alias("kept"))

@@ -305,6 +305,25 @@ def test_isolation_on_held_out_labels(spark):
     assert np.mean([a == b for a, b in judged]) > 0.95
 
 
+def test_texts_that_repeat_lines_are_anomalous(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in "aeiou" for c in ("n", "r", "st", "l")]
+
+    def text(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    plain = [(i, "\n".join(text(30) for _ in range(8))) for i in range(400)]
+    # ten short lines that come twice: few words, half of all lines
+    lines = [[text(2) for _ in range(10)] for _ in range(20)]
+    repeating = [(1000 + i, "\n".join([text(150), *x, *x])) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame([*plain, *repeating], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in plain[::2] + repeating[::2]], "doc_id long, quality int, toxic int")
+    found = {x["doc_id"]: x for x in isolation.quality_rules(docs, labels).collect()}
+    assert not any(x["base_failed"] for x in found.values())
+    assert not any(found[i]["kept"] for i, _ in repeating) and sum(not found[i]["kept"] for i, _ in plain) <= 2
+    assert min(found[i]["repeat_score"] for i, _ in repeating) > max(found[i]["repeat_score"] for i, _ in plain)
+
+
 def test_pipeline_on_hard_rows(spark, tmp_path):
     import corpus_pipeline
 
