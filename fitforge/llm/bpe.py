@@ -244,7 +244,10 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of what they decode to.
 
     Encodes and decodes in one pass, so that neither ids nor texts leave the task.
-    Null text counts as empty.  Rows stay as they are, repeated ones too.
+    Null text counts as empty and has no ids.  Very long texts are encoded whole, in a slice
+    of their own.  Rows stay as they are, repeated ones and those without doc_id too;
+    columns besides doc_id and text are left out, whatever their names; an empty table
+    gives no rows.
     """
     from hashlib import sha256
 

@@ -58,7 +58,9 @@ def exact_duplicates(docs: DataFrame, salts: int = SALTS, digest=_sha256) -> Dat
     the row with the most code points in its original text stays, then that with
     the smallest doc_id.  Null counts as empty.  Repeated rows (same doc_id and
     text) count in ``group_size`` each and are returned each.  A null doc_id loses
-    to any other; a group of nothing else keeps null.  An empty table gives no rows.
+    to any other; a group of nothing else keeps null.  Very long texts are compared whole,
+    like any other; columns of the caller's with the names of the result's do not matter.
+    An empty table gives no rows.
     """
     content = normalised(F.col("text"))
     rows = docs.select("doc_id", content.alias("content"), _rank(F.col("text"), F.col("doc_id")).alias("rank")).withColumn("digest", digest(F.col("content")))
@@ -102,7 +104,9 @@ def _result(joined: DataFrame, sha256: Column) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    Of a group without any doc_id one row stays, by the same order.
+    Of a group without any doc_id one row stays, by the same order.  Very long texts are
+    compared whole; of equal rows with one doc_id and text all stay; an empty table gives
+    no rows.
     """
     found, sha256 = exact_duplicates(docs, **options), _sha256(normalised(F.col("text")))
     kept = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256")).distinct()

@@ -394,6 +394,11 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Null and empty texts have no shingles and all stay, as do rows without doc_id; rows that
+    repeat a doc_id stay or go together.  Ties go to the smaller doc_id; very long texts
+    are compared whole; an empty table gives no rows.
+    """
     kept = similar_components(docs, **options).where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -235,7 +235,9 @@ def keep_target_like(docs: DataFrame, labels: DataFrame, k: int | None = None, b
     """The rows of ``docs`` that :func:`resample` keeps, with all their columns.
 
     Rows are weighed once more where they are read, which costs less than to shuffle
-    their texts; rows without doc_id are judged by their texts as well.
+    their texts; rows without doc_id are judged by their texts as well.  Null, empty and
+    very long texts, ties and repeated rows are judged as :func:`resample` says; an empty
+    table gives no rows.
     """
     _, ratio, passage, floor = _fitted(docs, labels, k, buckets, seed)
 

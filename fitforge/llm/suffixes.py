@@ -408,7 +408,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     smaller doc_id is removed; strings never cross documents and are judged on the
     input.  Null text counts as empty; texts under 50 bytes stay whole; repeated
     rows of a doc_id do not count against each other; a row with null doc_id stays
-    whole and counts against none.  An empty table gives no rows.
+    whole and counts against none.  Very long texts are looked at whole; other columns are
+    left out, whatever their names.  An empty table gives no rows.
     """
     spans = repeated_spans(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
