@@ -52,3 +52,23 @@ def first_mode(rows: DataFrame, group: str, values: list[str], order: str) -> Da
 def heading_above(rows: DataFrame, group: str, order: str, heading: Column) -> Column:
     """The last heading at or above a row; null before the first."""
     return F.last(heading, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+# The bands at the top and bottom of a page as shares of its height, pages on which a line repeats, and lines that number a page.
+_BANDS, _LEAST_PAGES = (0.08, 0.92), 2
+_PAGE_NUMBER = r"(?i)^(page\s*)?\d{1,3}(\s*(of|/)\s*\d{1,3})?$"
+
+
+def without_running_lines(rows: DataFrame, document: str, page: str, height: float) -> DataFrame:
+    """Rows (text, y0, y1) without numbers of pages, and without lines in the bands of pages that stand there on _LEAST_PAGES or more.
+
+    Lines that differ in case or digits only are the same one.  Each document is looked at by
+    itself; a row that is wholly in no band stays, however often it comes.
+    """
+    banded = (F.col("y1") <= _BANDS[0] * height) | (F.col("y0") >= _BANDS[1] * height)
+    line = F.when(banded, F.regexp_replace(F.lower("text"), r"\d+", "#"))
+    marked = rows.withColumn("_line", line)
+    # pages as a set: a line is on few of them
+    pages = F.size(F.collect_set(F.when(F.col("_line").isNotNull(), F.col(page))).over(Window.partitionBy(document, "_line")))
+    repeats = F.col("_line").isNotNull() & (F.col("_pages") >= _LEAST_PAGES)
+    return marked.withColumn("_pages", pages).where(~F.col("text").rlike(_PAGE_NUMBER) & ~repeats).drop("_line", "_pages")

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fitforge.operators import bullets
-from fitforge.plans.postings import _list, _pick, _picked
+from fitforge.operators import analysis, bullets, layout
+from fitforge.plans.postings import _pick, _picked
 from fitforge.plans.queries import _query
+from fitforge.plans.resumes import RULES_SQL, verb_forms
 
 ROWS = [
     "• Built a service for many people", "that ran for two years  without a stop", "Acme Corp, May 2020 - June 2021", "- Led a team of twelve", "Grew sales by a third.", "o Owned the plan", "oval tables were sold here", "Wrote many words.", "skills",
@@ -84,3 +85,41 @@ def lay7_bullets(t):
 @_query(rf"WITH RECURSIVE {_ROWS_SQL} SELECT document, place::INT AS place, text FROM fold WHERE title AND section = 'experience'")
 def lay7_job_titles(t):
     return bullets.job_titles(resume_rows(t), "document", "place")
+
+
+_BULLETS_SQL = rf"""{_ROWS_SQL},
+    joined AS (SELECT document, section, block, nth, trim(regexp_replace(string_agg(CASE WHEN glyph THEN text[2:] ELSE text END, ' ' ORDER BY place), '\s+', ' ', 'g')) AS text FROM fold WHERE NOT title AND section IN ('experience', 'projects', 'activities') GROUP BY ALL),
+    bullets AS (SELECT document AS l_orderkey, row_number() OVER (PARTITION BY document ORDER BY block, nth) AS l_linenumber, left(text, 500) AS bullet FROM joined WHERE len(regexp_extract_all(text, '\S+')) >= 3)"""
+
+
+@_query(rf"""
+    WITH RECURSIVE {_BULLETS_SQL}, {RULES_SQL},
+    seen AS (SELECT document, count(DISTINCT page) AS n_pages, coalesce(list(DISTINCT key) FILTER (key IS NOT NULL), []) AS keys FROM rows GROUP BY document),
+    counts AS (SELECT l_orderkey AS document, count(*) AS n, count(*) FILTER (verb) AS v FROM ruled WHERE l_linenumber <= 80 GROUP BY ALL),
+    found AS (SELECT document, n_pages, keys, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM seen LEFT JOIN counts USING (document))
+    SELECT document, n AS n_bullets, v AS n_verbs, n_pages,
+           (CASE WHEN list_contains(keys, 'experience') THEN 15 ELSE 0 END + CASE WHEN list_contains(keys, 'skills') THEN 10 ELSE 0 END + CASE WHEN n >= 3 AND v >= 0.7 * n THEN 20 ELSE 0 END + CASE WHEN n_pages <= 2 THEN 10 ELSE 0 END + 5) / 100 AS score FROM found""")
+def prj13_resume_analyses(t):
+    return analysis.analysed_resumes(resume_rows(t), "document", "place", verb_forms(t)).select("document", "n_bullets", "n_verbs", "n_pages", "score")
+
+
+HEIGHT = 800
+_BANDS = ["Jane Doe, page 1", "JANE DOE, PAGE 12", "Curriculum", "3", "Page 4 of 5", "6 / 7", "confidential"]
+
+
+def _banded_rows(t) -> DataFrame:
+    """Rows of four pages a document (a part), some in the bands at the top and bottom, where lines repeat."""
+    p, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    y = F.when(n == 1, 20.0).when(n == 2, 770.0).otherwise(100.0 + n * 50)
+    text = F.when(n <= 2, _pick(_BANDS, o + p)).when(o % 9 == 0, _pick(_BANDS, o)).otherwise(_pick(ROWS, o))
+    return t("lineitem").select(p.alias("document"), (o % 4).cast("int").alias("page"), (o * 10 + n).alias("row"), y.alias("y0"), (y + 12).alias("y1"), text.alias("text"))
+
+
+@_query(rf"""
+    WITH raw AS (SELECT l_partkey AS document, l_orderkey % 4 AS page, l_orderkey * 10 + l_linenumber AS row, l_linenumber <= 2 AS banded,
+                        CASE WHEN l_linenumber <= 2 THEN {_picked(_BANDS, 'l_orderkey + l_partkey')} WHEN l_orderkey % 9 = 0 THEN {_picked(_BANDS, 'l_orderkey')} ELSE {_picked(ROWS, 'l_orderkey')} END AS text FROM lineitem),
+    repeated AS (SELECT document, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS line FROM raw WHERE banded GROUP BY ALL HAVING count(DISTINCT page) >= 2)
+    SELECT document, page::INT AS page, row, text FROM raw
+    WHERE NOT regexp_matches(lower(text), '^(page )?[0-9]{{1,3}}( ?(of|/) ?[0-9]{{1,3}})?$') AND NOT (banded AND (document, regexp_replace(lower(text), '[0-9]+', '#', 'g')) IN (SELECT (document, line) FROM repeated))""")
+def agg13_without_running_headers(t):
+    return layout.without_running_lines(_banded_rows(t), "document", "page", HEIGHT).select("document", "page", "row", "text")

@@ -43,12 +43,13 @@ _FORMS_SQL = rf"""
             FROM verbs WHERE NOT v LIKE '#%'))"""
 
 
-def _forms(t) -> list[str]:
+def verb_forms(t) -> list[str]:
     spark = t("region").sparkSession
     return [r["form"] for r in rules.verb_forms(spark.createDataFrame([(v,) for v in VERBS], "verb string")).collect()]
 
 
-_RULES_SQL = rf"""{BULLETS_SQL}, {_FORMS_SQL},
+# over a table bullets (l_orderkey, l_linenumber, bullet)
+RULES_SQL = rf"""{_FORMS_SQL},
     openers AS (SELECT unnest({_list(rules.WEAK_OPENERS)}) AS opener, generate_subscripts({_list(rules.WEAK_OPENERS)}, 1) AS place),
     weak AS (SELECT bullet, arg_min(opener, place) AS opener FROM (SELECT DISTINCT bullet FROM bullets) JOIN openers ON starts_with(lower(bullet), opener) GROUP BY bullet),
     bare AS (SELECT DISTINCT bullet, regexp_replace(bullet, '^[^A-Za-z]+', '') AS b FROM bullets),
@@ -63,15 +64,18 @@ _RULES_SQL = rf"""{BULLETS_SQL}, {_FORMS_SQL},
         FROM (SELECT l_orderkey, l_linenumber, bullet, left(bullet, length(rtrim(opener))) AS opener FROM bullets LEFT JOIN weak USING (bullet)) JOIN firsts USING (bullet))"""
 
 
+_RULES_SQL = f"{BULLETS_SQL}, {RULES_SQL}"
+
+
 @_query(f"WITH {_RULES_SQL} SELECT l_orderkey, l_linenumber, opener, verb, measured FROM ruled")
 def txt14_bullet_rules(t):
     b = F.col("bullet")
-    return bullets(t).select("l_orderkey", "l_linenumber", rules.weak_opener(b).alias("opener"), rules.opens_with_verb(b, _forms(t)).alias("verb"), rules.is_measured(b).alias("measured"))
+    return bullets(t).select("l_orderkey", "l_linenumber", rules.weak_opener(b).alias("opener"), rules.opens_with_verb(b, verb_forms(t)).alias("verb"), rules.is_measured(b).alias("measured"))
 
 
 @_query(f"WITH {_FORMS_SQL} SELECT p_partkey, p_size, form FROM part JOIN (SELECT form, row_number() OVER (ORDER BY form) - 1 AS i FROM forms) f ON p_partkey % (SELECT count(*) FROM forms) = i")
 def txt13_verb_forms(t):
-    forms = sorted(_forms(t))
+    forms = sorted(verb_forms(t))
     return t("part").select("p_partkey", "p_size", _pick(forms, F.col("p_partkey")).alias("form"))
 
 
@@ -124,7 +128,7 @@ def flt12_readable_text(t):
 
 
 def _statistics(t) -> DataFrame:
-    return rules.bullet_statistics(bullets(t), "l_orderkey", "bullet", _forms(t))
+    return rules.bullet_statistics(bullets(t), "l_orderkey", "bullet", verb_forms(t))
 
 
 _SECTION_KEYS = ["experience", "education", "skills", "projects", "summary"]

@@ -261,3 +261,46 @@ def test_similarity_of_vectors_of_several_lengths(spark):
             assert [(r["vec_id"], r["similarity"]) for r in found] == [(5, 1.0), (2, 0.6)]
             each = vectors.nearest_of_each(v, v.where("label = 0"), 9, "vec_id", other="label").collect()
             assert {(r["vec_id"], r["similarity"]) for r in each} == {(5, 1.0), (2, 0.6)}
+
+
+def test_a_resume_from_its_rows_to_its_score(spark):
+    from fitforge.operators import analysis, bullets, pages
+
+    def line(text, size=11.0, bold=False, x0=36.0, glyph=False, gap=2.0):
+        nonlocal y
+        spans.append((1, len(spans), "•", x0, y - 1, x0 + 4, y - 1 + size * 1.15, size, False, False)) if glyph else None
+        at = x0 + 18 if glyph else x0
+        spans.append((1, len(spans), text, at, y, at + len(text) * size * 0.5, y + size * 1.15, size, bold, False))
+        y += size * 1.15 + gap
+
+    spans, y = [], 50.0
+    line("Jane Doe", 14.0, True)
+    line("jane@mail.example.com, (030) 1234 5678 90")
+    for heading, rows in {
+        "EXPERIENCE": [("Acme Corp, May 2020 - Present", {"bold": True}), ("Built a pipeline that", {"glyph": True, "x0": 54.0}), ("handles 10,000 users a day", {"x0": 72.0}), ("Led a team and cut costs by 30%", {"glyph": True, "x0": 54.0}), ("Helped with many things", {"glyph": True, "x0": 54.0}), ("two words", {"glyph": True, "x0": 54.0})],
+        "EDUCATION": [("State University of Somewhere", {})],
+        "SKILLS": [("Python, Go", {})],
+        "PROJECTS": [("Designed a thing. ", {}), ("Wrote $5,000 worth of code", {}), ("and more of it", {})],
+    }.items():
+        line(heading, 12.0, True, gap=4.0)
+        for text, how in rows:
+            line(text, **how)
+    frame = spark.createDataFrame(spans, "page long, span long, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, italic boolean")
+    rows = pages.headed_rows(pages.page_rows(frame, 612, 792).withColumn("document", F.lit(7)), "document", "place").withColumn("page", F.lit(0))
+    found = [(r["section"], r["nth"], r["text"]) for r in bullets.assembled(rows, "document", "place").orderBy("nth").collect()]
+    assert found == [("experience", 1, "Built a pipeline that handles 10,000 users a day"), ("experience", 2, "Led a team and cut costs by 30%"), ("experience", 3, "Helped with many things"), ("projects", 4, "Designed a thing."), ("projects", 5, "Wrote $5,000 worth of code and more of it")]
+    assert [r["text"] for r in bullets.job_titles(rows, "document", "place").collect()] == ["Acme Corp, May 2020 - Present"]
+    r = analysis.analysed_resumes(rows, "document", "place", ["built", "led", "designed", "wrote"]).first()
+    assert (r["n_bullets"], r["n_verbs"], r["n_measured"], r["weak"], r["n_pages"]) == (5, 4, 3, '"Helped" (1×)', 1)
+    assert all(c["passed"] for c in r["checks"]) and r["score"] == 1.0
+    facts = spark.createDataFrame([(7, True, 0.5)], "document int, trapped boolean, table_share double")
+    assert analysis.analysed_resumes(rows, "document", "place", ["built"], facts).first()["score"] == 0.75
+
+
+def test_running_lines_go(spark):
+    from fitforge.operators import layout
+
+    rows = [(1, 0, 10.0, "Jane Doe 1"), (1, 1, 10.0, "JANE DOE 22"), (1, 0, 400.0, "Jane Doe 1"), (1, 0, 780.0, "Page 1 of 2"), (1, 1, 300.0, "12/13"), (1, 1, 300.0, "1234"), (1, 0, 780.0, "only here"), (2, 0, 10.0, "Jane Doe 1"), (2, 0, 20.0, "Jane Doe 1")]
+    frame = spark.createDataFrame([(d, p, y, y + 10, t) for d, p, y, t in rows], "document long, page int, y0 double, y1 double, text string")
+    found = sorted((r["document"], r["y0"], r["text"]) for r in layout.without_running_lines(frame, "document", "page", 800).collect())
+    assert found == [(1, 300.0, "1234"), (1, 400.0, "Jane Doe 1"), (1, 780.0, "only here"), (2, 10.0, "Jane Doe 1"), (2, 20.0, "Jane Doe 1")]
