@@ -12,6 +12,7 @@ from fitforge.operators import batches
 from fitforge.plans.postings import _pick, _picked
 from fitforge.plans.queries import _query
 from fitforge.sources import boards
+from fitforge.streaming import folds, ordered
 
 # Texts of a request, tokens a minute and the share of them that a request may take.
 MOST_TEXTS, TOKENS, HEADROOM = 128, 10_000, 0.9
@@ -144,3 +145,11 @@ def dml11_rewritten_partitions(t):
     gone = stored.where("o_orderpriority in ('1-URGENT', '5-LOW') and o_custkey % 3 = 0")
     storage.rewrite_partitions(stored, path, "o_orderpriority", gone, lambda old: old.where("o_custkey % 3 <> 0 or o_custkey is null"))
     return spark.read.schema(rows.schema).parquet(path)
+
+
+@_query()
+def win10_paced_requests(t):
+    """When each client's requests go out under limits of three requests and 150 units an hour: every event is a request that costs its value."""
+    e = t("events").select("event_id", "user_id", "ts", F.ceil("value").cast("long").alias("tokens"))
+    sent = ordered.in_order(e, "user_id", "ts", folds.paced("tokens", "event_id", 3, 150, 3600))
+    return sent.select("event_id", "user_id", "tokens", "sent")

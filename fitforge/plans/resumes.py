@@ -105,7 +105,7 @@ _HEADS_SQL = rf"""
 @_query(f"WITH {_HEADS_SQL} SELECT l_orderkey, l_linenumber, norm, key FROM (SELECT l_orderkey, l_linenumber, {_picked(HEADS, 'l_partkey + l_linenumber')} AS h FROM lineitem) JOIN norms USING (h) LEFT JOIN keyed USING (h)")
 def txt12_resume_headings(t):
     h = _pick(HEADS, F.col("l_partkey") + F.col("l_linenumber"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", rules.normalised_heading(h).alias("norm"), rules.heading_key(h).alias("key"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", rules.heading(h).alias("h")).select("l_orderkey", "l_linenumber", "h.norm", "h.key")
 
 
 _ODD = ["ﬁne​tuned", "soft­hyphen\ttab", "①②Ⅳ", "Ｆｕｌｌ", "plain﻿"]

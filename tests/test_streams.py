@@ -88,3 +88,35 @@ def test_a_client_that_sends_too_much_waits(spark):
     start = int(BEGIN.replace(tzinfo=datetime.UTC).timestamp())
     # the large one goes out alone; then three small ones, and one when these are a minute old
     assert [(r["sent"] // 1_000_000) - start for r in found] == [0, 0, 60, 120, 120, 120, 180]
+
+
+def test_requests_go_out_as_early_as_the_limits_allow(spark):
+    from fitforge.plans import ingestion  # noqa: F401 - registers its queries
+    from fitforge.plans.queries import QUERIES
+
+    span, most, budget = 3600 * 1_000_000, 3, 150
+    data = "/root/testdata/sf0.001"
+    arrived = {r["event_id"]: int(r["ts"].replace(tzinfo=datetime.UTC).timestamp() * 1_000_000 + 0.5) for r in spark.read.parquet(f"{data}/events.parquet").collect()}
+    by_user: dict = {}
+    for r in QUERIES["win10_paced_requests"](spark, data).collect():
+        by_user.setdefault(r["user_id"], []).append((arrived[r["event_id"]], r["event_id"], r["sent"], r["tokens"]))
+    assert sum(map(len, by_user.values())) == len(arrived)
+    waited = 0
+    for rows in by_user.values():
+        rows.sort()
+        before: list = []
+        for at, _, sent, tokens in rows:
+            earliest = max(at, before[-1][0] if before else at)
+
+            def fits(now, tokens=tokens, before=before):
+                inside = [x for x in before if now - x[0] < span]
+                return not inside or (len(inside) < most and sum(x[1] for x in inside) + tokens <= budget)
+
+            assert sent >= earliest and fits(sent)
+            # what is in the way goes when one of those sent before is old enough, and not before
+            chances = sorted({earliest} | {x[0] + span for x in before if x[0] + span >= earliest})
+            first = next(c for c in chances if fits(c))
+            assert first <= sent <= first + 100_000 * len(before)
+            waited += sent > at
+            before.append((sent, tokens))
+    assert waited > 10
