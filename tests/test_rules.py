@@ -77,7 +77,7 @@ def test_feedback_has_a_strength_and_no_more_than_eight_items(spark):
     found = [r[0] for r in spark.createDataFrame(rows, kind).select(resumes.template_feedback(*map(F.col, ("matched", "missing", "weak", "failed")))).collect()]
     assert [len(x) for x in found] == [8, 1] and [x[-1]["type"] for x in found] == ["strength", "strength"]
     assert [x["severity"] for x in found[0]] == ["high", "high", "high", "medium", "high", "medium", "medium", "low"]
-    assert "B and A, which this job asks for" in found[0][-1]["message"] and "t0, t1 and t2" in found[0][3]["message"]
+    assert "B and A; the posting asks for" in found[0][-1]["message"] and "t0, t1 and t2" in found[0][3]["message"]
 
 
 def test_skill_mentions(spark):
