@@ -118,7 +118,7 @@ def tables(lines: DataFrame, spans: DataFrame) -> DataFrame:
     box = ["page", "x0", "y0", "x1", "y1"]
     both = lines.select(*box, F.lit(None).cast("int").alias("chars")).unionByName(spans.select(*box, F.length(F.coalesce("text", F.lit(""))).alias("chars")))
     gathered = both.groupBy("page").agg(F.collect_list(F.struct(*box[1:], "chars")).alias("spans"))
-    found = pages._page_by_page(gathered, "tables array<struct<n_rows:int,n_columns:int,n_cells:int,n_filled:int,chars:bigint>>", _tables)
+    found = pages.page_by_page(gathered, "tables array<struct<n_rows:int,n_columns:int,n_cells:int,n_filled:int,chars:bigint>>", _tables)
     numbered = F.transform("tables", lambda t, i: F.struct(i.alias("nth"), *(t[c].alias(c) for c in ("n_rows", "n_columns", "n_cells", "n_filled", "chars"))))
     return found.select("page", F.inline(numbered))
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitforge.operators import vectors
+from fitforge.storage import written
 
 #: Rows that centroids are fitted on, at most: those with the smallest hashes of their keys.
 SAMPLE_ROWS = 20_000
@@ -133,17 +134,18 @@ def build(rows: DataFrame, key: str, other: str, path: str, sample_rows: int = S
     return Index(spark.read.parquet(f"{path}/blocks"), parts, centroids, key, other)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, probes: int, least: float | None = None) -> DataFrame:
     """query_key, key, other, similarity: the ``k`` best rows of each query in its ``probes`` nearest cells.
 
     Rows with the query's value of ``other`` do not count, and are left out before the
-    limit.  Queries that find fewer than k rows are searched for in all cells, so that none
-    is left short by the cells; queries without a vector find nothing.
+    limit.  Rows less similar than ``least`` stay behind where they are found, so that
+    cells do not send k rows each.  Queries that find fewer than k rows are searched for
+    in all cells and without that bound, so that neither leaves one short; queries without
+    a vector find nothing.
     """
-    found = _searched(index, queries, k, min(probes, index.n_cells))
-    if probes < index.n_cells:
-        spark = queries.sparkSession
-        found = _written(found, spark)
+    found = _searched(index, queries, k, min(probes, index.n_cells), least)
+    if probes < index.n_cells or least is not None:
+        found = written(found, "found")
         enough = found.groupBy("q").count().where(F.col("count") >= k)
         short = queries.join(enough, F.col(index.key).cast("long") == enough["q"], "left_anti")
         if short.limit(1).count():
@@ -152,39 +154,44 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
     return found.select(F.col("q").alias(f"query_{index.key}"), F.col("k").alias(index.key), F.col("o").alias(index.other), "similarity")
 
 
-def _searched(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
+def _searched(index: Index, queries: DataFrame, k: int, probes: int, least: float | None = None) -> DataFrame:
     near = _assigned(queries, index.key, index.other, index.centroids, probes)
     # a query goes to each part of its cells, a block of queries to each block of a part
     asked = near.join(F.broadcast(index.parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = _packed(asked.repartition("cell", "part").sortWithinPartitions("cell", "part", "key"), vectors.BLOCK)
     pairs = index.blocks.join(asked.toDF("cell", "part", "q_keys", "q_others", "q_units"), ["cell", "part"])
-    return vectors.best_of_blocks(pairs, k)
+    return vectors.best_of_blocks(pairs, k, least)
 
 
-def _written(rows: DataFrame, spark) -> DataFrame:
-    """``rows`` computed once for several uses, by a checkpoint where the session has a folder for it."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return rows.checkpoint()
-    return rows
+@dataclass(frozen=True)
+class Probing:
+    """How to search: cells for each query, and the similarity below which rows are not worth sending on."""
+
+    probes: int
+    least: float | None
 
 
-def needed_probes(index: Index, rows: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, most_queries: int = PROBE_QUERIES) -> int:
-    """The least number of cells in which at most ``most_queries`` of the queries find ``recall`` of their true neighbours.
+def measured_probing(index: Index, rows: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, most_queries: int = PROBE_QUERIES) -> Probing:
+    """The least number of cells in which at most ``most_queries`` of the queries find ``recall`` of their true neighbours, and the similarity of the farthest of these.
 
     These few are searched for exactly among all ``rows``; then it is known in which cells
-    their neighbours lie, and the how-many-th cell of the query each is.
+    their neighbours lie, and the how-many-th cell of the query each is.  If one of them has
+    fewer than k neighbours, similarity sets no bound.
     """
     few = _sampled(queries.where(F.col("embedding").isNotNull()), index.key, most_queries)
-    true = vectors.nearest_of_each(rows, few, k, index.key, other=index.other)
+    true = written(vectors.nearest_of_each(rows, few, k, index.key, other=index.other), "true")
     cells = _assigned(rows.join(true.select(F.col(index.key).alias("_k")).distinct(), F.col(index.key) == F.col("_k"), "left_semi"), index.key, index.other, index.centroids, 1)
     order = _assigned(few, index.key, index.other, index.centroids, index.n_cells)
     placed = true.join(cells.select(F.col("key").alias(index.key), "cell"), index.key)
     placed = placed.join(order.select(F.col("key").alias(f"query_{index.key}"), "cell", "nth"), [f"query_{index.key}", "cell"])
     # as many rows as there are cells
     counts = dict(placed.groupBy("nth").count().collect())
+    each = true.groupBy(f"query_{index.key}").agg(F.count("*").alias("n"), F.min("similarity").alias("last"))
+    fewest, last = each.agg(F.min("n"), F.min("last")).first()
+    least = last if fewest is not None and fewest >= k else None
     reached, total = 0, sum(counts.values())
     for nth in range(index.n_cells):
         reached += counts.get(nth, 0)
         if reached >= recall * total:
-            return nth + 1
-    return index.n_cells
+            return Probing(nth + 1, least)
+    return Probing(index.n_cells, least)

@@ -88,7 +88,7 @@ def _gathered(spans: DataFrame) -> DataFrame:
     return spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("span", *(c for c in spans.columns if c not in ("page", "span"))))).alias("spans"))
 
 
-def _page_by_page(pages: DataFrame, made: str, f: Callable[[dict], dict[str, list]]) -> DataFrame:
+def page_by_page(pages: DataFrame, made: str, f: Callable[[dict], dict[str, list]]) -> DataFrame:
     """``pages`` with columns ``made`` (DDL) as ``f`` gives them for the spans of a page, a dict of lists."""
     new = T.StructType.fromDDL(made)
 
@@ -159,13 +159,13 @@ def _regions(page: dict, gutter: float | None, height: float) -> list[int]:
 
 def gutters(spans: DataFrame, width: int, height: int) -> DataFrame:
     """page and gutter (x) of the pages with two columns."""
-    found = _page_by_page(_gathered(spans), "gutter double", lambda page: {"gutter": _gutter(page, width, height)})
+    found = page_by_page(_gathered(spans), "gutter double", lambda page: {"gutter": _gutter(page, width, height)})
     return found.where("gutter is not null").select("page", "gutter")
 
 
 def page_regions(spans: DataFrame, width: int, height: int) -> DataFrame:
     """Spans with ``region``: 0 above the columns or on pages without, 1 left (and across), 2 right."""
-    found = _page_by_page(_gathered(spans), "regions array<int>", lambda page: {"regions": _regions(page, _gutter(page, width, height), height)})
+    found = page_by_page(_gathered(spans), "regions array<int>", lambda page: {"regions": _regions(page, _gutter(page, width, height), height)})
     return found.select("page", F.inline(F.transform("spans", lambda s, i: s.withField("region", F.col("regions")[i])))).select(*spans.columns, "region")
 
 
@@ -237,7 +237,7 @@ def text_rows(spans: DataFrame) -> DataFrame:
 
 
 def _in_rows(spans: DataFrame, regions: Callable[[dict], list[int]]) -> DataFrame:
-    found = _page_by_page(_gathered(spans), f"rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>", lambda page: {"rows": _rows_of(page, regions(page))})
+    found = page_by_page(_gathered(spans), f"rows array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>", lambda page: {"rows": _rows_of(page, regions(page))})
     return found.select("page", F.inline("rows"))
 
 

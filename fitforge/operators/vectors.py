@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 MOST_BULLETS = 80
 #: Vectors of a block where many are searched for at once.
 BLOCK = 1_000
+#: Tasks that the pairs of one block of queries are dealt over.
+SPREAD = 8
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -109,16 +111,27 @@ def blocks(rows: DataFrame, key: str, other: str, size: int = BLOCK) -> DataFram
     return cast.mapInArrow(run, "keys array<long>, others array<long>, units binary")
 
 
-def best_of_blocks(pairs: DataFrame, k: int) -> DataFrame:
+def best_of_blocks(pairs: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """q, k, o, similarity: the ``k`` best vectors of each query, out of pairs of blocks.
 
     A pair (keys, others, units of vectors and q_keys, q_others, q_units of queries) is one
     matrix product.  Only vectors with another value of ``others`` than the query's count;
-    of each pair the k best of each query go on.  Best are the most similar, then those
-    with the smallest keys.
+    of each pair, and of pairs of the same queries that follow each other, the k best of
+    each query go on, and of these only those with a similarity of ``least`` or more.
+    Best are the most similar, then those with the smallest keys.
     """
 
+    def best(found: np.ndarray, keys: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((keys, -found), axis=1)[:, :k]
+        return [np.take_along_axis(x, order, axis=1) for x in (found, keys, others)]
+
+    def rows_of(q_keys: np.ndarray, found: np.ndarray, keys: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+        there = found > -np.inf
+        queries = np.broadcast_to(q_keys[:, None], found.shape)
+        return pa.RecordBatch.from_arrays([pa.array(x[there]) for x in (queries, keys, others, found)], names=["q", "k", "o", "similarity"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asked = None, None
         for batch in batches:
             for i in range(len(batch)):
                 keys, others, q_keys, q_others = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("keys", "others", "q_keys", "q_others"))
@@ -127,15 +140,20 @@ def best_of_blocks(pairs: DataFrame, k: int) -> DataFrame:
                     continue
                 found = np.round(q_units @ units.T, 12)
                 found[q_others[:, None] == others[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, found.shape), -found), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(q_keys)), order.shape[1])
-                columns, best = order.ravel(), np.take_along_axis(found, order, axis=1).ravel()
-                there = best > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(q_keys[rows][there]), pa.array(keys[columns][there]), pa.array(others[columns][there]), pa.array(best[there])], names=["q", "k", "o", "similarity"])
+                if least is not None:
+                    found[found < least] = -np.inf
+                new = best(found, np.broadcast_to(keys, found.shape), np.broadcast_to(others, found.shape))
+                if held is not None and np.array_equal(asked, q_keys):
+                    new = best(*(np.concatenate(x, axis=1) for x in zip(held, new, strict=True)))
+                elif held is not None:
+                    yield rows_of(asked, *held)
+                held, asked = new, q_keys
+        if held is not None:
+            yield rows_of(asked, *held)
 
     scored = pairs.mapInArrow(run, "q long, k long, o long, similarity double")
-    best = Window.partitionBy("q").orderBy(F.desc("similarity"), "k")
-    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    place = Window.partitionBy("q").orderBy(F.desc("similarity"), "k")
+    return scored.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k).drop("_n")
 
 
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *filters: Column, other: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -157,7 +175,9 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, *f
         best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
         return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
     pairs = blocks(vectors, key, other, block).crossJoin(blocks(queries, key, other, block).toDF("q_keys", "q_others", "q_units"))
-    kept = best_of_blocks(pairs.repartition(F.xxhash64("keys", "q_keys")), k)
+    # the pairs of a block of queries go to SPREAD tasks at most, so that only so many lists of k rows follow for a query
+    dealt = [F.xxhash64("q_keys"), F.pmod(F.xxhash64("keys"), F.lit(SPREAD))]
+    kept = best_of_blocks(pairs.repartition(*dealt).sortWithinPartitions(*dealt), k)
     return kept.select(F.col("q").alias(f"query_{key}"), F.col("k").alias(key), F.col("o").alias(other), "similarity")
 
 

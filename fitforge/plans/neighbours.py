@@ -20,7 +20,8 @@ def top1_indexed_neighbours(t):
     v = t("embeddings")
     queries = v.where("vec_id % 20 = 0")
     index = neighbours.build(v, "vec_id", "label", new_folder(v.sparkSession, "index"))
-    found = written(neighbours.search(index, queries, MOST, neighbours.needed_probes(index, v, queries, MOST)), "found")
+    probing = neighbours.measured_probing(index, v, queries, MOST)
+    found = written(neighbours.search(index, queries, MOST, probing.probes, probing.least), "neighbours")
     true = vectors.nearest_of_each(v, queries, MOST, "vec_id", other="label").select("query_vec_id", "vec_id", F.lit(True).alias("hit"))
     judged = true.join(found.select("query_vec_id", "vec_id", F.lit(True).alias("there")), ["query_vec_id", "vec_id"], "left")
     recall = judged.agg((F.count("there") >= LEAST_RECALL * F.count("hit")).alias("recalled"))

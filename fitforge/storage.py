@@ -9,6 +9,7 @@ nothing of it, and of two writers one is refused.
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -22,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one on local masters without the setting, as in tests."""
     found = spark.conf.get(_SETTING, None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="fitforge-")
         spark.conf.set(_SETTING, found)

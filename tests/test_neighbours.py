@@ -47,9 +47,9 @@ def test_all_cells_give_the_true_neighbours(index):
 def test_few_cells_reach_the_measured_recall(index):
     rows, table, found = index
     asked = table.where("vec_id % 20 = 0")
-    probes = neighbours.needed_probes(found, table, asked, 10, 0.95)
-    assert 1 <= probes < found.n_cells
-    got = {(r["query_vec_id"], r["vec_id"]) for r in neighbours.search(found, asked, 10, probes).collect()}
+    probing = neighbours.measured_probing(found, table, asked, 10, 0.95)
+    assert 1 <= probing.probes < found.n_cells and 0 < probing.least < 1
+    got = {(r["query_vec_id"], r["vec_id"]) for r in neighbours.search(found, asked, 10, probing.probes, probing.least).collect()}
     true = {(q, i) for q, near in brute(rows, [r[0] for r in rows if r[0] % 20 == 0], 10).items() for i in near}
     assert len(got) == len(true) and len(got & true) >= 0.9 * len(true)
 
@@ -57,8 +57,9 @@ def test_few_cells_reach_the_measured_recall(index):
 def test_queries_that_one_cell_leaves_short_get_the_rest(index):
     rows, table, found = index
     most = sum(x != 0 for _, x, _ in rows)
-    result = neighbours.search(found, table.where("vec_id in (0, 20)"), most, 1)
-    assert {r["query_vec_id"]: r["count"] for r in result.groupBy("query_vec_id").count().collect()} == {0: most, 20: most}
+    for probes, least in ((1, None), (1, 0.5), (found.n_cells, 2.0)):
+        result = neighbours.search(found, table.where("vec_id in (0, 20)"), most, probes, least)
+        assert {r["query_vec_id"]: r["count"] for r in result.groupBy("query_vec_id").count().collect()} == {0: most, 20: most}
 
 
 def test_cells_with_many_rows_lie_in_parts(spark, tmp_path, monkeypatch):
