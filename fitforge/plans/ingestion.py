@@ -79,7 +79,7 @@ def scr12_chosen_feedback(t):
 
 # ---------------------------------------------------------------- addresses and payloads
 
-_BOARDS = [urls.Board("a", r"(?:\w+\.)+example\.com", r"/([a-z]{2})/(\d{1,20})/?"), urls.Board("b", r"(?:\w+\.)+example\.(?:net|org)", r"/([a-z]{2})/(\d{1,20})/?")]
+_BOARDS = [urls.Board("a", r"(?:[\w-]+\.)+example\.com", r"/([a-z]{2})/(\d{1,20})/?"), urls.Board("b", r"(?:[\w-]+\.)+example\.(?:net|org)", r"/([a-z]{2})/(\d{1,20})/?")]
 
 
 def _odd_url(c: Column, k: Column) -> Column:
