@@ -280,6 +280,28 @@ def test_shards_have_nearly_equal_bytes(spark):
     assert set(shards) == set(range(24)) and all(abs(n - target) < 2 * max(sizes) for n in shards.values())
 
 
+@pytest.mark.parametrize("samples", [3, 100_000])
+def test_shards_need_no_scratch_files(spark, monkeypatch, tmp_path, samples):
+    """Executors start processes for each file that they write, and any of them may count as much memory as the executor."""
+    from fitforge.llm import scratch
+
+    monkeypatch.setattr(sharding, "SAMPLES", samples, raising=False)
+    monkeypatch.setattr(scratch, "scratch_dir", lambda _: str(tmp_path))
+    r = random.Random(11)
+    ids = [None, None, -(2**62), *(-i for i in range(5)), *range(2000), *([7] * 30), 2**40, 2**62]
+    rows = [(i, r.choice([None, "", "é", "x" * 40, "y" * 900])) for i in ids]
+    found = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert not list(tmp_path.iterdir())
+    order = sorted(found, key=lambda x: (x["shard"], x["slot"]))
+    assert [x["doc_id"] for x in order] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    below, whole = 0, sum(x["size"] for x in found)
+    slots = Counter()
+    for x in order:
+        assert (x["shard"], x["slot"]) == (below * 24 // whole, slots[x["shard"]])
+        below += x["size"]
+        slots[x["shard"]] += 1
+
+
 def test_isolation_forest_against_a_plain_one():
     rng = np.random.default_rng(3)
     rows = np.concatenate((rng.normal(0, 1, (200, 4)), [[9, 9, 9, 9]]))
