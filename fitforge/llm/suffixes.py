@@ -21,11 +21,11 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitforge.llm.scratch import cut, discard
-from fitforge.llm.textkernel import Texts, mix, span_hashes, texts_of
+from fitforge.llm.textkernel import Texts, mix, span_hashes, texts_of, window_hashes
 
 LENGTH = 50
 GRAM = 20
@@ -45,8 +45,7 @@ def _anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     if n < LENGTH:
         nothing = np.zeros(0, np.int64)
         return nothing, nothing, nothing, nothing.astype(np.uint64)
-    at = np.arange(n - GRAM + 1)
-    least = span_hashes(data, at, at + GRAM)
+    least = window_hashes(data, GRAM)
     reach = 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -213,7 +212,24 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _names(key: np.ndarray) -> np.ndarray:
     """Ranks of equal values: sorted, then named."""
-    return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.zeros(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _names_of_triples(data: np.ndarray) -> np.ndarray | None:
+    """Names of three bytes at all places, without sorting, where at most 128 different bytes occur: 7 bits of each."""
+    present = np.bincount(data, minlength=256) > 0
+    if present.sum() > 128:
+        return None
+    code = (np.cumsum(present) - 1).astype(np.uint64)[data]
+    name = np.zeros(len(data), np.uint64)
+    name[:-2] = code[:-2] << np.uint64(14) | code[1:-1] << np.uint64(7) | code[2:]
+    return name
 
 
 def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) -> np.ndarray:
@@ -222,7 +238,8 @@ def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) ->
     ``data`` may hold anything behind the last suffix's LENGTH bytes.
     """
     n = len(data)
-    t = np.concatenate((data, np.zeros(3 * LENGTH, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((data, np.zeros(3 * LENGTH, np.uint8)))
+    t = padded.astype(np.uint64)
     sampled = np.flatnonzero(np.arange(n + 2 * LENGTH) % 3)
     # three names of 21 bits fit in one number; names of more suffixes are paired one after the other
     narrow, shift = len(sampled) < 1 << 21, np.uint64(21 if len(sampled) < 1 << 21 else 32)
@@ -233,7 +250,9 @@ def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) ->
         return out
 
     # names of sampled triples, of triples of names (9 and 27 bytes), and of 48 bytes
-    name = spread(_names(t[sampled] << np.uint64(16) | t[sampled + 1] << np.uint64(8) | t[sampled + 2]))
+    name = _names_of_triples(padded)
+    if name is None:
+        name = spread(_names(t[sampled] << np.uint64(16) | t[sampled + 1] << np.uint64(8) | t[sampled + 2]))
     for step in (3, 9):
         two = name[sampled] << shift | name[np.minimum(sampled + step, n + 2 * LENGTH)]
         name = spread(_names((two if narrow else _names(two)) << shift | name[np.minimum(sampled + 2 * step, n + 2 * LENGTH)]))
@@ -252,12 +271,12 @@ def smallest_holder(data: np.ndarray, starts: np.ndarray, holder: np.ndarray) ->
         if not len(rows):
             continue
         key = key_of(starts[rows])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        order = np.argsort(key)
+        key, rows = key[order], rows[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]  # adjacent prefixes that differ
-        least = np.minimum.reduceat(holder[rows[order]], np.flatnonzero(new))
-        out[rows[order]] = np.minimum(out[rows[order]], least[np.cumsum(new) - 1])
+        least = np.minimum.reduceat(holder[rows], np.flatnonzero(new))
+        out[rows] = np.minimum(out[rows], least[np.cumsum(new) - 1])
     return out
 
 
@@ -356,24 +375,42 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held)
 
 
+def _span_code(start: Column, stop: Column) -> Column:
+    """A span of a text as one number: its start, and its length in the lower 31 bits."""
+    return F.shiftleft(start, 31).bitwiseOR(stop - start)
+
+
+def _runs(spans: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From lists of span codes: start and stop of the maximal runs, and how many each list has."""
+    lengths = spans.value_lengths().fill_null(0).to_numpy()
+    row = np.repeat(np.arange(len(spans)) << 32, lengths)
+    code = spans.flatten().to_numpy()
+    start, length = row + (code >> 31), code & ((1 << 31) - 1)
+    order = np.argsort(start)
+    start, row = start[order], row[order]
+    stop = np.maximum.accumulate(start + length[order])  # those of a row lie below the next row's starts
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > stop[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1 if len(first) else first
+    return start[first] - row[first], stop[last] - row[first], np.bincount(row[first] >> 32, minlength=len(spans))
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (doc_id, text, spans): what stays of each text."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        spans = batch.column(2)
+        start, stop, counts = _runs(batch.column(2))
+        ends = np.cumsum(counts)
         for texts in texts_of(batch.column(1)):
             for i in range(len(texts)):
                 raw = texts.bytes_of(i)
-                cover: list[list[int]] = []
-                for s in sorted((x["start"], x["stop"]) for x in spans[texts.first + i].as_py() or ()):
-                    if cover and s[0] <= cover[-1][1]:
-                        cover[-1][1] = max(cover[-1][1], s[1])
-                    else:
-                        cover.append([*s])
-                removed = sum(b - a for a, b in cover)
-                edges = [0, *(x for c in cover for x in c), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cover else raw
-                for column, value in zip(out, (len(raw), removed, len(cover), sha256(kept).hexdigest()), strict=True):
+                n = int(counts[texts.first + i])
+                own = slice(int(ends[texts.first + i]) - n, int(ends[texts.first + i]))
+                removed = int((stop[own] - start[own]).sum()) if n else 0
+                edges = [0, *np.column_stack((start[own], stop[own])).ravel().tolist(), len(raw)] if n else []
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if n else raw
+                for column, value in zip(out, (len(raw), removed, n, sha256(kept).hexdigest()), strict=True):
                     column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -411,6 +448,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     whole and counts against none.  Very long texts are looked at whole; other columns are
     left out, whatever their names.  An empty table gives no rows.
     """
-    spans = repeated_spans(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(_span_code(F.col("start"), F.col("stop"))).alias("spans"))
     rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

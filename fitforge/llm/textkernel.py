@@ -97,9 +97,12 @@ def words_of(texts: Texts) -> Words:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values over all bits."""
-    x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-    return x ^ (x >> _U64(31))
+    x = x ^ (x >> _U64(30))
+    x *= _U64(0xBF58476D1CE4E5B9)
+    x ^= x >> _U64(27)
+    x *= _U64(0x94D049BB133111EB)
+    x ^= x >> _U64(31)
+    return x
 
 
 @lru_cache(maxsize=1)
@@ -114,19 +117,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate((one, np.cumprod(np.full(n, p, np.uint64)))) for p in (_PRIME, inverse))
 
 
+def _running_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the polynomial up to each byte, and the powers that bring them back to a span's own start."""
+    up, down = _powers(max(SLICE_BYTES, 1 << int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, alike wherever the span stands.
 
     A polynomial modulo 2 ** 64: some different spans of 1,024 bytes and more share it
     whatever its base, so it only deals out work; where a result depends on equality,
     contents are compared (:func:`equal_spans`, :func:`value_digests`)."""
-    room = max(SLICE_BYTES, 1 << int(len(data)).bit_length())
-    up, down = _powers(room)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
+    sums, down = _running_sums(data)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """:func:`span_hashes` of the spans of ``width`` bytes at all places of ``data``, in order."""
+    sums, down = _running_sums(data)
+    hashes = sums[width:] - sums[: len(sums) - width]
+    hashes *= down[: len(hashes)]
+    hashes += _U64(width)
+    return mix(hashes)
+
+
 def equal_spans(packed: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """For spans that lie end to end: which are equal, as numbers, and the value of each number.
 

@@ -208,6 +208,55 @@ def test_suffixes_beyond_the_names_of_21_bits():
         assert np.flatnonzero(found < holder).tolist() == list(range(n - 200, n - suffixes.LENGTH + 1))
 
 
+@pytest.mark.parametrize("values, sorts", [(128, 3), (129, 4)])
+def test_suffixes_of_few_different_bytes_are_named_with_a_sort_less(monkeypatch, values, sorts):
+    rng = np.random.default_rng(values)
+    data = np.concatenate((np.append(0, np.arange(257 - values, 256)), rng.choice(np.array([0, 200, 255]), 2_000))).astype(np.uint8)  # 0 is the padding, too
+    data = np.concatenate((data, data[500:900], np.zeros(300, np.uint8)))
+    starts = np.arange(len(data) - suffixes.LENGTH + 1)
+    holder = rng.integers(0, 9, len(starts))
+    named, real = [], suffixes._names
+    monkeypatch.setattr(suffixes, "_names", lambda key: named.append(len(key)) or real(key))
+    found = suffixes.smallest_holder(data, starts, holder)
+    least: dict[bytes, int] = {}
+    windows = [data[p : p + suffixes.LENGTH].tobytes() for p in starts]
+    for w, h in zip(windows, holder.tolist(), strict=True):
+        least[w] = min(h, least.get(w, h))
+    assert found.tolist() == [least[w] for w in windows] and len(named) == sorts
+
+
+def test_hashes_of_all_windows_are_those_of_their_spans():
+    from fitforge.llm import textkernel
+
+    data = np.random.default_rng(1).integers(0, 256, 500, dtype=np.uint8)
+    for width in (1, 20, 500):
+        at = np.arange(len(data) - width + 1)
+        assert textkernel.window_hashes(data, width).tolist() == textkernel.span_hashes(data, at, at + width).tolist()
+
+
+def test_runs_of_spans():
+    import pyarrow as pa
+
+    r = random.Random(2)
+    rows = [r.choice([None, [], [(r.randint(0, 60), r.randint(1, 9)) for _ in range(r.randint(1, 8))]]) for _ in range(300)] + [[(2**31 - 60, 50), (0, 50)], [(0, 50)]]
+    column = pa.array([None] + [row and [a << 31 | n for a, n in row] for row in rows], pa.list_(pa.int64())).slice(1)
+    start, stop, counts = suffixes._runs(column)
+    found, at = [], 0
+    for n in counts.tolist():
+        found.append(list(zip(start[at : at + n].tolist(), stop[at : at + n].tolist(), strict=True)))
+        at += n
+    wanted = []
+    for row in rows:
+        cover: list[tuple[int, int]] = []
+        for a, n in sorted(row or ()):
+            if cover and a <= cover[-1][1]:
+                cover[-1] = (cover[-1][0], max(cover[-1][1], a + n))
+            else:
+                cover.append((a, a + n))
+        wanted.append(cover)
+    assert found == wanted
+
+
 def test_suffixes_of_one_anchor_with_many_contexts(monkeypatch):
     import pyarrow as pa
 
