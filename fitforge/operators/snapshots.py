@@ -93,12 +93,13 @@ def replace_children(children: DataFrame, incoming: DataFrame, applied: DataFram
     return children.join(renewed, key, "left_anti").unionByName(incoming.join(renewed, key, "left_semi"))
 
 
-def lists_differ(stored: DataFrame, parsed: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+def lists_differ(stored: DataFrame, parsed: DataFrame, key: str, order: str | list[str], fields: list[str]) -> DataFrame:
     """``key`` and ``differs``: whether the lists of child rows (``fields`` in this order) are not the same.
 
-    Compared place by place, so that no list is gathered.
+    Compared place by place, so that no list is gathered.  Rows that the order leaves
+    open have no order among them: they are the same if their fields are, each as often.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order), *fields))
     a = stored.select(key, place.alias("_place"), F.struct(*fields).alias("_was"))
     b = parsed.select(key, place.alias("_place"), F.struct(*fields).alias("_is"))
     return a.join(b, [key, "_place"], "full_outer").groupBy(key).agg(F.bool_or(~F.col("_was").eqNullSafe(F.col("_is"))).alias("differs"))

@@ -366,10 +366,10 @@ def dml3_replaced_children(t):
     now AS (SELECT l_orderkey, list((CASE WHEN l_quantity > 49 THEN 'X' ELSE l_returnflag END, l_partkey) ORDER BY l_linenumber, l_partkey) AS v FROM lineitem WHERE l_linenumber <> 6 GROUP BY ALL)
     SELECT coalesce(was.l_orderkey, now.l_orderkey) AS l_orderkey, was.v IS DISTINCT FROM now.v AS differs FROM was FULL JOIN now ON was.l_orderkey = now.l_orderkey""")
 def dml4_reparsed_lists(t):
-    lines = t("lineitem").withColumn("nth", F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
     was = lines.where("l_linenumber <> 5")
     now = lines.where("l_linenumber <> 6").withColumn("l_returnflag", F.when(F.col("l_quantity") > 49, "X").otherwise(F.col("l_returnflag")))
-    return snapshots.lists_differ(was, now, "l_orderkey", "nth", ["l_returnflag", "l_partkey"])
+    return snapshots.lists_differ(was, now, "l_orderkey", ["l_linenumber", "l_partkey"], ["l_returnflag", "l_partkey"])
 
 
 @_query("SELECT c_custkey, coalesce(s_name, c_name) AS c_name, CASE WHEN s_suppkey IS NULL THEN c_acctbal ELSE s_acctbal END AS c_acctbal FROM customer FULL JOIN supplier ON c_custkey = s_suppkey WHERE c_custkey IS NOT NULL UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
