@@ -18,6 +18,13 @@ TEXTS = ["Led a team of twelve people over the years", "  2019 - 2021", "Berlin
 _COLOURS = [0, 0xFFFFFF, 0x333333, 0xF5F5F0, 0xF0EF10]
 
 
+def _first_lines(t) -> DataFrame:
+    """Line items; of those with the same part, order and number the first in the table's files."""
+    keys = ["l_partkey", "l_orderkey", "l_linenumber"]
+    rest = F.struct("l_suppkey", "l_returnflag", "l_linestatus")
+    return t("lineitem").groupBy(*keys).agg(F.min_by(rest, F.struct("_metadata.file_path", "_metadata.row_index")).alias("rest")).select(*keys, "rest.*")
+
+
 def spans(t) -> DataFrame:
     p, o, s, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
     text, size = _pick(TEXTS, o + n), (F.lit(8.0) + n)
@@ -25,9 +32,8 @@ def spans(t) -> DataFrame:
     x0 = F.when((p % 3 != 0) & right, F.when(p % 3 == 1, 330.0).otherwise(520.0)).otherwise(30.0 + (o % 4))
     x1 = F.least(x0 + F.length(text) * 5, F.when((p % 3 != 0) & ~right, F.lit(300.0)).otherwise(F.lit(590.0)))
     y0 = 20.0 + (o * 7 + n * 3) % 55 * 14
-    base = t("lineitem").select(p.alias("page"), (o * 10 + n).alias("span"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + size * 1.15).alias("y1"), size.alias("size"),
-                                F.when(o % 13 == 0, 0).alias("alpha"), _pick(list(map(str, _COLOURS)), o).cast("int").alias("colour"), (F.col("l_returnflag") == "R").alias("bold"), (F.col("l_linestatus") == "O").alias("italic"))
-    return base.dropDuplicates(["page", "span"])
+    return _first_lines(t).select(p.alias("page"), (o * 10 + n).alias("span"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + size * 1.15).alias("y1"), size.alias("size"),
+                                  F.when(o % 13 == 0, 0).alias("alpha"), _pick(list(map(str, _COLOURS)), o).cast("int").alias("colour"), (F.col("l_returnflag") == "R").alias("bold"), (F.col("l_linestatus") == "O").alias("italic"))
 
 
 _SPANS_SQL = rf"""
