@@ -51,3 +51,12 @@ def test_a_parsed_posting_has_what_its_parts_have(spark):
     whole = rows.select("i", postings.parsed_posting(F.col("title"), F.col("text")).alias("p")).select("i", "p.*")
     assert whole.drop("level").orderBy("i").collect() == parts.orderBy("i").collect()
     assert [(r["title"], r["level"], r["min_years"], None if r["requirements"] is None else len(r["requirements"])) for r in whole.orderBy("i").collect()] == [("Cook II", "mid", 2, 2), (None, None, None, 0), (None, None, None, None), (None, None, None, 2), ("Staff Nurse", "staff", 2, 2)]
+
+
+def test_first_characters_hide_no_boilerplate():
+    lines = {
+        "benefits": ["The base salary is high", "BASE PAY", "salary range", "a pay range", "compensation range", "annual salary", "pay transparency", "on-target earnings", "Hourly rate", "salary of this", "medical, dental", "401(k) match", "paid parental leave"],
+        "about": ["equal opportunity", "Equal Employment Opportunities", "without regard to", "sexual orientation", "veteran status", "protected characteristic", "reasonable accommodation", "e-verify", "applicants with criminal", "fair chance", "privacy policy", "#LI-x"],
+        None: ["database salary", "pay", "see #LI-x", "", "401 k match"],
+    }
+    assert {key: [postingtext.line(x).boilerplate for x in of] for key, of in lines.items()} == {key: [key] * len(of) for key, of in lines.items()}
